@@ -19,8 +19,12 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 #: No pair.
 NONE = 1 << 62
+#: The same for arrays of 32-bit ranks.
+NO_PAIR = (1 << 31) - 1
 #: Pieces a worker remembers; the table starts anew when it is full, so memory is bounded.
-REMEMBER = 400_000
+REMEMBER = 600_000
+#: Bytes of the longest piece that is encoded together with others.
+WIDEST = 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -88,19 +92,88 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Pieces(dict):
-    """Piece of text -> its ids as little-endian 32-bit integers, filled on demand."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_piece(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= 64:  # a long piece hardly comes again
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[piece] = ids
-        return ids
+class PairRanks:
+    """Ranks of pairs of ids, looked up for whole arrays."""
+
+    def __init__(self, tokens: list[bytes]):
+        ranks = {t: i for i, t in enumerate(tokens)}
+        self.ranks, self.base = ranks, len(tokens)
+        found = {}
+        for merged, t in enumerate(tokens):
+            for k in range(1, len(t)):
+                a = ranks.get(t[:k])
+                if a is not None and (b := ranks.get(t[k:])) is not None:
+                    found[a * self.base + b] = merged
+        self.keys = np.array(sorted(found), np.int64)
+        self.merged = np.array([found[k] for k in self.keys.tolist()], np.int32)
+        self.bytes = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
+        self.first = self(self.bytes.repeat(256), np.tile(self.bytes, 256)).reshape(256, 256)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.base + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], NO_PAIR)
+
+
+def merge_many(pieces: list[bytes], width: int, pairs: PairRanks) -> list[bytes]:
+    """``merge_piece`` for many pieces of 2 to ``width`` bytes (a power of two) at once: one segment tree a row, one merge a
+    row and round. Gives the ids as little-endian 32-bit integers."""
+    m, n = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+    raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
+    ids = pairs.bytes[raw]
+    at = np.arange(width)
+    ids[at >= n[:, None]] = -1
+    tree = np.full((m, 2 * width), NO_PAIR, np.int32)
+    tree[:, width:-1] = np.where(at[1:] < n[:, None], pairs.first[raw[:, :-1], raw[:, 1:]], NO_PAIR)
+    w = width
+    while w > 1:
+        tree[:, w // 2 : w] = np.minimum(tree[:, w : 2 * w : 2], tree[:, w + 1 : 2 * w : 2])
+        w //= 2
+    after = np.tile(np.arange(1, width + 2), (m, 1))
+    before = np.tile(np.arange(-1, width), (m, 1))
+    depth = width.bit_length() - 1
+    live = np.arange(m)
+    flat, two = tree.reshape(-1), 2 * width
+    while len(live := live[tree[live, 1] != NO_PAIR]):
+        root = live * two
+        best = flat[root + 1]
+        k = np.ones(len(live), np.int64)
+        for _ in range(depth):
+            k *= 2
+            k += flat[root + k] != best  # the left child, unless only the right one has the least rank
+        i = k - width
+        j = after[live, i]
+        end = after[live, j]
+        p = before[live, i]
+        ids[live, i] = best
+        ids[live, j] = -1
+        after[live, i] = end
+        before[live, end] = i
+        right = np.where(end < n[live], pairs(best, ids[live, np.minimum(end, width - 1)]), NO_PAIR)
+        flat[root + width + j] = NO_PAIR
+        flat[root + width + i] = right
+        has = p >= 0
+        flat[(root + width + p)[has]] = pairs(ids[live[has], p[has]], best[has])
+        node = np.concatenate([width + i, width + j, width + p[has]])
+        row = np.concatenate([root, root, root[has]])
+        for _ in range(depth):
+            node >>= 1
+            child = row + 2 * node
+            flat[row + node] = np.minimum(flat[child], flat[child + 1])
+    mask = ids >= 0
+    out = ids[mask].astype("<u4").tobytes()
+    ends = np.concatenate([[0], 4 * mask.sum(1).cumsum()]).tolist()
+    return [out[x:y] for x, y in zip(ends, ends[1:])]
+
+
+class Known(dict):
+    """Piece -> its ids; a piece that is not there is noted in ``unseen``."""
+
+    def __init__(self):
+        self.unseen: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.unseen.append(piece)
 
 
 class Encoder:
@@ -108,19 +181,67 @@ class Encoder:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, pattern
-        self._pieces = self._split = None
+        self._known: dict[str, bytes] | None = None
 
     def __getstate__(self):
-        return {"tokens": self.tokens, "pattern": self.pattern, "_pieces": None, "_split": None}
-
-    def encode_bytes(self, text: str) -> bytes:
-        if self._split is None:
-            self._pieces = Pieces({t: i for i, t in enumerate(self.tokens)})
-            self._split = regex.compile(self.pattern).findall
-        return b"".join(map(self._pieces.__getitem__, self._split(text)))
+        return {"tokens": self.tokens, "pattern": self.pattern, "_known": None}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces: the many short ones together by width, long ones singly."""
+        ranks, groups = self._pairs.ranks, {}
+        for p in pieces:
+            b = p.encode()
+            if (whole := ranks.get(b)) is not None:
+                self._known[p] = whole.to_bytes(4, "little")
+            elif len(b) > WIDEST:
+                self._known[p] = np.array(merge_piece(b, ranks), "<u4").tobytes()
+            else:
+                groups.setdefault(1 << (len(b) - 1).bit_length(), []).append((p, b))
+        for width, group in groups.items():
+            for k in range(0, len(group), 8192):
+                part = group[k : k + 8192]
+                self._known.update(zip((p for p, _ in part), merge_many([b for _, b in part], width, self._pairs)))
+
+    def encode_each(self, texts) -> list[bytes]:
+        """Ids of every text as little-endian 32-bit integers; null and empty texts: none."""
+        if self._known is None:
+            self._known, self._pairs, self._split = Known(), PairRanks(self.tokens), regex.compile(self.pattern).findall
+        known, out, waiting, held = self._known, [], [], 0
+        get = known.__getitem__
+
+        def flush() -> None:
+            if not waiting:
+                return
+            new = set(known.unseen)
+            if len(known) + len(new) > REMEMBER:
+                known.clear()
+                new = set().union(*(pieces for _, pieces in waiting))
+            self._learn(new)
+            known.unseen.clear()
+            for k, pieces in waiting:
+                out[k] = b"".join(map(get, pieces))
+            for p in [p for p in new if len(p) > WIDEST]:  # a long piece hardly comes again
+                known.pop(p, None)
+            waiting.clear()
+
+        for t in texts:
+            pieces = self._split(t) if t else []
+            before = len(known.unseen)
+            ids = list(map(get, pieces))
+            if len(known.unseen) == before:
+                out.append(b"".join(ids))
+                continue
+            waiting.append((len(out), pieces))
+            out.append(b"")
+            held += len(t)
+            if held > 2_000_000:
+                flush()
+                held = 0
+        flush()
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return np.frombuffer(self.encode_each([text])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -137,7 +258,7 @@ def encode_column(shared, text_col: str = "text"):
     @F.pandas_udf(BinaryType())
     def encode(text: pd.Series) -> pd.Series:
         e = shared.value
-        return pd.Series([e.encode_bytes(t) if t else b"" for t in text], dtype=object)
+        return pd.Series(e.encode_each(text), dtype=object)
 
     return encode(F.col(text_col))
 
@@ -163,8 +284,7 @@ def digest_column(shared, text_col: str = "text"):
     @F.pandas_udf(_DIGEST)
     def digest(text: pd.Series) -> pd.DataFrame:
         e, rows, sha = shared.value, [], hashlib.sha256
-        for t in text:
-            raw = e.encode_bytes(t) if t else b""
+        for raw in e.encode_each(text):
             ids = np.frombuffer(raw, "<u4")
             rows.append((len(ids), sha(raw).hexdigest(), sha(e.decode(ids.tolist())).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

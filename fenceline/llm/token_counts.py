@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +16,7 @@ def token_lengths(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
 
     @F.pandas_udf(LongType())
     def count(text: pd.Series) -> pd.Series:
-        e = shared.value
-        return pd.Series(np.fromiter((len(e.encode_bytes(t)) // 4 if t else 0 for t in text), "int64", len(text)))
+        return pd.Series([len(ids) // 4 for ids in shared.value.encode_each(text)], dtype="int64")
 
     return docs.withColumn(out, count(F.col(text_col)))
 
