@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, order_minhash, quality_rules, secret_scan, token_counts
+from . import byte_bpe, hilbert_ann, html_cut, language_id, mixing, order_minhash, quality_rules, secret_scan, token_counts, warc
 from .util import read
 
 #: The vocabulary that the queries encode with.
@@ -37,17 +37,42 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    docs = docs.withColumn("held_out", held_out)
+    net = language_id.fit(docs.where("not held_out").select("text", "lang"))
+    out = docs.select("doc_id", "held_out", language_id.predict_column(net, docs).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("text")
     return token_counts.length_histogram(token_counts.token_lengths(docs, VOCABULARY, public_tokenizers.PATTERN))
 
 
+def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return hilbert_ann.neighbours(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = byte_bpe.encoder(spark, VOCABULARY, public_tokenizers.PATTERN)
     out = read(spark, sf_dir, "documents").select("doc_id", byte_bpe.digest_column(shared).alias("d"))
     return out.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op9_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    text = html_cut.extract_column(html_cut.fit(pages))
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(read(spark, sf_dir, "documents"))
 
