@@ -15,7 +15,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 #: No pair.
 NONE = 1 << 62
@@ -292,6 +292,22 @@ def digest_column(shared, text_col: str = "text"):
     return digest(F.col(text_col))
 
 
+_ROUND_TRIP = StructType([StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("exact", BooleanType())])
+
+
+def round_trip_column(shared, text_col: str = "text"):
+    """Struct n_tokens, ids, exact: the ids, and whether decoding them gives the text's bytes again."""
+
+    @F.pandas_udf(_ROUND_TRIP)
+    def trip(text: pd.Series) -> pd.DataFrame:
+        e = shared.value
+        ids = e.encode_each(text)
+        exact = [e.decode(np.frombuffer(x, "<u4").tolist()) == (t or "").encode() for t, x in zip(text, ids)]
+        return pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "exact": exact})
+
+    return trip(F.col(text_col))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with a binary column ``out`` of ids. Every row stays; null and empty texts have no ids."""
     return docs.withColumn(out, encode_column(encoder(docs.sparkSession, path, pattern), text_col))

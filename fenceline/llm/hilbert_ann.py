@@ -17,9 +17,9 @@ from pyspark.sql.types import ArrayType, LongType
 from .util import cut
 
 #: Orderings, dimensions of a projection, bits a dimension; share of the rows that a query sees in each ordering.
-ORDERINGS, DIMENSIONS, BITS, SHARE = 4, 4, 8, 0.5
+ORDERINGS, DIMENSIONS, BITS, SHARE = 8, 4, 8, 0.2
 #: Rows of a block; queries that a task takes to a block.
-BLOCK_ROWS, QUERIES_TOGETHER = 4096, 256
+BLOCK_ROWS, QUERIES_TOGETHER = 1024, 512
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -80,23 +80,22 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _best(pdf_c: pd.DataFrame, pdf_q: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of a block for each query, by exact cosine, ties to the smaller id."""
-    none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if not len(pdf_c) or not len(pdf_q):
-        return none
+        return pd.DataFrame({"qid": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
     c, ids = np.stack(pdf_c["v"].to_numpy()), pdf_c["id"].to_numpy()
-    norm = np.sqrt((c * c).sum(1))
+    queries, qids = np.stack(pdf_q["qv"].to_numpy()), pdf_q["qid"].to_numpy()
+    norm, lengths = np.sqrt((c * c).sum(1)), np.sqrt((queries * queries).sum(1))
+    rough = (queries @ c.T) / norm
+    rough[qids[:, None] == ids] = -np.inf
+    kth = np.partition(rough, -k, axis=1)[:, -k] if len(c) > k else np.full(len(queries), -np.inf)
     out = []
-    for qid, q in zip(pdf_q["qid"].to_numpy(), pdf_q["qv"].to_numpy()):
-        length = np.sqrt((q * q).sum())
-        rough = (c @ q) / (norm * length)
-        rough[ids == qid] = -np.inf
-        kth = np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
-        near = np.flatnonzero((rough >= kth - 1e-9) & (ids != qid))
+    for i, q in enumerate(queries):
+        near = np.flatnonzero((rough[i] >= kth[i] - 1e-9 * lengths[i]) & (ids != qids[i]))
         # row sums do not depend on where a row stands, so equal vectors have equal scores in every block
-        score = (c[near] * q).sum(1) / (norm[near] * length)
+        score = (c[near] * q).sum(1) / (norm[near] * lengths[i])
         order = np.lexsort((ids[near], -score))[:k]
-        out.append(pd.DataFrame({"qid": qid, "id": ids[near][order], "score": score[order]}))
-    return pd.concat(out) if out else none
+        out.append((np.full(len(order), qids[i]), ids[near][order], score[order]))
+    return pd.DataFrame(dict(zip(("qid", "id", "score"), map(np.concatenate, zip(*out)))))
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
