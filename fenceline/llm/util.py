@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Edges (of 16 bytes) that one task takes in ``components``.
+EDGES_A_TASK = 200_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -42,6 +46,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # as few partitions as the measured number of edges asks for: few edges then take no exchange a round at all
+    both = both.coalesce(1 + both.count() // EDGES_A_TASK)
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b")
