@@ -1,0 +1,58 @@
+"""The commands as plans over tables: check, update, and their reports."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import baseline, rules
+from ..operators.rules import World
+
+
+@dataclass(frozen=True)
+class Check:
+    """Violations to report, recorded ones that are gone, strict ones; DataFrames, nothing has run."""
+
+    reportable: DataFrame
+    stale: DataFrame
+    strict: DataFrame
+
+
+def check(refs: DataFrame, packages: DataFrame, recorded: DataFrame, world: World = World(), files: DataFrame | None = None, ignore_recorded: bool = False, public_files: DataFrame | None = None, disabled: tuple[str, ...] = ()) -> Check:
+    """Evaluate all rules, on the references of ``files(path)`` only where given."""
+    if files is not None:
+        refs = refs.join(files.select(F.col("path").alias("referencing_file")).distinct(), "referencing_file", "left_semi")
+    found = rules.violations(refs, packages, world, disabled=disabled, public_files=public_files)
+    return Check(found if ignore_recorded else baseline.reportable(found, recorded), baseline.stale(found, recorded), baseline.strict(found))
+
+
+def report_lines(result: Check, command: str = "update") -> DataFrame:
+    """The text report, (part, line): the count, messages by text, one notice of stale records, strict messages."""
+    n = result.reportable.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(0).alias("part"), F.concat(F.col("n").cast("string"), F.lit(" violation(s) detected:")).alias("line"))
+    messages = result.reportable.select(F.lit(1).alias("part"), F.col("message").alias("line"))
+    old = result.stale.limit(1).select(F.lit(2).alias("part"), F.lit(f"There were stale violations found, please run `{command}`").alias("line"))
+    strict = rules.strict_messages(result.strict).select(F.lit(3).alias("part"), F.col("message").alias("line"))
+    lines = n.unionByName(messages).unionByName(old).unionByName(strict)
+    clean = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).alias("part"), F.lit("No violations detected!").alias("line"))
+    return lines.unionByName(clean).orderBy("part", "line")
+
+
+def report_json(result: Check) -> DataFrame:
+    """One JSON document a violation, (kind, json), without terminal colours."""
+    def rows(df: DataFrame, kind: str, message) -> DataFrame:
+        fields = [F.col(c) for c in ("violation_type", "file", "constant_name", "referencing_package", "defining_package")]
+        return df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*fields, *message)).alias("json"))
+
+    text = [names.strip_ansi(F.col("message")).alias("message"), F.col("line"), F.col("col").alias("column")]
+    return rows(result.reportable, "violation", text).unionByName(rows(result.stale, "stale", [])).unionByName(rows(result.strict, "strict", text))
+
+
+def update(refs: DataFrame, packages: DataFrame, record: DataFrame, world: World = World(), constant: str | None = None, violation_type: str | None = None, defining_package: str | None = None) -> DataFrame:
+    """The record after an update: replaced by what is found, or, where the update is narrowed, merged with it."""
+    found = rules.violations(refs, packages, world)
+    if constant is None and violation_type is None and defining_package is None:
+        return baseline.grouped(found)
+    return baseline.merged(record, baseline.grouped(baseline.scoped(found, constant, violation_type, defining_package)))
