@@ -52,11 +52,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long").alias("size"),
-    ).withColumn("key", F.xxhash64("id", F.lit(seed)))
-    slim = cut(slim)
+    )
+    # 60 bits of a digest: random, the same in every run and engine
+    digest = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+    slim = cut(slim.withColumn("key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")))
     ranges = max(1, -(-slim.count() // rows_per_range))
-    # the key is uniform over all longs, so equal widths of its upper 31 bits hold about equally many rows
-    at = F.expr(f"shiftrightunsigned(key, 33) * {ranges}L div {1 << 31}L")
+    # the key is uniform, so equal widths of its upper 31 bits hold about equally many rows
+    at = F.expr(f"shiftright(key, 29) * {ranges}L div {1 << 31}L")
     slim = slim.withColumn("range", at).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     totals = slim.groupBy("s", "range").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("in_range"))
     sizes = totals.groupBy("s").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("in_range").alias("source_size"))
