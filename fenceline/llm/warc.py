@@ -24,8 +24,8 @@ from .util import cut, shared_dir
 
 #: Inflated bytes after which an archive is closed and another begun.
 ARCHIVE_BYTES = 32 << 20
-#: Effort of compression: low, as archives are written twice here.
-LEVEL = 1
+#: Effort of compression: moderate, as archives are written twice here.
+LEVEL = 5
 #: Bytes handled at once when a stream is inflated.
 CHUNK = 1 << 18
 #: Fixed values of the format.
