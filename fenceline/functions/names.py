@@ -12,9 +12,9 @@ PUBLIC_MARK_LINES = 5
 TEMPLATE_TAG = r"(?s)<%=?-?\s*(.*?)\s*-?%>"
 RUBY_FILE = r"(\.(rb|rake|builder|gemspec|ru)$)|((^|/)(Gemfile|Rakefile)$)"
 TEMPLATE_FILE = r"\.erb$"
-#: Words whose last s is not a plural's, and one irregular plural.
+#: Words whose last s is not a plural's, and irregular plurals.
 SINGULAR_AS_THEY_ARE = ("Status", "Census")
-IRREGULAR = (("Leaves", "Leave"), ("Data", "Datum"))
+IRREGULAR = (("Statuses", "Status"), ("Censuses", "Census"), ("Leaves", "Leave"), ("Data", "Datum"))
 
 
 def _acronym_map(acronyms: list[str] | None) -> Column | None:

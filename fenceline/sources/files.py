@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,18 @@ PRUNED = ("**/node_modules/**", "**/tmp/**", "**/.git/**", "**/sorbet/**", "**/p
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all files below ``root``; path is relative. Content is read only where it is selected."""
+    """(path, content) of all files below ``root``; path is relative. Content is read only where it is selected.
+
+    The reader gives no row for an empty file, and an empty package file means something; those come from the listing,
+    whose names the reader keeps at the driver in any case.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^[a-z]+:/*", "/")
-    full = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    return rows.select(F.substring(full, F.length(base) + 1, 1 << 30).alias("path"), F.col("content"))
+    below = lambda c: F.substring(F.regexp_replace(c, "^[a-z]+:/*", "/"), F.length(base) + 1, 1 << 30)
+    full = rows.select(below("path").alias("path"), F.col("content"))
+    listed = spark.createDataFrame([(unquote(p),) for p in rows.inputFiles()], "path string").select(below("path").alias("path"))
+    empty = listed.join(full.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    return full.unionByName(empty)
 
 
 def _any(path, patterns: tuple[str, ...] | list[str]):
