@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..schema import VIOLATION
+from .lineage import settled
 
 # The texts of reports, read by other tools.
 TEXT = {
@@ -97,10 +98,20 @@ def _ignored(rules: Column, enforcement: str, path: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+#: Packages up to which they are broadcast: with their sets, some tens of MB. Beyond, the joins shuffle.
+BROADCAST_PACKAGES = 100_000
+
+
 def with_packages(refs: DataFrame, packages: DataFrame, public_files: DataFrame | None = None) -> DataFrame:
-    """References with ``r_*`` and ``d_*`` columns of their packages. The planner broadcasts packages where their measured size
-    allows; unresolved references and references inside one package cannot break a rule and leave first."""
-    side = lambda p: packages.select(*[F.col(c).alias(p + c) for c in packages.columns])
+    """References with ``r_*`` and ``d_*`` columns of their packages.
+
+    Packages are computed and counted once and broadcast up to BROADCAST_PACKAGES, so that references, of which a few
+    packages may hold most, are not shuffled by package. Unresolved references and references inside one package cannot
+    break a rule and leave first.
+    """
+    packages = settled(packages)
+    hint = F.broadcast if packages.count() <= BROADCAST_PACKAGES else (lambda df: df)
+    side = lambda p: hint(packages.select(*[F.col(c).alias(p + c) for c in packages.columns]))
     out = refs.where(F.col("defining_package").isNotNull() & (F.col("defining_package") != F.col("referencing_package")))
     out = out.join(side("r_"), F.col("referencing_package") == F.col("r_name")).join(side("d_"), F.col("defining_package") == F.col("d_name"))
     if public_files is None:
@@ -110,22 +121,35 @@ def with_packages(refs: DataFrame, packages: DataFrame, public_files: DataFrame
 
 
 def violations(refs: DataFrame, packages: DataFrame, world: World = World(), only: Iterable[str] | None = None, disabled: Iterable[str] = (), public_files: DataFrame | None = None) -> DataFrame:
-    """Distinct violations of all rules (or ``only`` some), VIOLATION columns. A null setting enforces nothing."""
+    """Distinct violations of all rules (or ``only`` some), VIOLATION columns. A null setting enforces nothing.
+
+    Each reference gets a code a rule (0 kept, 1 broken, 2 broken and strict); equal references are joined on their codes,
+    pre-aggregated where they are read, and only then become rows and texts.
+    """
     r, d = (lambda c: F.col("r_" + c)), (lambda c: F.col("d_" + c))
-    place = names.location(F.col("referencing_file"), F.col("line"), F.col("col"))
-    found = []
-    for rule in RULES:
-        if rule.name in set(disabled) or (only is not None and rule.name not in set(only)):
-            continue
+    chosen = [x for x in RULES if x.name not in set(disabled) and (only is None or x.name in set(only))]
+    codes = {}
+    for rule in chosen:
         own, path = (r, F.col("defining_file")) if rule.direction == OUTGOING else (d, F.col("referencing_file"))
         setting = F.coalesce(own(f"enforce_{rule.name}"), F.lit("false"))
         hit = (setting != "false") & rule.broken(r, d, world) & ~_ignored(own("ignore_rules"), rule.name, path)
-        found.append(F.when(hit, F.struct(F.lit(rule.name).alias("violation_type"), (setting == "strict").alias("strict"), F.concat(place, rule.message(r, d, world)).alias("message"))))
-    if not found:
-        found = [F.lit(None).cast("struct<violation_type:string,strict:boolean,message:string>")]
-    rows = with_packages(refs, packages, public_files).withColumn("v", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
-    out = rows.select("v.*", F.col("referencing_file").alias("file"), "constant_name", "referencing_package", "defining_package", "line", "col")
-    return out.select(*VIOLATION).distinct()
+        codes[rule.name] = F.when(hit, F.when(setting == "strict", F.lit(2)).otherwise(F.lit(1))).otherwise(F.lit(0))
+    key = ["constant_name", "defining_package", "referencing_package", "referencing_file", "line", "col", "r_layer", "d_layer"]
+    rows = with_packages(refs, packages, public_files).select(*key, *[c.alias(f"is_{k}") for k, c in codes.items()])
+    if not chosen:
+        rows, codes, chosen = rows.limit(0).withColumn("is_dependency", F.lit(0)), {"dependency": None}, [RULES[0]]
+    any_broken = F.greatest(*[F.col(f"is_{k}") for k in codes], F.lit(0), F.lit(0)) > 0
+    one = rows.where(any_broken).groupBy(*key).agg(*[F.max(f"is_{k}").alias(f"is_{k}") for k in codes])
+    # names of packages are in the key, so texts need the packages no more
+    sides = [lambda c: F.col("referencing_package") if c == "name" else F.col("r_" + c), lambda c: F.col("defining_package") if c == "name" else F.col("d_" + c)]
+    place = names.location(F.col("referencing_file"), F.col("line"), F.col("col"))
+    found = []
+    for rule in chosen:
+        code = F.col(f"is_{rule.name}")
+        text = F.concat(place, rule.message(*sides, world))
+        found.append(F.when(code > 0, F.struct(F.lit(rule.name).alias("violation_type"), (code == 2).alias("strict"), text.alias("message"))))
+    out = one.withColumn("v", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return out.select("v.*", F.col("referencing_file").alias("file"), "constant_name", "referencing_package", "defining_package", "line", "col").select(*VIOLATION)
 
 
 def unknown_layers(packages: DataFrame, world: World) -> DataFrame:
