@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import baseline, graph, resolve, rules, usage
+from .operators.lineage import settled
 from .plans import commands
 from .plans.project import Project, open_project
+from .sources import files as trees
 from .sources import packages as package_files
+from .sources import ruby
 
 
 def _lines(df: DataFrame, *cols: str) -> list[str]:
@@ -55,7 +58,45 @@ def _dependents(p: Project, args) -> tuple[list[str], int]:
     return ["Explicit:", *_lines(usage.dependents(p.edges, args.package), "package"), "Implicit (violations):", *_lines(implicit, "referencing_package", "violation_type", "n_constants")], 0
 
 
+def _rewrite(p: Project, args, edges: DataFrame) -> tuple[list[str], int]:
+    """Write the package files whose edges changed."""
+    old, new = p.edges.select("from_package", "to_package"), settled(edges)
+    touched = new.exceptAll(old).unionByName(old.exceptAll(new)).select(F.col("from_package").alias("name")).distinct()
+    changed = package_files.with_edges(p.packages, new).join(settled(touched), "name", "left_semi")
+    return _lines(package_files.write_packages(changed, args.root), "package", "action") or ["Nothing to change"], 0
+
+
+def _edge(p: Project, args) -> DataFrame:
+    return p.sources.sparkSession.createDataFrame([tuple(args.files[:2])], "from_package string, to_package string")
+
+
+def _lint(p: Project, args) -> tuple[list[str], int]:
+    return _lines(package_files.write_packages(p.packages, args.root).unionAll(package_files.write_records(p.record, args.root)), "package", "action"), 0
+
+
+def _suggest_all(p: Project, args) -> tuple[list[str], int]:
+    want = usage.suggested_dependencies(p.refs, args.package).select(F.lit(args.package).alias("from_package"), F.col("package").alias("to_package"))
+    return _rewrite(p, args, p.edges.where(F.col("from_package") != args.package).unionByName(want))
+
+
+def _redefinitions(p: Project, args) -> tuple[list[str], int]:
+    spark, found = p.sources.sparkSession, ruby.definitions(ruby.parse(p.sources)).select("fq_name", F.col("defining_file").alias("path"))
+    for folder in (args.stdlib, args.gems):
+        outside = ruby.definitions(ruby.parse(trees.sources(trees.tree(spark, folder)))).select("fq_name", F.concat(F.lit(folder.rstrip("/") + "/"), "defining_file").alias("path"))
+        found = found.unionByName(outside)
+    out = usage.redefinitions(found, args.stdlib.rstrip("/") + "/", args.gems.rstrip("/") + "/")
+    return _lines(out.withColumn("gem", F.coalesce("gem", F.lit("-"))), "kind", "fq_name", "path", "gem"), 0
+
+
 COMMANDS = {
+    "lint": _lint,
+    "add-dependency": lambda p, a: _rewrite(p, a, usage.add_edges(p.edges, _edge(p, a))),
+    "remove-dependency": lambda p, a: _rewrite(p, a, usage.remove_edges(p.edges, _edge(p, a))),
+    "add-dependencies": _suggest_all,
+    "update-dependencies-for-constant": lambda p, a: _rewrite(p, a, usage.add_edges(p.edges, usage.missing_edges_for_constant(p.refs, p.edges, p.packages, a.constant))),
+    "remove-unnecessary-dependencies": lambda p, a: _rewrite(p, a, usage.remove_edges(p.edges, usage.unnecessary_dependencies(p.edges, p.refs))),
+    "list-redefinitions": _redefinitions,
+    "plan-move": lambda p, a: (_lines(commands.move_plan(p.sources.select("path"), p.sources.select("path").where(F.col("path").isin(*a.files)), p.packages, a.package), "source", "destination"), 0),
     "check": _check,
     "validate": _validate,
     "update": _update,
@@ -74,15 +115,18 @@ COMMANDS = {
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="fenceline")
     parser.add_argument("--root", default=".")
-    parser.add_argument("command", choices=[*COMMANDS, "all", "check-contents"])
+    parser.add_argument("command", choices=[*COMMANDS, "all", "check-contents", "create"])
     parser.add_argument("files", nargs="*")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--ignore-recorded", action="store_true")
     parser.add_argument("--ambiguous", action="store_true")
     parser.add_argument("--disable", action="append", choices=[r.name for r in rules.RULES])
-    for name in ("--package", "--constant", "--type"):
+    for name in ("--package", "--constant", "--type", "--stdlib", "--gems"):
         parser.add_argument(name)
     args = parser.parse_args(argv)
+    if args.command == "create":
+        print(package_files.scaffold(args.root, args.files[0]))
+        return 0
     spark = SparkSession.builder.appName("fenceline").getOrCreate()
     replaced = (args.files[0], sys.stdin.read()) if args.command == "check-contents" else None
     project = open_project(spark, args.root, replaced=replaced)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import baseline, rules
+from ..operators import baseline, resolve, rules
 from ..operators.rules import World
 
 
@@ -56,3 +56,13 @@ def update(refs: DataFrame, packages: DataFrame, record: DataFrame, world: World
     if constant is None and violation_type is None and defining_package is None:
         return baseline.grouped(found)
     return baseline.merged(record, baseline.grouped(baseline.scoped(found, constant, violation_type, defining_package)))
+
+
+def move_plan(files: DataFrame, asked: DataFrame, packages: DataFrame, target: str) -> DataFrame:
+    """(source, destination) of moving ``asked(path)`` to the package ``target``: each file keeps its place below its package, and its
+    spec, if ``files(path)`` has it, goes along. The root package gives nothing up; files already there stay."""
+    homes = packages.where("name <> '.'").select(F.col("name").alias("directory"))
+    spec = asked.select(names.spec_path(F.col("path")).alias("path")).join(files.select("path"), "path", "left_semi")
+    both = asked.select("path").unionByName(spec).distinct()
+    rows = resolve.nearest(both, homes).where(F.col("directory").isNotNull() & (F.col("directory") != target))
+    return rows.select(F.col("path").alias("source"), F.concat(F.lit(target), F.expr("substring(path, length(directory) + 1)")).alias("destination"))

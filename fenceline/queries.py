@@ -359,6 +359,12 @@ def layer_validate(t: Tables) -> DataFrame:
     return graph.layer_errors(p, rules.World(WORLD.layers[:4])).drop("cycle")
 
 
+@query(", paths AS (SELECT DISTINCT defining_file AS path, defining_package AS package FROM refs WHERE defining_file IS NOT NULL) SELECT path AS source, 'packages/new' || substr(path, len(package) + 1) AS destination FROM paths WHERE contains(package, 'asia')")
+def move_plan(t: Tables) -> DataFrame:
+    files = _files(t, "defining_file")
+    return commands.move_plan(files, files.where("path like 'packages/asia/%'"), t.packages(), "packages/new")
+
+
 # names and texts
 
 _WORDS = "SELECT p_partkey, lower(replace(p_type, ' ', '_')) || '/' || lower(replace(p_name, ' ', '_')) AS path FROM part"

@@ -181,6 +181,49 @@ def write_records(grouped: DataFrame, root: str, old: DataFrame | None = None) -
     return settled(groups.mapInPandas(write, "package string, action string"))
 
 
+def write_packages(changed: DataFrame, root: str) -> DataFrame:
+    """Write the package files of ``changed`` (PACKAGES rows) below ``root``, a folder that all executors share: the keys they were read
+    with, ``dependencies`` as it is now, in canonical order. (package, action), materialised."""
+    import os
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, keys, deps in zip(b["name"], b["client_keys"], b["dependencies"]):
+                raw = json.loads(keys) if keys else {}
+                raw.pop("dependencies", None)
+                if deps is not None and len(deps):
+                    raw["dependencies"] = list(deps)
+                path = os.path.join(root, "" if name == "." else name, PACKAGE_FILE)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path + ".part", "w") as f:
+                    f.write(package_text(raw))
+                os.replace(path + ".part", path)
+            yield pd.DataFrame({"package": b["name"], "action": "written"})
+
+    from ..operators.lineage import settled
+
+    return settled(changed.select("name", "client_keys", "dependencies").mapInPandas(write, "package string, action string"))
+
+
+def with_edges(packages_: DataFrame, edges_: DataFrame) -> DataFrame:
+    """``packages_`` whose dependencies are those of ``edges_`` (from_package, to_package)."""
+    new = edges_.groupBy(F.col("from_package").alias("name")).agg(F.sort_array(F.collect_set("to_package")).alias("_new"))
+    return packages_.join(new, "name", "left").withColumn("dependencies", F.col("_new")).select(*packages_.columns)
+
+
+def scaffold(root: str, name: str, text: str = "enforce_dependencies: true\n") -> str:
+    """Begin a package: its directory and file. One that exists is left alone, which is an error."""
+    import os
+
+    path = os.path.join(root, "" if name == "." else name, PACKAGE_FILE)
+    if os.path.exists(path):
+        raise FileExistsError(f"{path} already exists")
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
 @dataclass(frozen=True)
 class Settings:
     """What the configuration file of a tree says; all of it small."""

@@ -116,6 +116,21 @@ def test_other_commands(spark, tree, capsys):
         assert want in capsys.readouterr().out, args
 
 
+def test_commands_that_write_package_files(spark, tree, capsys):
+    root = ["--root", str(tree)]
+    cli.main([*root, "add-dependency", "packages/foo", "packages/bar"])
+    assert (tree / "packages/foo/package.yml").read_text() == "enforce_dependencies: true\nenforce_privacy: true\ndependencies:\n- packages/bar\n- packages/baz\nowner: team\nextra: 1\n"
+    cli.main([*root, "remove-dependency", "packages/foo", "packages/baz"])
+    assert "packages/baz" not in (tree / "packages/foo/package.yml").read_text() and (tree / "packages/bar/package.yml").read_text() == "enforce_privacy: true\n"
+    cli.main([*root, "create", "packages/new"])
+    assert (tree / "packages/new/package.yml").exists()
+    with pytest.raises(FileExistsError):
+        cli.main([*root, "create", "packages/new"])
+    capsys.readouterr()
+    cli.main([*root, "plan-move", "packages/bar/app/services/bar.rb", "--package", "packages/new"])
+    assert capsys.readouterr().out.strip() == "packages/bar/app/services/bar.rb packages/new/app/services/bar.rb"
+
+
 def test_definition_mode(spark, tree):
     (tree / "boundaries.yml").write_text("experimental_parser: true\nignored_definitions: {'::Bar': [packages/foo/app/services/again.rb]}\n")
     (tree / "packages/foo/app/services/again.rb").write_text("class Bar\nend\n")
