@@ -22,7 +22,7 @@ NONE = 1 << 62
 #: The same for arrays of 32-bit ranks.
 NO_PAIR = (1 << 31) - 1
 #: Pieces a worker remembers; the table starts anew when it is full, so memory is bounded.
-REMEMBER = 600_000
+REMEMBER = 400_000
 #: Bytes of the longest piece that is encoded together with others.
 WIDEST = 64
 

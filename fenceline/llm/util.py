@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Edges (of 16 bytes) that one task takes in ``components``.
-EDGES_A_TASK = 200_000
+#: Slim rows (a few longs) that one task takes in iterative jobs: some tens of MB.
+ROWS_A_TASK = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``cut(df)`` in as few partitions as its measured number of rows asks for; few rows then take no exchange to be grouped
+    or joined with each other. For slim rows only."""
+    df = cut(df)
+    return df.coalesce(_parts(df))
+
+
+def _parts(df: DataFrame) -> int:
+    return 1 + df.count() // ROWS_A_TASK
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, long; any direction, repeats allowed).
 
@@ -46,15 +57,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    # as few partitions as the measured number of edges asks for: few edges then take no exchange a round at all
-    both = both.coalesce(1 + both.count() // EDGES_A_TASK)
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    parts = _parts(both)
+    both = both.coalesce(parts)
+    # a cut forgets how rows lie; coalesce says it again, so that one partition stays one without exchanges
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))).coalesce(parts)
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b")
         near = seen.groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
         step = labels.join(near, "node").select("node", F.least("label", "l").alias("next"), "label")
         hop = labels.select(F.col("node").alias("next"), F.col("label").alias("up"))
-        new = cut(step.join(hop, "next").select("node", F.least("next", "up").alias("label"), F.col("label").alias("old")))
+        new = cut(step.join(hop, "next").select("node", F.least("next", "up").alias("label"), F.col("label").alias("old"))).coalesce(parts)
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
