@@ -2,9 +2,10 @@
 
 A sketch takes the k-mers of least hash value (an occurrence number makes repeats differ) and joins them in the order
 they have in the text, so texts agree on a sketch if they share those k-mers *in order*. Agreement on any of several
-sketches makes a candidate. Candidates go to pivots, not to all pairs: within a sketch value every text meets one text,
-and verified meetings are edges of which the classes are the connected components. Further rounds let what is still
-apart in a shared sketch value meet texts of the other class, drawn anew each round, until a round joins nothing.
+sketches makes a candidate. Candidates go to pivots, not to all pairs: within a sketch value every text meets the text
+that shares most sketch values with others, and verified meetings are edges of which the classes are the connected
+components. Pivots that have met all of a sketch value retire from it; further rounds take more pivots of those left, until
+no sketch value holds two texts of different classes that have not met. Classes are those of verifying all candidates.
 
 A meeting is verified on the whole texts. Labelled k-mers are unique in a text, so the best alignment of two k-mer
 sequences is the longest increasing run of matched positions; only matches in the diagonal band that similarity
@@ -32,6 +33,9 @@ K, THRESHOLD = 5, 0.8
 SKETCHES, ELEMENTS = 24, 4
 #: Members that meet one copy of a pivot's text; a hot pivot is dealt out over so many more tasks.
 PER_COPY = 256
+#: Pivots of a sketch value in the round after the first, and how many times more each further round takes; where no more
+#: texts are left than that, all of them meet.
+PIVOTS, GROWTH = 16, 4
 #: Parts that the rows of one text are dealt into.
 SALTS = 32
 #: Meetings (of four numbers) up to which they are broadcast, 16 MB or so; beyond, the join shuffles.
@@ -197,7 +201,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     return rows.select("pivot", "part", "node", "own", "body").mapInArrow(lambda it: _meet(it, threshold), "a long, b long")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rounds: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: id, class_id (the least id of its class), n_copies (documents of the same words).
 
     Documents of the same words (white space aside) are one text, held by the least id; classes are over texts. Documents
@@ -216,7 +220,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = salted.join(held, ["hash", "salt"], "left")
     member = cut(member.select("node", F.coalesce("held", "node").alias("held"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "n", "keys"))
     mine = member.where("node = held and n > 0")
-    labels = text_classes(mine.select("node", "n", F.explode("keys").alias("key")), rows, threshold, rounds)
+    labels = text_classes(mine.select("node", "n", F.explode("keys").alias("key")), rows, threshold)
     out = member.select("node", "held", "n_copies").join(labels.select(F.col("node").alias("held"), "label"), "held", "left")
     return out.select(F.col("node").alias(id_col), F.coalesce("label", "held").alias("class_id"), "n_copies")
 
@@ -228,25 +232,39 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     return docs.join(kept, docs[id_col] == kept["_id"], "left_semi").dropDuplicates([id_col])
 
 
-def text_classes(keys: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> DataFrame:
+def text_classes(keys: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Classes (node, label) of the texts of ``keys(node, n, key)``, one row a sketch, that have a link; see the module."""
     near = F.least("n", "pn") >= threshold * F.greatest("n", "pn")
-    first = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("p")).where("many > 1")
-    met = gathered(keys.join(first, "key").select("key", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")))
-    buckets, tried, links, labels = met.select("key", "node", "n"), None, None, None
-    for r in range(rounds):
-        if r:
-            apart = gathered(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-            draw = F.struct(F.xxhash64("node", "key", F.lit(r)), "node", "n", "label")
-            two = apart.groupBy("key").agg(F.min(draw).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-            met = apart.join(two, "key").where("label <> p.label").select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
-        pairs = gathered(met.where(near & (F.col("pivot") != F.col("node"))).select("pivot", "node").distinct())
-        if r:
-            pairs = gathered(pairs.join(tried, ["pivot", "node"], "left_anti"))
-        found = gathered(verified(pairs, docs, threshold))
-        if r and found.isEmpty():
-            break
-        tried = pairs if r == 0 else tried.unionByName(pairs)
-        links = found if r == 0 else links.unionByName(found)
-        labels = components(links)
-    return labels
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = gathered(keys.join(many, "key").select("key", "node", "n", "many"))
+    hubs = shared.groupBy("node").agg(F.sum("many").alias("hub"))
+    left = gathered(shared.join(hubs, "node").select("key", "node", "n", "hub"))
+    best = F.max(F.struct("hub", F.xxhash64("node").alias("h"), "node", "n")).alias("p")
+    met = left.join(left.groupBy("key").agg(best), "key")
+    left = gathered(met.where("node <> p.node").select("key", "node", "n", "hub"))
+    pairs = gathered(met.select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).where(near & (F.col("pivot") != F.col("node"))).select("pivot", "node").distinct())
+    tried, links, take = _unordered(pairs), gathered(verified(pairs, docs, threshold)), PIVOTS
+    labels = components(links)
+    while True:
+        # texts left are those that were no pivot of the sketch value; where they are of one class there is nothing to find
+        apart = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        two = apart.groupBy("key").agg(best, F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        drawn = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) * F.col("m") < F.lit(take << 20)
+        apart = gathered(apart.join(two, "key").select("key", "node", "n", "hub", "label", (drawn | (F.col("node") == F.col("p.node"))).alias("is_pivot")))
+        if apart.isEmpty():
+            return labels
+        pivots = apart.where("is_pivot").select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
+        once = ~F.col("is_pivot") | (F.col("pivot") < F.col("node"))  # two pivots meet once
+        pairs = apart.join(pivots, "key").where((F.col("label") != F.col("plabel")) & near & once).select("pivot", "node")
+        pairs = gathered(pairs.withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).groupBy("a", "b").agg(F.min("pivot").alias("pivot")).join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            found = gathered(verified(pairs.select("pivot", (F.col("a") + F.col("b") - F.col("pivot")).alias("node")), docs, threshold))
+            tried = tried.unionByName(pairs.select("a", "b"))
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                labels = components(links)
+        left, take = apart.where("not is_pivot").select("key", "node", "n", "hub"), take * GROWTH
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()

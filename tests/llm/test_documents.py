@@ -345,6 +345,32 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert rng
 
 
+def test_star_of_edited_copies_is_one_class(spark):
+    """Copies that are near the base, not each other, and texts whose only link is deep in a shared sketch value."""
+    rng = random.Random(43)
+    base = [f"v{k}" for k in range(200)]
+    rows = {0: " ".join(base)}
+    for i in range(1, 1001):
+        w = list(base)
+        for k in rng.sample(range(200), rng.randrange(3, 5)):
+            w[k] = f"e{i}x{k}"
+        rows[i] = " ".join(w)
+    sims = {i: order_minhash.Aligner(order_minhash.labelled_kmers(rows[0].split())).similarity(order_minhash.labelled_kmers(rows[i].split())) for i in rows}
+    want = classes(rows, [(0, i) for i in rows if sims[i] >= 0.8])
+    assert sum(c == 0 for c in want.values()) > 900
+    out = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(frame(spark, [(i, t, None, None, None) for i, t in rows.items()])).collect()}
+    assert {i for i in rows if want[i] == 0} <= {i for i in rows if out[i] == 0}
+
+
+def test_every_pair_of_a_sketch_value_meets(spark):
+    """One sketch value holds sixty texts, of which only two, neither of them a hub, are similar."""
+    words = lambda i: [f"t{i}w{k}" for k in range(60)]
+    docs = [(i, " ".join(words(i))) for i in range(59)] + [(59, " ".join([*words(31)[:59], "other"]))]
+    keys = spark.createDataFrame([(i, 56, 7) for i in range(60)] + [(i, 56, 8) for i in (0, 1)], "node long, n int, key long")
+    out = order_minhash.text_classes(keys, spark.createDataFrame(docs, "node long, body string")).collect()
+    assert {(r["node"], r["label"]) for r in out} == {(31, 31), (59, 31)}
+
+
 def test_alignment_keeps_order():
     k = order_minhash.labelled_kmers([f"w{i}" for i in range(200)])
     assert order_minhash.Aligner(k).similarity(k) == 1.0
