@@ -1,8 +1,9 @@
 """Secret scans, in DataFrame functions only: fixed patterns, and a randomness test battery over long tokens.
 
-A token of 20 characters or more that looks like an encoding (upper-case hex, base32, base36, base64) is read as digits
-of that encoding and tested for being uniformly random: chi-squared uniformity of the alphabet, number of runs above and
-below the middle, serial correlation at lag one. The three two-sided p values are combined by Fisher's method. A secret
+Every token of 20 characters or more is read as digits of the encoding that its characters tell (upper-case hex, base32,
+base36 of either case, letters of one or both cases, base64, and base64's alphabet for what is left) and tested for being
+uniformly random: chi-squared uniformity of the alphabet, number of runs above and below the middle, serial correlation at
+lag one, and in encodings that words have too the share of letters common in words. The two-sided p values are combined by Fisher's method. A secret
 gives p values spread evenly over 0 to 1, an identifier or a word gives p near 0; so in every stratum of encoding and
 length, the tokens above 0.5 tell how many are random, and the threshold is the least p at which the estimated share of
 false discoveries among what lies above stays within ``fdr``. Short tokens, which the tests can hardly tell, so get a
@@ -33,7 +34,14 @@ ENCODINGS = (
     ("random32", "^[A-Z2-7]+$", ("[2-7]", "[A-Z]"), UPPER + "234567"),
     ("random36", "^[a-z0-9]+$", ("[0-9]", "[g-z]"), DIGITS + LOWER),
     ("random64", "^[A-Za-z0-9+/]+$", ("[0-9]", "[A-Z]", "[a-z]"), UPPER + LOWER + DIGITS + "+/"),
+    ("random36u", "^[A-Z0-9]+$", ("[0-9]", "[A-Z]"), DIGITS + UPPER),
+    ("random26", "^[a-z]+$", (), LOWER),
+    ("random26u", "^[A-Z]+$", (), UPPER),
+    ("random52", "^[A-Za-z]+$", (), UPPER + LOWER),
+    ("random64any", "^[A-Za-z0-9+/]+$", (), UPPER + LOWER + DIGITS + "+/"),  # the rest, so that no token leaves untested
 )
+#: Encodings that words, identifiers and paths have too, and the letters that make up most of words in Latin script.
+WORDED, COMMON = ("random26", "random26u", "random52", "random64any"), "aeinorst"
 #: Order of the kinds where spans start together.
 KINDS = ("assign", "access", "hex", *(e[0] for e in ENCODINGS))
 #: Steps in which p is counted for the thresholds.
@@ -69,7 +77,7 @@ def _two_sided(z: Column) -> Column:
 
 
 def battery(tokens: Column) -> Column:
-    """For an array of (start, end, token): those with an encoding as (start, end, kind, band, p).
+    """For an array of (start, end, token): each as (start, end, kind, band, p).
 
     ``band`` is the binary logarithm of the length; p the combined p value of uniform randomness.
     """
@@ -82,12 +90,17 @@ def battery(tokens: Column) -> Column:
             out = F.when(fits, value) if out is None else out.when(fits, value)
         return out
 
+    def common(token: Column) -> Column:  # deviations from the share that uniformly random letters have of these
+        letters, share = F.length(F.regexp_replace(token, "[^A-Za-z]", "")), len(COMMON) / 26
+        hits = F.length(token) - F.length(F.translate(token, COMMON + COMMON.upper(), ""))
+        return (hits - letters * share) / F.sqrt(F.greatest(letters, F.lit(1)) * share * (1 - share))
+
     url = lambda c: F.translate(c, "-_", "+/")
     a = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), url(t["token"]).alias("token")))
     a = F.transform(a, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), encoding(t["token"]).alias("e")))
-    a = F.filter(a, lambda t: t["e"].isNotNull())
     a = F.transform(a, lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), t["e"]["kind"].alias("kind"), F.length(t["e"]["alphabet"]).cast("double").alias("a"), F.length(t["token"]).alias("n"),
+        F.when(t["e"]["kind"].isin(*WORDED), common(t["token"])).alias("common"),
         F.transform(F.split(t["token"], ""), lambda c: (F.call_function("instr", t["e"]["alphabet"], c) - 1).cast("double")).alias("v"),
     ))
 
@@ -103,7 +116,7 @@ def battery(tokens: Column) -> Column:
         lag = F.aggregate(pairs(v, lambda x, y: (x - middle) * (y - middle)), F.lit(0.0), lambda acc, x: acc + x)
         return F.struct(
             *[t[c].alias(c) for c in ("start", "end", "kind", "n")], uniform.alias("uniform"), runs.alias("runs"), n1.alias("n1"),
-            (lag / ((size * size - 1) / 12) / F.sqrt(n - 1)).alias("serial"),
+            (lag / ((size * size - 1) / 12) / F.sqrt(n - 1)).alias("serial"), t["common"].alias("common"),
         )
 
     def combined(t: Column) -> Column:
@@ -111,17 +124,19 @@ def battery(tokens: Column) -> Column:
         mean = 2 * n1 * (n - n1) / n
         sd = F.sqrt(F.greatest(mean * (mean - 1) / (n - 1), F.lit(1e-9)))
         half = -(F.log(_two_sided(t["uniform"])) + F.log(_two_sided((t["runs"] - 1 - mean) / sd)) + F.log(_two_sided(t["serial"])))
-        return F.struct(*[t[c].alias(c) for c in ("start", "end", "kind")], F.floor(F.log2(n)).cast("int").alias("band"), half.alias("half"))
+        half = half - F.coalesce(F.log(_two_sided(t["common"])), F.lit(0.0))
+        return F.struct(*[t[c].alias(c) for c in ("start", "end", "kind")], F.floor(F.log2(n)).cast("int").alias("band"), half.alias("half"), t["common"].isNotNull().alias("four"))
 
-    def p_value(t: Column) -> Column:  # Fisher: chi-squared of six degrees of freedom, beyond twice ``half``
-        return F.struct(*[t[c].alias(c) for c in ("start", "end", "kind", "band")], (F.exp(-t["half"]) * (1 + t["half"] + t["half"] * t["half"] / 2)).alias("p"))
+    def p_value(t: Column) -> Column:  # Fisher: chi-squared of six (four tests: eight) degrees of freedom, beyond twice ``half``
+        fourth = F.when(t["four"], F.pow(t["half"], F.lit(3.0)) / 6).otherwise(F.lit(0.0))
+        return F.struct(*[t[c].alias(c) for c in ("start", "end", "kind", "band")], (F.exp(-t["half"]) * (1 + t["half"] + t["half"] * t["half"] / 2 + fourth)).alias("p"))
 
     return F.transform(F.transform(F.transform(a, tests), combined), p_value)
 
 
 def thresholds(scanned: DataFrame, fdr: float = 0.05, col: str = "candidates") -> dict[tuple[str, int], float]:
     """Least accepted p by (kind, band). Counts come from all candidates; a row a stratum and bin reaches the driver, at
-    most 4 encodings x 32 bands x BINS whatever the corpus holds."""
+    most 9 encodings x 32 bands x BINS whatever the corpus holds."""
     c = scanned.select(F.explode(col).alias("c")).select("c.kind", "c.band", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts: dict = {}
     for r in c.groupBy("kind", "band", "bin").count().collect():

@@ -116,6 +116,25 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert hits >= 135 and false <= 8
 
 
+def test_random_tokens_of_every_alphabet_are_found(spark):
+    rng = random.Random(13)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"random36u": digits + lower.upper(), "random52": lower + lower.upper(), "random26": lower, "random26u": lower.upper(), "random64any": lower + lower.upper() + "+/", "random36": digits + lower}
+    words = "information international description of the administration development environment organisation configuration".split()
+    rows, kind_of = [], {}
+    for kind, alphabet in kinds.items():
+        for _ in range(60):
+            kind_of[len(rows)] = kind
+            rows.append((len(rows), "key " + "".join(rng.choice(alphabet) for _ in range(40)), None, None, None))
+    for _ in range(150):
+        join = rng.choice(["", "-", "/"])
+        rows.append((len(rows), "see " + join.join(rng.choice(words) for _ in range(4)), None, None, None))
+    found = {r["doc_id"]: r["secrets"]["all"] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    for kind in kinds:
+        assert sum(any(s["end"] - s["start"] == 40 for s in found[i]) for i, k in kind_of.items() if k == kind) >= 45, kind
+    assert sum(bool(found[i]) for i in range(len(kind_of), len(rows))) <= 8
+
+
 def test_redaction_and_odd_secrets(spark):
     docs = frame(spark, odd(random.Random(1)))
     out = secret_scan.scan(docs, out="found")
