@@ -66,13 +66,16 @@ def size(record: DataFrame) -> DataFrame:
 
 
 def update_stats(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: violations added and removed, record files added, changed and deleted."""
-    a, b = size(old).withColumnRenamed("n", "was"), size(new).withColumnRenamed("n", "now")
-    text = lambda r, name: r.groupBy("referencing_package").agg(F.sort_array(F.collect_list(F.struct("defining_package", "constant_name", "violations", "files"))).alias(name))
-    both = a.join(text(old, "old_rows"), "referencing_package").join(b.join(text(new, "new_rows"), "referencing_package"), "referencing_package", "full_outer")
-    was, now = F.coalesce("was", F.lit(0)), F.coalesce("now", F.lit(0))
+    """One row: violations added and removed, record files added, changed and deleted. Records are compared group by group
+    (of each key one row a record), so no package's whole record is ever in one place."""
+    keys = ["referencing_package", "defining_package", "constant_name"]
+    sided = lambda r, side: r.select(*keys, F.struct("violations", "files").alias(side))
+    rows = sided(old, "w").join(sided(new, "x"), keys, "full_outer")
+    entries = lambda side: F.coalesce(F.sum(F.size(f"{side}.files")), F.lit(0)).cast("long")
+    here = lambda side: F.max(F.col(side).isNotNull())
+    both = rows.groupBy("referencing_package").agg(entries("w").alias("was"), entries("x").alias("now"), here("w").alias("old"), here("x").alias("new"), F.max(~F.col("w").eqNullSafe(F.col("x"))).alias("differs"))
+    more = F.col("now") - F.col("was")
     return both.agg(
-        F.coalesce(F.sum(F.greatest(now - was, F.lit(0))), F.lit(0)).alias("violations_added"), F.coalesce(F.sum(F.greatest(was - now, F.lit(0))), F.lit(0)).alias("violations_removed"),
-        F.count_if(F.col("was").isNull()).alias("files_added"), F.count_if(F.col("was").isNotNull() & F.col("now").isNotNull() & (F.col("old_rows") != F.col("new_rows"))).alias("files_changed"),
-        F.count_if(F.col("now").isNull()).alias("files_deleted"),
+        F.coalesce(F.sum(F.greatest(more, F.lit(0))), F.lit(0)).alias("violations_added"), F.coalesce(F.sum(F.greatest(-more, F.lit(0))), F.lit(0)).alias("violations_removed"),
+        F.count_if(~F.col("old")).alias("files_added"), F.count_if(F.col("old") & F.col("new") & F.col("differs")).alias("files_changed"), F.count_if(~F.col("new")).alias("files_deleted"),
     )

@@ -115,6 +115,23 @@ def test_merge_and_stats(spark):
 # resolution
 
 
+def test_stats_brute_force_without_gathering_packages(spark):
+    rng = random.Random(5)
+    draw = lambda: [(f"p{p}", f"d{d}", f"::C{c}", sorted(rng.sample("ab", rng.randrange(1, 3))), sorted(rng.sample("xyz", rng.randrange(1, 4)))) for p in rng.sample(range(30), 22) for d in range(2) for c in range(2) if rng.random() < 0.6]
+    old, new = draw(), draw()
+    new = [r for r in new if r[0] not in ("p1", "p2", "p3")] + [r for r in old if r[0] in ("p1", "p2", "p3")]
+    by = lambda rows: {p: [r for r in rows if r[0] == p] for p in {r[0] for r in rows}}
+    a, b = by(old), by(new)
+    n = lambda side, p: sum(len(r[4]) for r in side.get(p, []))
+    out = baseline.update_stats(record(spark, old), record(spark, new))
+    want = {
+        "violations_added": sum(max(n(b, p) - n(a, p), 0) for p in a | b), "violations_removed": sum(max(n(a, p) - n(b, p), 0) for p in a | b), "files_added": len(b.keys() - a.keys()),
+        "files_changed": sum(sorted(a[p]) != sorted(b[p]) for p in a.keys() & b.keys()), "files_deleted": len(a.keys() - b.keys()),
+    }
+    assert out.first().asDict() == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def ladder(name, space, defined, truncate):
     plain, path = (name[2:], []) if name.startswith("::") else (name, space)
     parts = plain.split("::")
