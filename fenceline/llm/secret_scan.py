@@ -6,7 +6,8 @@ uniformly random: chi-squared uniformity of the alphabet, number of runs above a
 lag one, and in encodings that words have too the share of letters common in words. The two-sided p values are combined by Fisher's method. A secret
 gives p values spread evenly over 0 to 1, an identifier or a word gives p near 0; so in every stratum of encoding and
 length, the tokens above 0.5 tell how many are random, and the threshold is the least p at which the estimated share of
-false discoveries among what lies above stays within ``fdr``. Short tokens, which the tests can hardly tell, so get a
+false discoveries among what lies above stays within ``fdr``. How many are random is known up to chance only: an excess
+that chance explains counts as none, down to p of ``FLOOR``, so that thin strata keep their secrets. Short tokens, which the tests can hardly tell, so get a
 higher threshold than long ones.
 """
 
@@ -46,6 +47,8 @@ WORDED, COMMON = ("random26", "random26u", "random52", "random64any"), "aeinorst
 KINDS = ("assign", "access", "hex", *(e[0] for e in ENCODINGS))
 #: Steps in which p is counted for the thresholds.
 BINS = 200
+#: Least p that is accepted on the strength of chance alone, and the deviations and tokens that chance may explain.
+FLOOR, DEVIATIONS, FEW = 0.02, 1.645, 3.0
 
 
 def _spans(text: Column, pattern: str, long_enough: Column | None = None) -> Column:
@@ -143,18 +146,28 @@ def thresholds(scanned: DataFrame, fdr: float = 0.05, col: str = "candidates") -
         counts.setdefault((r["kind"], r["band"]), {})[r["bin"]] = r["count"]
     out = {}
     for stratum, bins in counts.items():
-        random = 2 * sum(n for b, n in bins.items() if 2 * b >= BINS)
-        accepted, best = 0, None
-        for b in range(BINS - 1, -1, -1):
-            accepted += bins.get(b, 0)
-            false = max(0.0, accepted - random * (1 - b / BINS))
-            if accepted and false <= fdr * accepted:
-                best = b / BINS
+        best = _least(bins, fdr)
         if best is not None:
             out[stratum] = best
     return out
 
 
+def _least(bins: dict[int, int], fdr: float) -> float | None:
+    """Least accepted p of a stratum of ``bins`` (bin: tokens), None where it holds none to accept.
+
+    The count above 0.5 and that below differ by chance even if all are random; the allowance is the upper 95 % of that.
+    """
+    upper = sum(n for b, n in bins.items() if 2 * b >= BINS)
+    chance = DEVIATIONS * (2 * upper) ** 0.5 + FEW
+    accepted, best = 0, None
+    for b in range(BINS - 1, -1, -1):
+        accepted += bins.get(b, 0)
+        false = accepted - 2 * upper * (1 - b / BINS)
+        if accepted and false - (chance if b >= FLOOR * BINS else 0.0) <= fdr * accepted:
+            best = b / BINS
+    return best
+
+
 def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets", fdr: float = 0.05, keep_text: bool = True) -> DataFrame:
     """``docs`` (without its text unless ``keep_text``) with a struct ``out``: base and all, arrays of (start, rank, end, kind) in order of start, then kind.
 

@@ -135,6 +135,19 @@ def test_random_tokens_of_every_alphabet_are_found(spark):
     assert sum(bool(found[i]) for i in range(len(kind_of), len(rows))) <= 8
 
 
+@pytest.mark.parametrize("names", [0, 1000])
+def test_few_random_tokens_of_a_stratum_are_accepted(names):
+    rng = random.Random(17)
+    for n in (1, 3, 5, 10, 30, 1000):
+        hit = 0
+        for _ in range(300):
+            p = [int(rng.random() * secret_scan.BINS) for _ in range(n)]
+            least = secret_scan._least(collections.Counter([*p, *[0] * names]), 0.05)
+            hit += sum(least is not None and b >= least * secret_scan.BINS for b in p)
+            assert names == 0 or least is None or least > 0
+        assert hit >= 0.93 * 300 * n
+
+
 def test_redaction_and_odd_secrets(spark):
     docs = frame(spark, odd(random.Random(1)))
     out = secret_scan.scan(docs, out="found")
