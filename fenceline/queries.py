@@ -166,6 +166,16 @@ def unnecessary_dependencies(t: Tables) -> DataFrame:
     return usage.unnecessary_dependencies(t.edges(), _few(t.refs()))
 
 
+_DECLARED = ", declared AS (SELECT * FROM edges UNION ALL SELECT name, 'packages/none' FROM nations)\n"
+
+
+@query(_DECLARED + "SELECT from_package, to_package FROM declared WHERE NOT EXISTS (SELECT 1 FROM refs WHERE referencing_package = from_package AND defining_package = to_package)")
+def unnecessary_dependencies_all(t: Tables) -> DataFrame:
+    """Of all references; every package also declares one that defines nothing, so that some edges are unused."""
+    none = t.nations().select(F.col("name").alias("from_package"), F.lit("packages/none").alias("to_package"))
+    return usage.unnecessary_dependencies(t.edges().unionByName(none), t.refs())
+
+
 @query(f"SELECT DISTINCT from_package AS package FROM edges WHERE to_package = '{ONE}' AND from_package <> '{ONE}'")
 def dependents(t: Tables) -> DataFrame:
     return usage.dependents(t.edges(), ONE)
@@ -227,6 +237,13 @@ def intersect_files(t: Tables) -> DataFrame:
     return usage.intersect_files(_files(t).where(n % 5 == 0), _files(t).where(n % 3 == 0))
 
 
+@query("SELECT file AS path FROM violations WHERE violation_type = 'dependency' INTERSECT SELECT file FROM violations WHERE violation_type = 'privacy'")
+def intersect_files_all(t: Tables) -> DataFrame:
+    """All files that break both of two rules."""
+    files = lambda rule: _found(t, only=[rule]).select(F.col("file").alias("path"))
+    return usage.intersect_files(files("dependency"), files("privacy"))
+
+
 @query("""SELECT referencing_file, string_agg(constant_name || '=' || defining_file, ',' ORDER BY constant_name) AS constants
 FROM (SELECT referencing_file, constant_name, max(defining_file) AS defining_file FROM refs WHERE defining_file IS NOT NULL GROUP BY ALL) GROUP BY 1""")
 def reference_map(t: Tables) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fenceline import queries
 from fenceline.functions import globs, names
 from fenceline.operators import baseline, graph, resolve, rules, usage
 from fenceline.operators.rules import World
@@ -132,6 +133,17 @@ def test_stats_brute_force_without_gathering_packages(spark):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["unnecessary_dependencies_all", "intersect_files_all", "update_stats"])
+def test_queries_of_whole_tables_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("nation", "region", "lineitem", "orders", "customer", "supplier", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).fetchall()
+    assert want and sorted(tuple(r) for r in queries.queries()[name](spark, folder).collect()) == sorted(want)
+
+
 def ladder(name, space, defined, truncate):
     plain, path = (name[2:], []) if name.startswith("::") else (name, space)
     parts = plain.split("::")
