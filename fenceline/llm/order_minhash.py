@@ -225,11 +225,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("node").alias(id_col), F.coalesce("label", "held").alias("class_id"), "n_copies")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id; all columns stay. Rows that repeat an id become one row;
-    rows without an id are left out."""
-    kept = near_classes(docs, id_col=id_col, **kw).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_id"))
-    return docs.join(kept, docs[id_col] == kept["_id"], "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` with one document of each class, that of the least id; all columns stay. Rows that repeat an id become one row,
+    of the text that ``near_classes`` judges; rows without an id are left out."""
+    kept = near_classes(docs, id_col=id_col, text_col=text_col, **kw).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_id"))
+    rows = docs.join(kept, docs[id_col] == kept["_id"], "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(whole, F.xxhash64(text_col)).alias("_row")).select("_row.*")
 
 
 def text_classes(keys: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

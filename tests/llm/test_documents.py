@@ -421,6 +421,13 @@ def test_near_classes_on_odd_and_empty_tables(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 
+def test_kept_text_is_the_one_judged(spark):
+    rows = [(i, f"text {i} {k} " + prose(random.Random(i * 9 + k), 20), None, None, None) for i in range(8) for k in range(4)]
+    docs = frame(spark, rows).repartition(4)
+    want = {r["doc_id"]: r["t"] for r in docs.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("t")).collect()}
+    assert {r["doc_id"]: r["text"] for r in order_minhash.keep_one(docs).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(41)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 380)] + [(None, 3), (5, 5)]
