@@ -2,10 +2,13 @@
 
 A sketch takes the k-mers of least hash value (an occurrence number makes repeats differ) and joins them in the order
 they have in the text, so texts agree on a sketch if they share those k-mers *in order*. Agreement on any of several
-sketches makes a candidate. Candidates go to pivots, not to all pairs: within a sketch value every text meets the text
-that shares most sketch values with others, and verified meetings are edges of which the classes are the connected
-components. Pivots that have met all of a sketch value retire from it; further rounds take more pivots of those left, until
-no sketch value holds two texts of different classes that have not met. Classes are those of verifying all candidates.
+sketches makes a candidate; verified candidates are edges of which the classes are the connected components.
+
+Candidates are not listed as pairs. The texts of a sketch value go to tiles, some pivots and some members each, and a tile
+looks up the k-mers of a member among those of all its pivots at once; only pairs that share enough k-mers and are not
+yet in one class are aligned. Sketch values of the same texts are one. Where a value holds more texts than ``PIVOTS``, a
+round takes so many of them as pivots, which meet all others of the value and retire from it; rounds go on with more pivots
+until no value holds two texts of different classes that have not met. Classes are those of verifying all candidates.
 
 A meeting is verified on the whole texts. Labelled k-mers are unique in a text, so the best alignment of two k-mer
 sequences is the longest increasing run of matched positions; only matches in the diagonal band that similarity
@@ -16,30 +19,31 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .util import WORD, components, cut, gathered
+from .util import WORD, components, counted, cut, observed, parts_of
 
 #: Words of a k-mer; similarity from which two texts are near duplicates.
 K, THRESHOLD = 5, 0.8
 #: Sketches, and k-mers in a sketch. At similarity 0.8 a sketch agrees with probability 0.8 ** 4 = 0.41 or so, all 24 fail
 #: with 3e-6; at 0.3, which a shared passage may give, any agrees with 0.18.
 SKETCHES, ELEMENTS = 24, 4
-#: Members that meet one copy of a pivot's text; a hot pivot is dealt out over so many more tasks.
-PER_COPY = 256
-#: Pivots of a sketch value in the round after the first, and how many times more each further round takes; where no more
-#: texts are left than that, all of them meet.
-PIVOTS, GROWTH = 16, 4
+#: Pivots of a sketch value in the first round, and how many times more each further round takes; where no more texts are
+#: left than that, all of them meet.
+PIVOTS, GROWTH = 1024, 16
+#: K-mers of the pivots, and of the members, of a tile about (8 bytes each): a sketch value of more is dealt out over more tiles.
+TILE_KMERS = 200_000
 #: Parts that the rows of one text are dealt into.
 SALTS = 32
-#: Meetings (of four numbers) up to which they are broadcast, 16 MB or so; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows of tiles (a few numbers each) up to which they are broadcast, 16 MB or so; beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 
 _words = re.compile(WORD).findall
 _MIX = np.uint64(0xBF58476D1CE4E5B9)  # an odd constant; any will do
@@ -165,40 +169,119 @@ def signature(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n": sizes, "keys": keys})
 
 
+@F.pandas_udf(BinaryType())
+def kmer_bytes(text: pd.Series) -> pd.Series:
+    return pd.Series([labelled_kmers(_words(t or "")).tobytes() for t in text], dtype=object)
+
+
+class Tile:
+    """Pivots that members meet. ``meet`` gives the links between texts of labels that this tile has not joined before."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.nodes, self.labels, self.kmers = threshold, [], [], []
+        self.aligners: dict[int, Aligner] = {}
+        self.up: dict[int, int] = {}  # label -> label that it was joined to
+        self.sorted: np.ndarray | None = None
+
+    def root(self, label: int) -> int:
+        while (over := self.up.get(label, label)) != label:
+            self.up[label] = label = self.up.get(over, over)
+        return label
+
+    def add(self, node: int, label: int, kmers: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.labels.append(label)
+        self.kmers.append(kmers)
+
+    def shared(self, kmers: np.ndarray) -> np.ndarray:
+        """Of each pivot, how many of ``kmers`` it has."""
+        if self.sorted is None:
+            flat = np.concatenate(self.kmers)
+            order = np.argsort(flat, kind="stable")
+            self.sorted, self.owner = flat[order], np.repeat(np.arange(len(self.kmers), dtype=np.int32), [len(k) for k in self.kmers])[order]
+            self.sizes = np.array([len(k) for k in self.kmers])
+        low, high = np.searchsorted(self.sorted, kmers, "left"), np.searchsorted(self.sorted, kmers, "right")
+        hit = high > low
+        low, n = low[hit], (high - low)[hit]
+        out = np.zeros(len(self.kmers), np.int64)
+        most = max(1, 4_000_000 // max(1, int(n.max(initial=1))))  # few k-mers at a time where many pivots have them
+        for k in range(0, len(n), most):
+            lo, m = low[k : k + most], n[k : k + most]
+            at = np.arange(m.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(m)[:-1]]), m)
+            out += np.bincount(self.owner[at], minlength=len(out))
+        return out
+
+    def meet(self, node: int, label: int, kmers: np.ndarray):
+        n, t = len(kmers), self.threshold
+        shared = self.shared(kmers)
+        enough = shared >= t / (1 + t) * (self.sizes + n) - 1e-9
+        for k in np.flatnonzero(enough).tolist():
+            a, b = self.root(label), self.root(self.labels[k])
+            if a == b:
+                continue
+            if k not in self.aligners:
+                self.aligners[k] = Aligner(self.kmers[k], t)
+            if self.aligners[k].similarity(kmers) >= t:
+                self.up[a] = b
+                yield self.nodes[k], node
+
+
 def _meet(batches, threshold: float):
-    """Rows come sorted: of a (pivot, copy) the pivot's own text first. Verified meetings go out."""
+    """Rows come sorted by tile, of each tile the pivots (own 1 or, where they are members of the tile too, 2) first."""
     import pyarrow as pa
 
-    now, aligner = None, None
-    for b in batches:
-        cols = [b.column(k).to_pylist() for k in ("pivot", "part", "node", "own", "body")]
-        found = []
-        for pivot, part, node, own, body in zip(*cols):
-            kmers = labelled_kmers(_words(body or ""))
-            if (pivot, part) != now:
-                now, aligner = (pivot, part), None
-            if own:
-                aligner = Aligner(kmers, threshold)
-            elif aligner is not None and aligner.similarity(kmers) >= threshold:
-                found.append((pivot, node))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of ``pairs(pivot, node)`` those whose ``docs(node, body)`` are similar, as (a, b).
-
-    A pivot's members are split into parts of about PER_COPY, each with its own copy of the pivot's text, so that one hot
-    pivot is many groups. Every text is shuffled to its meetings; nothing is grouped in memory.
+    def links():
+        now, tile, both, waiting = None, Tile(threshold), [], False
+        names = ("key", "block", "part", "own", "node", "label", "kmers")
+        for b in batches:
+            for key, block, part, own, node, label, data in zip(*(b.column(k).to_pylist() for k in names)):
+                if (key, block, part) != now:
+                    if waiting:
+                        for k in both:
+                            yield from tile.meet(tile.nodes[k], tile.labels[k], tile.kmers[k])
+                    now, tile, both, waiting = (key, block, part), Tile(threshold), [], True
+                kmers = np.frombuffer(data, np.uint64)
+                if own:
+                    if own == 2:
+                        both.append(len(tile.nodes))
+                    tile.add(node, label, kmers)
+                elif tile.nodes:
+                    yield from tile.meet(node, label, kmers)
+        for k in both:
+            yield from tile.meet(tile.nodes[k], tile.labels[k], tile.kmers[k])
+
+    source = links()
+    while part := list(islice(source, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def tiles(apart: DataFrame, tile_kmers: int = TILE_KMERS) -> DataFrame:
+    """``apart(key, node, n, label, is_pivot)`` dealt out: (key, block, part, own, node, label). The pivots of a key are split into blocks
+    and its texts into parts by their k-mers; every part meets every block. own: 0 a member, 1 a pivot, 2 a pivot of the only
+    tile of its key, which is there once for both."""
+    split = lambda n: F.greatest(F.lit(1), F.ceil(F.sum(n) / tile_kmers)).cast("int")
+    sizes = apart.groupBy("key").agg(split(F.when(F.col("is_pivot"), F.col("n")).otherwise(F.lit(0))).alias("blocks"), split(F.col("n")).alias("parts"))
+    rows = apart.join(sizes, "key")
+    one = (F.col("blocks") == 1) & (F.col("parts") == 1)
+    of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pivots = rows.where("is_pivot").select("key", of("blocks").alias("block"), each("parts").alias("part"), F.when(one, F.lit(2)).otherwise(F.lit(1)).alias("own"), "node", "label")
+    members = rows.where(~(one & F.col("is_pivot"))).select("key", each("blocks").alias("block"), of("parts").alias("part"), F.lit(0).alias("own"), "node", "label")
+    return pivots.unionByName(members)
+
+
+def verified(apart: DataFrame, n_apart: int, docs: DataFrame, threshold: float = THRESHOLD, tile_kmers: int = TILE_KMERS) -> DataFrame:
+    """Links (a, b) between texts of different labels of one key, enough to connect all that are similar; ``docs(node, body)``.
+
+    The k-mers of a text are made once and go with it to its tiles; nothing is grouped in memory but the pivots of a tile.
     """
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PER_COPY).cast("int").alias("parts"))
-    split = pairs.join(sizes, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("own"))
-    copies = sizes.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("own"))
-    asked = gathered(split.unionByName(copies))
-    if asked.count() <= BROADCAST_ROWS:  # so few rows fit anywhere and spare the shuffle of all other texts
-        docs, asked = docs.join(F.broadcast(asked.select("node").distinct()), "node", "left_semi"), F.broadcast(asked)
-    texts = docs.groupBy("node").agg(F.max_by("body", F.xxhash64("body")).alias("body"))
-    rows = texts.join(asked, "node").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("own").desc())
-    return rows.select("pivot", "part", "node", "own", "body").mapInArrow(lambda it: _meet(it, threshold), "a long, b long")
+    asked, wanted = tiles(apart, tile_kmers), apart.select("node").distinct()
+    if n_apart <= BROADCAST_ROWS:  # so few rows spare the shuffle of all other texts
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.max_by("body", F.xxhash64("body")).alias("body"))
+    rows = texts.select("node", kmer_bytes("body").alias("kmers")).join(asked, "node")
+    rows = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", F.col("own").desc(), "node")
+    return rows.select("key", "block", "part", "own", "node", "label", "kmers").mapInArrow(lambda it: _meet(it, threshold), "a long, b long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -234,39 +317,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return rows.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(whole, F.xxhash64(text_col)).alias("_row")).select("_row.*")
 
 
-def text_classes(keys: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def text_classes(keys: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, tile_kmers: int = TILE_KMERS) -> DataFrame:
     """Classes (node, label) of the texts of ``keys(node, n, key)``, one row a sketch, that have a link; see the module."""
-    near = F.least("n", "pn") >= threshold * F.greatest("n", "pn")
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = gathered(keys.join(many, "key").select("key", "node", "n", "many"))
-    hubs = shared.groupBy("node").agg(F.sum("many").alias("hub"))
-    left = gathered(shared.join(hubs, "node").select("key", "node", "n", "hub"))
-    best = F.max(F.struct("hub", F.xxhash64("node").alias("h"), "node", "n")).alias("p")
-    met = left.join(left.groupBy("key").agg(best), "key")
-    left = gathered(met.where("node <> p.node").select("key", "node", "n", "hub"))
-    pairs = gathered(met.select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).where(near & (F.col("pivot") != F.col("node"))).select("pivot", "node").distinct())
-    tried, links, take = _unordered(pairs), gathered(verified(pairs, docs, threshold)), PIVOTS
-    labels = components(links)
+    mixed = F.bit_xor(F.xxhash64("node"))
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), mixed.alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("m > 1")
+    many = many.groupBy("m", "x", "lo", "hi").agg(F.min("key").alias("key"))  # sketch values of the same texts are one
+    left = keys.join(many, "key").select("key", "node", "n")
+    links, n_links, labels = None, 0, None
     while True:
         # texts left are those that were no pivot of the sketch value; where they are of one class there is nothing to find
-        apart = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        two = apart.groupBy("key").agg(best, F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        drawn = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) * F.col("m") < F.lit(take << 20)
-        apart = gathered(apart.join(two, "key").select("key", "node", "n", "hub", "label", (drawn | (F.col("node") == F.col("p.node"))).alias("is_pivot")))
-        if apart.isEmpty():
-            return labels
-        pivots = apart.where("is_pivot").select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
-        once = ~F.col("is_pivot") | (F.col("pivot") < F.col("node"))  # two pivots meet once
-        pairs = apart.join(pivots, "key").where((F.col("label") != F.col("plabel")) & near & once).select("pivot", "node")
-        pairs = gathered(pairs.withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).groupBy("a", "b").agg(F.min("pivot").alias("pivot")).join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            found = gathered(verified(pairs.select("pivot", (F.col("a") + F.col("b") - F.col("pivot")).alias("node")), docs, threshold))
-            tried = tried.unionByName(pairs.select("a", "b"))
-            if not found.isEmpty():
-                links = links.unionByName(found)
+        known = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        two = known.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("p")).where("lo < hi")
+        drawn = (F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) * F.col("m") < F.lit(pivots << 20)) | (F.col("node") == F.col("p.node"))
+        apart = known.join(two, "key").select("key", "node", "n", "label", drawn.alias("is_pivot"))
+        apart, seen = observed(apart, n=F.count(F.lit(1)), left=F.sum((~F.col("is_pivot")).cast("long")))
+        apart = apart.coalesce(parts_of(seen["n"]))
+        if seen["n"]:
+            found, n_found = counted(verified(apart, seen["n"], docs, threshold, tile_kmers))
+            if n_found or links is None:
+                n_links += n_found
+                links = found if links is None else links.unionByName(found).coalesce(parts_of(n_links))
                 labels = components(links)
-        left, take = apart.where("not is_pivot").select("key", "node", "n", "hub"), take * GROWTH
-
-
-def _unordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        if not seen["left"]:
+            return keys.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
+        left, pivots = apart.where("not is_pivot").select("key", "node", "n"), pivots * GROWTH
