@@ -403,6 +403,41 @@ def test_every_pair_of_a_sketch_value_meets(spark):
     assert {(r["node"], r["label"]) for r in out} == {(31, 31), (59, 31)}
 
 
+@pytest.mark.parametrize("pivots,tile_kmers", [(1024, 200_000), (5, 2_000)])
+def test_no_link_of_texts_of_one_template_is_lost(spark, pivots, tile_kmers):
+    """Texts that share most of their words, of which only pairs are similar: one sketch value, hundreds of classes."""
+    rng = random.Random(47)
+    shared = [f"t{k}" for k in range(264)]
+    rows = {}
+    for pair in range(300):
+        mine = [f"p{pair}x{k}" for k in range(9)]
+        for copy in range(2):
+            rows[2 * pair + copy] = " ".join([*shared, *mine, *(f"o{rng.randrange(10**9)}" for _ in range(27))])
+    kmers = {i: order_minhash.labelled_kmers(t.split()) for i, t in rows.items()}
+    links = [(2 * p, 2 * p + 1) for p in range(300)]
+    assert all(order_minhash.Aligner(kmers[a]).similarity(kmers[b]) >= 0.8 for a, b in links)
+    assert all(order_minhash.Aligner(kmers[a]).similarity(kmers[a + 2]) < 0.8 for a in range(0, 598, 7))
+    docs = frame(spark, [(i, t, None, None, None) for i, t in rows.items()])
+    if pivots == order_minhash.PIVOTS:
+        out = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(docs).collect()}
+        assert out == classes(rows, links)
+    else:  # more rounds, more tiles, the same classes
+        keys = [(i, len(k), int(s)) for i, k in kmers.items() for s in order_minhash.sketches(k)]
+        keys = spark.createDataFrame(keys, "node long, n int, key long")
+        out = order_minhash.text_classes(keys, docs.selectExpr("doc_id as node", "text as body"), pivots=pivots, tile_kmers=tile_kmers).collect()
+        assert {r["node"]: r["label"] for r in out} == classes(rows, links)
+
+
+def test_tile_counts_shared_kmers():
+    rng = np.random.default_rng(5)
+    sets = [rng.choice(400, size, replace=False).astype(np.uint64) for size in (0, 1, 50, 200, 399)]
+    tile = order_minhash.Tile(0.8)
+    for i, s in enumerate(sets):
+        tile.add(i, i, s)
+    for s in sets:
+        assert tile.shared(s).tolist() == [len(np.intersect1d(s, x)) for x in sets]
+
+
 def test_alignment_keeps_order():
     k = order_minhash.labelled_kmers([f"w{i}" for i in range(200)])
     assert order_minhash.Aligner(k).similarity(k) == 1.0
@@ -438,5 +473,3 @@ def test_components(spark):
     assert util.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_digest_query_columns():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
