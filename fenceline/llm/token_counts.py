@@ -29,7 +29,8 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     is cut at the length); total_docs, total_tokens. Documents are pre-aggregated where they are read, so the window
     sees one row a distinct length: never more than the longest document has tokens. Null lengths are left out.
     """
-    h = lengths.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # nulls go by their count of zero: a filter on the length itself would be pushed below the encoder and run it twice
+    h = lengths.groupBy(F.col(col).cast("long").alias("length")).agg(F.count(col).alias("n_docs")).where("n_docs > 0")
     up = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy()
     tokens = F.col("length") * F.col("n_docs")
