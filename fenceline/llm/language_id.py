@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -134,21 +134,22 @@ def train(texts: list[str], langs: list[str], steps: int = 900, batch: int = 64,
     return net
 
 
-def fit(docs: DataFrame, per_language: int = 1200, chars: int = 1024, text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Train on a bounded sample of ``docs`` with text and language: about ``per_language`` texts of each language, of each
-    ``chars`` characters at a place that the text's hash picks. The sample is drawn by the text's hash, so a language
-    is sampled alike in a table of any size; languages are few (one row of each reaches the driver)."""
+def fit(docs: DataFrame, per_language: int = 1200, chars: int = 1024, max_languages: int = 64, text_col: str = "text", lang_col: str = "lang") -> Network:
+    """Train on a bounded sample of ``docs`` with language and a text of some letter: the ``per_language`` texts of least hash of
+    each language, of each ``chars`` characters at a place that the hash picks. Texts count once, however many rows hold
+    them. Where a dirty column holds more values, the ``max_languages`` most frequent ones are learned (ties to the lesser),
+    so at most ``per_language * max_languages`` pieces of text reach the driver."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
-    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}
-    if not counts:
+    langs = [r["g"] for r in rows.groupBy("g").count().orderBy(F.col("count").desc(), "g").limit(max_languages).collect()]
+    if not langs:
         return train([], [])
-    share = F.element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, per_language / n))]), F.col("g"))
-    h = F.xxhash64("t", F.lit(11))
-    u = F.pmod(h, F.lit(1 << 20)) / (1 << 20)
+    rows = rows.where(F.col("g").isin(langs) & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t", F.lit(11)))
+    # a rank limit is applied in every task before rows move, so a hot language is no large group
+    least = rows.select("g", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("r") <= per_language)
     start = F.pmod(F.xxhash64("t", F.lit(12)), F.greatest(F.length("t") - chars + 1, F.lit(1))) + 1
-    got = rows.where(u < share).select("g", h.alias("h"), F.col("t").substr(start.cast("int"), F.lit(chars)).alias("t")).toPandas()
-    got = got[got["t"].map(lambda t: bool(_letter(t)))].sort_values(["g", "h", "t"])
-    got = got.groupby("g").head(2 * per_language)  # equal texts have equal hashes and come together
+    piece = F.col("t").substr(start.cast("int"), F.lit(chars))
+    got = rows.join(F.broadcast(least.select("g", "h")), ["g", "h"]).groupBy("g", "h").agg(F.min(piece).alias("t")).toPandas()
+    got = got[got["t"].map(lambda t: bool(_letter(t)))].sort_values(["g", "h"])
     return train(got["t"].tolist(), got["g"].tolist())
 
 
