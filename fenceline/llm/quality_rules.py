@@ -189,13 +189,15 @@ def learn(x: pd.DataFrame, bad: np.ndarray, max_rules: int = 24, max_terms: int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> tuple[pd.DataFrame, np.ndarray]:
-    """Statistics and badness of at most ``max_labelled`` labelled documents, those of the least hashed ids."""
+    """Statistics and badness of at most ``max_labelled`` labelled documents, those of the least hashed ids. Rows that repeat
+    an id are one document (where texts differ, the one of the greatest hash), so no more rows than that reach the driver."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     few = one.orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")  # at most max_labelled ids
+    rows = rows.groupBy("_id", "_label").agg(F.max_by("_text", F.xxhash64("_text")).alias("_text"))
     rows = rows.select("_id", "_label", text_counts("_text").alias("_c"))
     got = rows.select("_id", "_label", *[v.alias(k) for k, v in features(col=lambda c: F.col("_c")[c]).items()]).toPandas()
-    got = got.sort_values(["_id", *got.columns[2:]]).reset_index(drop=True)
+    got = got.sort_values("_id").reset_index(drop=True)
     return got.drop(columns=["_id", "_label"]), (got["_label"] == 0).to_numpy()
 
 
