@@ -141,25 +141,25 @@ def read_indexed(target: str, index: str) -> Iterator[bytes]:
             yield zlib.decompress(f.read(length), 31)
 
 
-def with_references(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 0) -> DataFrame:
-    """``pages`` with payload_digest, record_type and refers_to. Of pages with equal payloads of at least ``least`` bytes that of
-    the greatest id is the response, the others are revisits of it; shorter ones are all responses. A null page
-    payload is empty. A page without id is a response and is never referred to; rows that repeat an id and payload
-    are alike. Only ids and digests are grouped, so a payload that many pages share costs no more than others; payloads
-    meet their decision by a join on the page's id, which is spread evenly."""
-    body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    digest = F.sha2(body, 256)
-    slim = pages.where(F.col(id_col).isNotNull() & (F.length(body) >= least)).select(F.col(id_col).alias("_id"), digest.alias("_sha"))
-    shared = slim.groupBy("_sha").agg(F.max("_id").alias("_to"), F.min("_id").alias("_least")).where("_least < _to").select("_sha", "_to")
-    again = slim.join(shared, "_sha").where("_id < _to").select("_id", "_sha", "_to").distinct()
-    joined = pages.withColumn("_key", digest).join(again, (pages[id_col] == again["_id"]) & (F.col("_key") == again["_sha"]), "left")
-    kind = F.when(F.col("_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    return joined.select(*[pages[c] for c in pages.columns], kind.alias("record_type"), F.col("_to").alias("refers_to"))
-
-
-def write_archives(rows: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def with_references(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", least: int = 0) -> DataFrame:
+    """id, url, html (null: empty), record_type and refers_to of ``pages``. Of pages with equal payloads of at least ``least`` bytes
+    that of the greatest id is the response, the others are revisits of it; shorter ones are all responses. A page
+    without id is a response and is never referred to; rows that repeat an id and payload are alike. Other columns,
+    whatever their names, are not read. Only ids and digests are grouped, so a payload that many pages share costs no more
+    than others; payloads meet their decision by a join on the page's id, which is spread evenly."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    body = F.col("html").cast("binary")
+    slim = rows.where(F.col("id").isNotNull() & (F.length(body) >= least)).select("id", F.sha2(body, 256).alias("sha"))
+    shared = slim.groupBy("sha").agg(F.max("id").alias("refers_to"), F.min("id").alias("first")).where("first < refers_to").select("sha", "refers_to")
+    again = slim.join(shared, "sha").where("id < refers_to").distinct()
+    joined = rows.withColumn("sha", F.sha2(body, 256)).join(again, ["id", "sha"], "left")
+    kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
+    return joined.select("id", "url", "html", kind.alias("record_type"), "refers_to")
+
+
+def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``rows`` (of ``with_references``) as WARC files in ``folder``, each one gzip stream: (path, n_records), materialised."""
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    rows = rows.select("id", "url", "html", "record_type", "refers_to")
 
     def write(batches):
         from pyspark import TaskContext
@@ -243,7 +243,6 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0, **co
     """Write ``pages`` to archives in ``folder`` (a new one in the shared folder by default), normalise them, read them back."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    names = {k: v for k, v in cols.items() if k != "url_col"}
-    raw = write_archives(with_references(pages, least=least, **names), folder, **cols)
+    raw = write_archives(with_references(pages, least=least, **cols), folder)
     tasks = max(2, min(raw.count(), 4 * spark.sparkContext.defaultParallelism))
     return read_archives(normalise_archives(raw, tasks), tasks)
