@@ -1,25 +1,29 @@
 """Approximate nearest neighbours along shifted space-filling curves.
 
-Unit vectors are projected to a few dimensions, several times, each time with another projection and another shift; the
-place of a projection on a Hilbert curve is its key. Each ordering is range-partitioned by key and cut into blocks of
-rows next to each other; a query looks at the blocks around its own in every ordering. Blocks return their best few,
-which merge to the answer. Scores are exact cosines of the original vectors in double precision.
+Unit vectors are projected to a few dimensions, many times, each time with another projection and another shift; the place
+of a projection on a Hilbert curve is its key. Every ordering is range-partitioned by key, and a query looks at the
+``WINDOW`` rows around its own place in each: a number that does not grow with the table. Rows travel as 8-bit copies
+of their vectors; the few best of each window merge, and the best of those are reranked by the exact cosine of the
+original vectors in double precision.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StructField, StructType
 
 from .util import cut
 
-#: Orderings, dimensions of a projection, bits a dimension; share of the rows that a query sees in each ordering.
-ORDERINGS, DIMENSIONS, BITS, SHARE = 8, 4, 8, 0.2
-#: Rows of a block; queries that a task takes to a block.
-BLOCK_ROWS, QUERIES_TOGETHER = 1024, 512
+#: Orderings, dimensions of a projection, bits a dimension; rows around a query that it sees in each ordering.
+ORDERINGS, DIMENSIONS, BITS, WINDOW = 64, 12, 4, 320
+#: Rows that a task holds at once; of a window, the best that go on; of a query, the times k that are reranked exactly.
+HELD_ROWS, BEST, RERANK = 8192, 8, 4
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -53,6 +57,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@cache
 def curves(dimension: int, orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, seed: int = 23) -> list[tuple[np.ndarray, np.ndarray]]:
     """(projection, shift) of each ordering: orthonormal rows, drawn by ``seed``."""
     rng = np.random.default_rng(seed)
@@ -68,84 +73,139 @@ def curve_keys(unit: np.ndarray, projection: np.ndarray, shift: np.ndarray, bits
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of vectors that are there, not zero, finite throughout and of the table's usual length (the most frequent,
-    the greater of equals); equal rows once. Null ids are left out."""
+    """(id, v) of vectors that are there, not empty, not zero and finite throughout, equal rows once. Null ids are left out."""
     v = F.col(vector_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & ~bad)
-    rows = rows.where(F.exists("v", lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).limit(1).collect()
-    return rows.where(F.size("v") == (length[0]["n"] if length else 0))
-
-
-def _best(pdf_c: pd.DataFrame, pdf_q: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of a block for each query, by exact cosine, ties to the smaller id."""
-    if not len(pdf_c) or not len(pdf_q):
-        return pd.DataFrame({"qid": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
-    c, ids = np.stack(pdf_c["v"].to_numpy()), pdf_c["id"].to_numpy()
-    queries, qids = np.stack(pdf_q["qv"].to_numpy()), pdf_q["qid"].to_numpy()
-    norm, lengths = np.sqrt((c * c).sum(1)), np.sqrt((queries * queries).sum(1))
-    rough = (queries @ c.T) / norm
-    rough[qids[:, None] == ids] = -np.inf
-    kth = np.partition(rough, -k, axis=1)[:, -k] if len(c) > k else np.full(len(queries), -np.inf)
-    out = []
-    for i, q in enumerate(queries):
-        near = np.flatnonzero((rough[i] >= kth[i] - 1e-9 * lengths[i]) & (ids != qids[i]))
-        # row sums do not depend on where a row stands, so equal vectors have equal scores in every block
-        score = (c[near] * q).sum(1) / (norm[near] * lengths[i])
-        order = np.lexsort((ids[near], -score))[:k]
-        out.append((np.full(len(order), qids[i]), ids[near][order], score[order]))
-    return pd.DataFrame(dict(zip(("qid", "id", "score"), map(np.concatenate, zip(*out)))))
-
-
-def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return rows.where(F.exists("v", lambda x: x != 0)).distinct()
+
+
+def _power(x: np.ndarray) -> np.ndarray:
+    """The power of two of each row's greatest component: to divide by it is exact and keeps squares of very small or large
+    numbers from being lost."""
+    return np.ldexp(1.0, np.frexp(np.abs(x).max(1, keepdims=True))[1] - 1)
+
+
+_CODED = StructType([StructField("keys", ArrayType(LongType())), StructField("code", BinaryType()), StructField("scale", FloatType())])
+
+
+def coder(orderings: int):
+    """Of a vector: its keys in every ordering, and its unit vector in 8-bit steps of ``scale``."""
+
+    @F.pandas_udf(_CODED)
+    def code(v: pd.Series) -> pd.DataFrame:
+        keys, codes, scales = [None] * len(v), [b""] * len(v), np.zeros(len(v), np.float32)
+        lengths = v.map(len).to_numpy()
+        for n in set(lengths.tolist()):
+            at = np.flatnonzero(lengths == n)
+            x = np.stack(v.iloc[at].to_numpy())
+            x = x / _power(x)
+            unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+            places = np.stack([curve_keys(unit, p, s) for p, s in curves(n, orderings)], 1)
+            scale = np.abs(unit).max(1) / 127
+            steps = np.rint(unit / scale[:, None]).astype(np.int8)
+            scales[at] = scale
+            for i, k, c in zip(at.tolist(), places, steps):
+                keys[i], codes[i] = k, c.tobytes()
+        return pd.DataFrame({"keys": keys, "code": codes, "scale": scales})
+
+    return code
+
+
+class _Run:
+    """Rows and queries of one ordering in order of key, held ``HELD_ROWS`` at a time."""
+
+    def __init__(self, n: int, window: int):
+        self.n, self.window, self.held = n, window, []
+
+    def found(self, last: bool):
+        """(query id, ids, scores) of queries whose window is complete, or of all if no more rows come; what later windows
+        do not need is let go."""
+        is_row = np.array([r for _, r, _, _ in self.held], bool)
+        at = np.flatnonzero(is_row)
+        rows, asked = len(at), np.flatnonzero(~is_row)
+        place = np.searchsorted(at, asked)
+        if not last:
+            now = place + self.window // 2 <= rows
+            asked, place = asked[now], place[now]
+        width = min(self.window, rows)
+        if width and len(asked):
+            ids = np.array([i for i, _, _, _ in self.held])
+            unit = np.frombuffer(b"".join(c for _, _, c, _ in self.held), np.int8).reshape(-1, self.n) * np.array([s for _, _, _, s in self.held], np.float32)[:, None]
+            low = np.clip(place - self.window // 2, 0, rows - width)
+            for k in range(0, len(asked), 64):
+                q = asked[k : k + 64]
+                near = at[low[k : k + 64, None] + np.arange(width)]
+                score = np.matmul(unit[near], unit[q][:, :, None])[:, :, 0]
+                score[ids[near] == ids[q][:, None]] = -np.inf
+                best = np.argpartition(-score, BEST - 1, axis=1)[:, :BEST] if width > BEST else np.tile(np.arange(width), (len(q), 1))
+                for i, b in enumerate(best):
+                    b = b[score[i, b] > -np.inf]
+                    yield ids[q[i]], ids[near[i, b]], score[i, b]
+        if not last and rows > self.window:
+            done, start = set(asked.tolist()), int(at[rows - self.window])
+            self.held = [x for i, x in enumerate(self.held) if (i >= start or not x[1]) and i not in done]
+
+
+def scan(batches, window: int):
+    """Rows (n, ordering, id, is_row, code, scale) sorted by ordering and key: the best of each query's window."""
+
+    def out(run: _Run, last: bool):
+        got = list(run.found(last))
+        if got:
+            q, i, s = (np.concatenate(x) for x in zip(*((np.full(len(i), q), i, s) for q, i, s in got)))
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float32())], ["qid", "id", "rough"])
+
+    now, run = None, None
+    for b in batches:
+        for n, ordering, *x in zip(*(b.column(c).to_pylist() for c in ("n", "ordering", "id", "is_row", "code", "scale"))):
+            if (n, ordering) != now:
+                if run:
+                    yield from out(run, True)
+                now, run = (n, ordering), _Run(n, window)
+            run.held.append(x)
+            if len(run.held) >= HELD_ROWS + 2 * window:
+                yield from out(run, False)
+    if run:
+        yield from out(run, True)
+
+
+@F.pandas_udf(DoubleType())
+def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Row sums do not depend on where a row stands, so equal vectors have equal scores."""
+    out = np.zeros(len(a))
+    lengths = a.map(len).to_numpy()
+    for n in set(lengths.tolist()):
+        at = np.flatnonzero(lengths == n)
+        x, y = np.stack(a.iloc[at].to_numpy()), np.stack(b.iloc[at].to_numpy())
+        x, y = x / _power(x), y / _power(y)
+        out[at] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+    return pd.Series(out)
+
+
+def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, window: int = WINDOW) -> DataFrame:
     """query_id, rank, id_col, score: the ``k`` nearest rows found for each of ``queries`` (rows of ``rows``), itself left out.
 
-    Vectors null, zero, not finite or of another length take no part. Of equal vectors only the k + 1 of least id can be
-    among the k nearest, so copies beyond that leave before anything is ordered: one vector that a third of the rows
-    share costs nothing. Other columns are not read.
+    Vectors null, empty, zero or not finite take no part; vectors of different lengths have no cosine and are searched
+    apart. Of equal vectors only the k + 1 of least id can be among the k nearest, so copies beyond that leave before
+    anything is ordered: one vector that a third of the rows share costs nothing. Where a window meets an end of its
+    ordering or of its range of keys it is moved inwards. Other columns are not read. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    all_rows = usable(rows, id_col, vector_col)
-    kept = all_rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).drop("r").dropDuplicates(["v", "id"])
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "v"]).select("id", "v")
-    first = kept.limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    bends = curves(len(first[0]["v"]), orderings)
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def keys(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        x = np.stack(v.to_numpy())
-        unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-        return pd.Series(list(np.stack([curve_keys(unit, p, s) for p, s in bends], 1)))
-
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    kept = usable(rows, id_col, vector_col).withColumn("r", copies).where(F.col("r") <= k + 1).drop("r")
+    asked = usable(queries, id_col, vector_col)
     # queries travel with the rows, so both are ordered alike; a row may be both
     both = kept.withColumn("is_row", F.lit(True)).unionByName(asked.withColumn("is_row", F.lit(False)))
-    spread = both.select("id", "v", "is_row", F.posexplode(keys("v")).alias("ordering", "key"))
+    both = cut(both.select("id", "v", "is_row", F.size("v").alias("n"), coder(orderings)("v").alias("c")))
+    spread = both.select("id", "is_row", "n", "c.code", "c.scale", F.posexplode("c.keys").alias("ordering", "key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spread.repartitionByRange(parts, "ordering", "key", "id").sortWithinPartitions("ordering", "key", "id")
-    # a row's place in its partition is in the low bits of its number; running counts of partitions give its rank
-    placed = ordered.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = cut(placed)
-    counts = placed.groupBy("ordering", "part").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("ordering", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("add"), F.sum("n").over(Window.partitionBy("ordering")).alias("total"))
-    ranked = placed.join(F.broadcast(offsets), ["ordering", "part"])  # one row an ordering and partition
-    blocks = F.ceil(F.col("total") / block_rows)
-    ranked = ranked.withColumn("blocks", blocks).withColumn("block", F.floor((F.col("i") + F.col("add")) * blocks / F.col("total")))
-    n_queries = asked.count()
-    groups = max(1, -(-n_queries // QUERIES_TOGETHER))
-    # half the window either side of the query's own block, moved inwards at the ends of the curve
-    width = F.least(F.col("blocks"), F.greatest(F.lit(1), F.ceil(F.col("blocks") * share)) + F.when(F.col("blocks") * share > 1, F.lit(1)).otherwise(F.lit(2)))
-    low = F.greatest(F.lit(0), F.least(F.col("block") - F.floor(width / 2), F.col("blocks") - width))
-    windows = ranked.where("not is_row").withColumn("block", F.explode(F.sequence(low, low + width - 1)))
-    windows = windows.select(F.col("ordering").alias("qo"), F.col("block").alias("qb"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long").alias("qg"), F.col("id").alias("qid"), F.col("v").alias("qv"))
-    held = ranked.where("is_row").select("ordering", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "id", "v")
-    pair = held.groupBy("ordering", "block", "g").cogroup(windows.groupBy("qo", "qb", "qg"))
-    found = pair.applyInPandas(lambda c, q: _best(c, q, k), "qid long, id long, score double")
-    best = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
+    ordered = spread.repartitionByRange(parts, "n", "ordering", "key", "id").sortWithinPartitions("n", "ordering", "key", "id", "is_row")
+    found = ordered.select("n", "ordering", "id", "is_row", "code", "scale").mapInArrow(lambda it: scan(it, window), "qid long, id long, rough float")
+    best = found.groupBy("qid", "id").agg(F.max("rough").alias("rough"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.col(c).desc(), "id"))
+    best = best.withColumn("r", rank("rough")).where(F.col("r") <= RERANK * k).select("qid", "id")
+    pair = best.join(both.where("is_row").select("id", "v"), "id").join(both.where("not is_row").select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid")
+    exact = pair.where(F.size("v") == F.size("q")).select("qid", "id", cosine("v", "q").alias("score")).groupBy("qid", "id").agg(F.max("score").alias("score"))
+    out = exact.withColumn("rank", rank("score")).where(F.col("rank") <= k)
+    return out.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias(id_col), "score")

@@ -19,7 +19,8 @@ def b32(data):
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id long, url string, html string, payload string, refers_to string").drop("refers_to")
+    clash = ", record_type string, _to string, _key string, sha string, id string"
+    return spark.createDataFrame([(*r, *"xxxxxxx") for r in rows], "page_id long, url string, html string, payload string, refers_to string" + clash)
 
 
 def test_archives_round_trip(spark, tmp_path):
@@ -83,7 +84,7 @@ def test_recall_ties_and_odd_vectors(spark):
     rows += [(2000 + i, [1.0] + [0.0] * 15) for i in range(40)]
     odd = [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] + [1.0] * 15), (3004, [1.0, 2.0]), (3005, []), (None, [1.0] * 16), (3050, None)]
     df = spark.createDataFrame([(i, v, "x", "x") for i, v in rows + odd], "vec_id long, embedding array<double>, id string, score string")
-    out = hilbert_ann.neighbours(df, df.where("vec_id % 50 = 0"), block_rows=128).collect()
+    out = hilbert_ann.neighbours(df, df.where("vec_id % 50 = 0"), window=64).collect()
     got = {}
     for r in out:
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -98,6 +99,57 @@ def test_recall_ties_and_odd_vectors(spark):
     assert [i for _, i, _ in sorted(got[2000])] == [2001, 2002, 2003, 2004, 2005]  # copies, by id
 
 
+def test_recall_with_production_parameters(spark):
+    """Directions without any structure, four times as many as a query sees at once in all its windows' rows of one ordering."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = hilbert_ann.neighbours(df, df.where("vec_id % 50 = 0")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = unit[::50] @ unit.T
+    cosines[np.arange(120), np.arange(0, 6000, 50)] = -2
+    best = np.argsort(-cosines, axis=1)[:, :5]
+    assert len(out) == 600 and np.mean([r["vec_id"] in best[r["query_id"] // 50] for r in out]) >= 0.9
+    assert all(abs(r["score"] - cosines[r["query_id"] // 50, r["vec_id"]]) < 1e-12 for r in out)
+
+
+def test_windows_are_streamed_and_fixed():
+    """Held in small pieces, every query sees the rows around it, as many as the window and no more."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    n, window, rows = 8, 20, []
+    for i in range(3000):
+        rows.append((n, 0, i, True, rng.integers(-127, 128, n).astype(np.int8).tobytes(), 1.0))
+        if i % 7 == 0:
+            rows.append((n, 0, i, False, rows[-1][4], 1.0))
+    names = ("n", "ordering", "id", "is_row", "code", "scale")
+    batches = [pa.RecordBatch.from_pydict({c: [r[k] for r in rows[a : a + 501]] for k, c in enumerate(names)}) for a in range(0, len(rows), 501)]
+    got = {}
+    hilbert_ann.HELD_ROWS, held = 100, hilbert_ann.HELD_ROWS
+    try:
+        for b in hilbert_ann.scan(iter(batches), window):
+            for q, i, s in zip(*(c.to_pylist() for c in b.columns)):
+                got.setdefault(q, {})[i] = s
+    finally:
+        hilbert_ann.HELD_ROWS = held
+    code = {r[2]: np.frombuffer(r[4], np.int8).astype(float) for r in rows}
+    assert set(got) == set(range(0, 3000, 7))
+    for q, found in got.items():
+        low = min(max(0, q + 1 - window // 2), 3000 - window)
+        near = [i for i in range(low, low + window) if i != q]
+        want = sorted((float(code[i] @ code[q]) for i in near), reverse=True)[: hilbert_ann.BEST]
+        assert set(found) <= set(near) and sorted(found.values(), reverse=True)[:7] == want[:7]
+
+
+def test_lengths_and_sizes_of_numbers(spark):
+    rows = [(0, [3.0, 4.0]), (1, [3e300, 4e300]), (2, [4e-320, 3e-320]), (3, [1.0, 0.0, 0.0]), (50, [0.0, 1.0, 1.0]), (4, [0.0, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in hilbert_ann.neighbours(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2), (50, 1, 4), (50, 2, 3)]
+    assert got[0][3] == pytest.approx(1) and got[1][3] == pytest.approx(0.96, abs=1e-3) and got[2][3] == pytest.approx(1) and got[3][3] == 0
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (7, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in hilbert_ann.neighbours(df, df.where("vec_id % 50 = 0")).collect()] == [(0, 1, 7)]
