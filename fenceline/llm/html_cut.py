@@ -1,7 +1,8 @@
 """HTML extraction by minimum cut.
 
-A page becomes its blocks of text in order. A logistic classifier gives each block a probability of being content; what
-either label would cost becomes the capacity of its edge to source or sink. Neighbours in page order and neighbours in
+A page becomes its blocks of text in order. A logistic classifier, which sees text, elements and places, and the marks of the
+page's authors, where there are any, give each block a probability of being content; what either label would cost
+becomes the capacity of its edge to source or sink. Neighbours in page order and neighbours in
 the document tree are tied by smoothness edges. The minimum cut of that graph is the cheapest labelling.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,16 +42,20 @@ MAIN_WORDS = "article main content post entry story body text"
 
 _raw, _block, _void, _self = (frozenset(x.split()) for x in (RAW, BLOCK, VOID, SELF_CLOSING))
 _chrome_tags, _chrome_words, _main_tags, _main_words = (frozenset(x.split()) for x in (CHROME_TAGS, CHROME_WORDS, MAIN_TAGS, MAIN_WORDS))
-_tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?][^>]*(?:>|\Z))", re.S)
+_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_quote_or_end = re.compile(r"[\"'>]")
 _named = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _word = re.compile(r"[a-z]+")
-_ends: dict[str, re.Pattern] = {}
 
-#: What the classifier sees of a block.
-FEATURES = ("bias", "in_main", "in_chrome", "in_header", "links", "log_words", "stops", "heading", "paragraph", "list_item")
+#: What the classifier sees of a block: its text, its element, its place in page and tree, its neighbours. Not what its authors
+#: call it, as that is what the classifier learns from.
+FEATURES = ("bias", "log_words", "stops", "links", "heading", "paragraph", "list_item", "depth", "first", "last", "near_words", "family_words")
 #: What the weights are before any page is seen, and how firmly (a ridge towards them).
-PRIOR = (-0.8, 3.0, -6.0, -3.0, -2.5, 0.5, 0.8, 0.3, 1.0, -0.5)
+PRIOR = (-2.8, 0.45, 0.8, -3.0, 0.3, 1.0, -0.5, -0.05, -0.5, -1.0, 0.35, 0.2)
 FIRM = 3.0
+#: Log odds that the authors' marks add where there are any: in an element of the article, outside of it on a page
+#: that has one, in an element of what is no article. So much of the other text the article must hold for the second.
+IN_MAIN, OUTSIDE, IN_CHROME, SHARE = 5.0, -5.0, -9.0, 0.2
 #: Capacity that ties neighbours in page order, and neighbours under one parent.
 NEXT, SIBLING = 0.35, 0.35
 
@@ -59,85 +64,145 @@ NEXT, SIBLING = 0.35, 0.35
 class Block:
     text: str
     parent: int
+    main: bool
+    chrome: bool
     features: tuple[float, ...]
 
 
+def tags(page: str):
+    """(text before, name, is end, attributes) of the tags of a page, name "" for comments and declarations and None at the end.
+
+    Every character is looked at a bounded number of times, whatever the page holds. A quote hides ``>`` up to its
+    partner; from the first tag on that never ends that way, a tag ends at its next ``>``. Without one it goes to the
+    end of the page. Of script and the like, all up to the end tag is left out.
+    """
+    pos, start, size, quotes, unclosed = 0, 0, len(page), True, set()
+    last = {q: page.rfind(q) for q in "\"'"}
+    while (at := page.find("<", pos)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield page[start:at], "", False, ""
+            pos = start = size if end < 0 else end + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            yield page[start:at], "", False, ""
+            pos = start = size if end < 0 else end + 1
+            continue
+        is_end = page[at + 1 : at + 2] == "/"
+        m = _name.match(page, at + 1 + is_end)
+        if not m:  # a sign, not a tag
+            pos = at + 1
+            continue
+        name, end = m[0].lower(), m.end()
+        if quotes:
+            while (q := _quote_or_end.search(page, end)) and q[0] != ">":
+                end = page.find(q[0], q.end()) + 1 if q.end() <= last[q[0]] else q.end()
+            quotes = q is not None
+            end = q.start() if q else page.find(">", m.end())
+        else:
+            end = page.find(">", end)
+        if end < 0:
+            end = size
+        attributes = page[m.end() : end]
+        yield page[start:at], name, is_end, attributes
+        pos = start = min(size, end + 1)
+        if name in _raw and name != "head" and not is_end and not attributes.endswith("/") and name not in unclosed:
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, pos)
+            if close:
+                pos = start = close.start()
+            elif name in ("script", "style", "textarea", "title"):
+                pos = start = size
+            else:
+                unclosed.add(name)
+    yield page[start:], None, False, ""
+
+
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role name the article, and whether they name what is no article: by a whole name, or by the first or
+    last part of a hyphenated one (``site-footer``, ``ad_slot``)."""
+    main = chrome = False
+    for value in _named.findall(attributes):
+        for one in value.strip("\"'").lower().split():
+            parts = _word.findall(one)
+            if parts:
+                ends = {parts[0], parts[-1]}
+                main = main or not _main_words.isdisjoint(ends)
+                # an article's header is its title
+                chrome = chrome or not _chrome_words.isdisjoint(ends - {"header"} if not _main_words.isdisjoint(ends) else ends)
+    return main, chrome
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page, in order, empty ones left out. Any text is a page; unclosed and stray tags are fine."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, number, main, chrome, header
+    out: list[tuple] = []
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, main, chrome
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, number, pos = 0, False, 0, 0
+    linked, in_link, number = 0, False, 0
 
     def end_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, parent, main, chrome, header = stack[-1]
-                n = text.count(" ") + 1
-                stops = sum(map(text.count, ".!?;:,"))
-                out.append(Block(text, parent, (
-                    1.0, main, chrome, header and not main, min(1.0, linked / len(text)), np.log1p(n), min(1.0, 8 * stops / n), tag[:1] == "h" and len(tag) == 2, tag in ("p", "blockquote", "pre"), tag in ("li", "td", "dd"),
-                )))
+                out.append((text, *stack[-1], len(stack), min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    while True:
-        m = _tag.search(page, pos)
-        piece = page[pos : m.start()] if m else page[pos:]
+    def close(name: str) -> None:
+        while (top := stack.pop()[0]) != name:
+            opened[top] -= 1
+        opened[name] -= 1
+
+    for piece, name, is_end, attributes in tags(page):
         if piece:
             parts.append(piece)
             if in_link:
                 linked += len(piece)
-        if not m:
-            break
-        pos = m.end()
-        name = m[2]
-        if name is None:  # a comment or declaration
-            continue
-        name = name.lower()
-        if m[1]:
-            if name == "a":
-                in_link = False
-            elif name in _block:
-                end_block()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-        elif name in _raw:
-            if name == "head":  # only what is inside it matters
-                continue
-            if not m[3].endswith("/"):
-                end = _ends.get(name) or _ends.setdefault(name, re.compile(rf"</{name}\s*>", re.I))
-                if close := end.search(page, pos):
-                    pos = close.end()
-                elif name in ("script", "style", "textarea", "title"):
-                    pos = len(page)
-        elif name == "br":
+        if name == "br":
             parts.append(" ")
         elif name == "a":
-            in_link = True
-        elif name in _block:
+            in_link = not is_end
+        elif name not in _block:
+            continue
+        elif is_end:
             end_block()
-            if name in _self:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in ("p",):
-                        break
+            if opened[name]:
+                close(name)
+        else:
+            end_block()
+            if stack[-1][0] == "p":  # no block lies in a paragraph
+                close("p")
+            if name in _self and stack[-1][0] == name:
+                close(name)
             if name not in _void:
                 number += 1
-                _, _, main, chrome, header = stack[-1]
-                words = set(_word.findall(" ".join(_named.findall(m[3])).lower())) if m[3] else ()
-                own = bool(words) and not _main_words.isdisjoint(words)
-                marked = bool(words) and not _chrome_words.isdisjoint(words - {"header"} if own else words)  # an article's header is its title
+                _, _, main, chrome = stack[-1]
+                own, marked = _marked(attributes) if attributes else (False, False)
                 main = main or name in _main_tags or (own and not marked)
-                chrome = chrome or name in _chrome_tags or (marked and name not in ("body", "html"))
-                stack.append((name, number, main, chrome, header or name == "header"))
+                chrome = chrome or name in _chrome_tags or (name == "header" and not main) or (marked and name not in ("body", "html"))
+                stack.append((name, number, main, chrome))
+                opened[name] += 1
     end_block()
+    return _described(out)
+
+
+def _described(found: list[tuple]) -> list[Block]:
+    words = [text.count(" ") + 1 for text, *_ in found]
+    size = [float(np.log1p(n)) for n in words]
+    family: Counter[int] = Counter()
+    for n, (_, _, parent, *_) in zip(words, found):
+        family[parent] += n
+    out = []
+    for i, (text, tag, parent, main, chrome, depth, links) in enumerate(found):
+        stops = sum(map(text.count, ".!?;:,"))
+        near = (size[i - 1] if i else 0.0) + (size[i + 1] if i + 1 < len(found) else 0.0)
+        place = (i + 0.5) / len(found)
+        out.append(Block(text, parent, main, chrome, (
+            1.0, size[i], min(1.0, 8 * stops / words[i]), links, float(tag[:1] == "h" and len(tag) == 2), float(tag in ("p", "blockquote", "pre")), float(tag in ("li", "td", "dd")),
+            float(np.log1p(depth)), max(0.0, 1 - place / 0.15), max(0.0, 1 - (1 - place) / 0.15), near / 2, float(np.log1p(family[parent])),
+        )))
     return out
 
 
@@ -213,14 +278,24 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
     return label  # type: ignore[return-value]
 
 
+def log_odds(found: list[Block], weights: np.ndarray) -> np.ndarray:
+    """Of being content: what the classifier says of the text, and what its authors' marks add."""
+    z = np.array([b.features for b in found], float) @ weights
+    chrome, main = np.array([b.chrome for b in found]), np.array([b.main for b in found])
+    words = np.array([b.text.count(" ") + 1 for b in found])
+    open_words, held = words[~chrome].sum(), words[main & ~chrome].sum()
+    outside = OUTSIDE if held and held >= SHARE * open_words else 0.0
+    return z + np.where(chrome, IN_CHROME, np.where(main, IN_MAIN, outside))
+
+
 def label_blocks(found: list[Block], weights: np.ndarray) -> list[bool]:
     """True for content: the minimum cut of a page's graph."""
     if not found:
         return []
-    z = np.clip(np.array([b.features for b in found], float) @ weights, -8, 8)
+    z = np.clip(log_odds(found, weights), -8, 8)
     cost = np.logaddexp(0, np.stack([-z, z]))  # of calling it content, of calling it boilerplate
     units = np.rint(1000 * cost).astype(int)
-    edges = [(i, i + 1, int(1000 * NEXT)) for i in range(len(found) - 1) if found[i].features[2] == found[i + 1].features[2]]
+    edges = [(i, i + 1, int(1000 * NEXT)) for i in range(len(found) - 1) if found[i].chrome == found[i + 1].chrome]
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if (j := last.get(b.parent)) is not None:
@@ -237,15 +312,15 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 
 
 def train(pages: list[str], rounds: int = 12) -> np.ndarray:
-    """Weights by Newton's method with a ridge towards PRIOR. The labels are the page authors' own: what lies in an
-    article or main element and in none that marks navigation, adverts, forms or comments is content. Pages without such
-    an element teach nothing; without any page the weights are PRIOR."""
+    """Weights by Newton's method with a ridge towards PRIOR. The labels are the page authors' own marks, which are no features:
+    what lies in an article or main element and in none that marks navigation, adverts, forms or comments is content.
+    Pages without such an element teach nothing; without any page the weights are PRIOR."""
     w = np.array(PRIOR)
-    rows = [b.features for p in pages for b in [blocks(p)] if any(x.features[1] for x in b) for b in b]
+    rows = [b for p in pages for found in [blocks(p)] if any(b.main for b in found) for b in found]
     if not rows:
         return w
-    x = np.array(rows, float)
-    y = ((x[:, 1] > 0) & (x[:, 2] == 0)).astype(float)
+    x = np.array([b.features for b in rows], float)
+    y = np.array([b.main and not b.chrome for b in rows], float)
     share = 200.0 / len(rows) if len(rows) > 200 else 1.0  # so that the prior weighs the same for any sample
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

@@ -5,6 +5,8 @@ import hashlib
 import html
 import itertools
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -194,6 +196,102 @@ def test_long_and_broken_pages():
         html_cut.extract(broken, w)
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000 + '"', "<div>" * 20_000 + "</p>" * 20_000, "<svg>" * 50_000, '<a ">' * 200_000, "<a '\">\" \"" * 100_000, "<svg></svg" * 60_000, '<p class="' * 100_000, "</svg " * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    assert "<" not in html_cut.extract(page, np.array(html_cut.PRIOR))
+    assert time.process_time() - began < 5
+
+
+def test_undecided_pages_take_little_time():
+    rng = random.Random(3)
+    page = "".join(f"<div>{' '.join(['word,' if rng.random() < 0.3 else 'word'] * rng.randrange(1, 30))}</div>" for _ in range(20_000))
+    began = time.process_time()
+    html_cut.extract(page, np.array(html_cut.PRIOR))
+    assert time.process_time() - began < 20
+
+
+def test_unclosed_quote_and_names_of_classes():
+    w = np.array(html_cut.PRIOR)
+    assert html_cut.extract('<article><p title="x>Hello there, a text.</p><p>More.</p></article>', w) == "Hello there, a text.\nMore."
+    assert html_cut.extract('<article><div class="text-ad-free">Kept.</div><div class="ad-slot">Gone.</div><div id="site_footer">Gone.</div></article>', w) == "Kept."
+
+
+class Plain(HTMLParser):
+    """The marks of a well-formed page read by the standard library's parser: article text that no boilerplate element holds."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.now, self.out = [], [], []
+
+    def cut(self):
+        tags = [t for t, _ in self.open]
+        text = " ".join("".join(self.now).split())
+        hidden = any(t in ("nav", "aside", "footer", "form") or c in ("ad", "comments") for t, c in self.open)
+        if text and "article" in tags and not hidden:
+            self.out.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("b", "a"):
+            return
+        self.cut()
+        self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in ("b", "a"):
+            return
+        self.cut()
+        self.open.pop()
+
+    def handle_data(self, data):
+        if not self.open or self.open[-1][0] not in ("script", "style"):
+            self.now.append(data)
+
+
+def random_page(rng):
+    word = lambda: rng.choice(["text", "&amp;", "more", "x&nbsp;y", "<b>bold</b>", "end.", "so,", "é😀"])
+    some = lambda n: " ".join(word() for _ in range(rng.randrange(3, n)))
+    junk = lambda: rng.choice([
+        f"<nav><ul><li><a href='/'>{some(6)}</a></li></ul></nav>", f'<div class="ad">{some(12)}</div>', f"<aside><p>{some(20)}</p></aside>", f"<form><div>{some(9)}</div></form>",
+        "<script>var a = '<p>no</p>';</script>", "<style>p{}</style>", f'<div class="comments"><article><p>{some(20)}</p></article></div>',
+    ])
+    body = "".join(junk() if rng.random() < 0.2 else rng.choice([f"<p>{some(60)}.</p>", f"<h2>{some(7)}</h2>", f"<blockquote>{some(30)}</blockquote>", f"<div>{some(40)}</div>"]) for _ in range(rng.randrange(1, 12)))
+    return f"<html><body>{junk()}<article><h1>{some(6)}</h1>{body}</article>{junk()}<footer>{some(8)}</footer></body></html>"
+
+
+def test_extraction_equals_another_parser():
+    rng = random.Random(29)
+    pages = [random_page(rng) for _ in range(250)]
+    w = html_cut.train(pages[:100])
+    for page in pages:
+        plain = Plain()
+        plain.feed(page)
+        plain.cut()
+        assert html_cut.extract(page, w) == "\n".join(plain.out)
+
+
+def test_the_cut_decides_where_nothing_is_marked():
+    """Pages of bare divs: no mark tells the article; what the classifier learned from marked pages and the ties do."""
+    rng = random.Random(31)
+    w = html_cut.train([random_page(rng) for _ in range(200)])
+    sentence = lambda: " ".join(rng.choice(["some", "word", "of", "prose,", "that", "goes", "on"]) for _ in range(rng.randrange(25, 60))) + "."
+    right = wrong = by_itself = 0
+    for _ in range(100):
+        menu = "".join(f'<div><a href="/{k}">Link {k}</a></div>' for k in range(8))
+        text = [sentence() if rng.random() < 0.85 else "A short line." for _ in range(12)]
+        page = f"<body><div>{menu}</div><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div>{menu}</div></body>"
+        found = html_cut.blocks(page)
+        assert not any(b.main or b.chrome for b in found)  # the plain rule would keep nothing
+        labels = html_cut.label_blocks(found, w)
+        alone = html_cut.log_odds(found, w) > 0
+        truth = [b.text in text for b in found]
+        right += sum(a == b for a, b in zip(labels, truth))
+        by_itself += sum(a == b for a, b in zip(alone, truth))
+        wrong += sum(a != b for a, b in zip(labels, truth))
+    assert right / (right + wrong) >= 0.95 and right > by_itself
+
+
 def test_pages_column(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (3, "", "")], "page_id long, url string, html string")
     w = html_cut.fit(df)
