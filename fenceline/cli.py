@@ -16,6 +16,7 @@ from .plans.project import Project, open_project
 from .sources import files as trees
 from .sources import packages as package_files
 from .sources import ruby
+from .sources.cache import drop_cache
 
 
 def _lines(df: DataFrame, *cols: str) -> list[str]:
@@ -24,15 +25,39 @@ def _lines(df: DataFrame, *cols: str) -> list[str]:
 
 
 def _check(p: Project, args) -> tuple[list[str], int]:
-    files = p.sources.select("path") if not args.files else usage.intersect_files(p.sources.select("path"), p.sources.select("path").where(F.col("path").isin(*args.files)))
+    files = p.sources.select("path") if not args.files else usage.intersect_files(p.sources.select("path"), trees.expand(p.sources.select("path"), args.files))
     result = commands.check(p.refs, p.packages, p.recorded, p.world, files, args.ignore_recorded, p.public_files, tuple(args.disable or ()))
     if args.json:
-        out = [f'{{"kind": "{r["kind"]}", "item": {r["json"]}}}' for r in commands.report_json(result).orderBy("kind", "json").toLocalIterator()]
-        return out, int(bool(out))
+        return _document(commands.report_json(result))
     out = [r["line"] for r in commands.report_lines(result).toLocalIterator()]
     return out, int(out != ["No violations detected!"])
 
 
+def _document(rows: DataFrame) -> tuple[list[str], int]:
+    """One JSON document of (kind, json), written as rows come: a list a kind, and whether all is well."""
+    lists: dict[str, list[str]] = {"violation": [], "stale": [], "strict": []}
+    for r in rows.orderBy("kind", "json").toLocalIterator():
+        lists[r["kind"]].append(r["json"])
+    bad = any(lists.values())
+    body = ", ".join(f'"{k}": [{", ".join(v)}]' for k, v in lists.items())
+    return [f'{{"status": "{"failure" if bad else "success"}", {body}}}'], int(bad)
+
+
+def _references(p: Project, args) -> tuple[list[str], int]:
+    """The files that reference each file, as lines or as one JSON map, to the screen or to a file."""
+    known = p.refs.where("defining_file is not null")
+    if not args.json:
+        return _lines(known, "referencing_file", "constant_name", "defining_file"), 0
+    rows = known.groupBy("referencing_file").agg(F.array_sort(F.collect_set(F.struct("constant_name", "defining_file"))).alias("uses"))
+    rows = rows.select("referencing_file", F.to_json("uses").alias("uses")).orderBy("referencing_file")
+    text = "{" + ", ".join(f"{json.dumps(r['referencing_file'])}: {r['uses']}" for r in rows.toLocalIterator()) + "}"
+    if not args.output:
+        return [text], 0
+    with open(args.output, "w") as f:
+        f.write(text + "\n")
+    return [f"References written to {args.output}"], 0
+
+
 def _validate(p: Project, args) -> tuple[list[str], int]:
     rows = graph.validate(p.packages, p.edges, p.world).orderBy("error_type", "message").collect()
     if args.json:
@@ -107,7 +132,7 @@ COMMANDS = {
     "list-packages": lambda p, a: (_lines(p.packages, "name"), 0),
     "list-included-files": lambda p, a: (_lines(p.sources, "path"), 0),
     "list-definitions": lambda p, a: (_lines(resolve.ambiguous(p.constants) if a.ambiguous else p.constants, "fq_name", "defining_file"), 0),
-    "list-references": lambda p, a: (_lines(p.refs.where("defining_file is not null"), "referencing_file", "constant_name", "defining_file"), 0),
+    "list-references": _references,
     "for-file": lambda p, a: (_lines(p.owners.where(F.col("path").isin(*a.files)), "path", "package"), 0),
 }
 
@@ -115,21 +140,26 @@ COMMANDS = {
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="fenceline")
     parser.add_argument("--root", default=".")
-    parser.add_argument("command", choices=[*COMMANDS, "all", "check-contents", "create"])
+    parser.add_argument("command", choices=[*COMMANDS, "all", "check-contents", "create", "delete-cache"])
     parser.add_argument("files", nargs="*")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--ignore-recorded", action="store_true")
     parser.add_argument("--ambiguous", action="store_true")
     parser.add_argument("--disable", action="append", choices=[r.name for r in rules.RULES])
-    for name in ("--package", "--constant", "--type", "--stdlib", "--gems"):
+    for name in ("--package", "--constant", "--type", "--stdlib", "--gems", "--cache", "--output"):
         parser.add_argument(name)
-    args = parser.parse_args(argv)
+    args = parser.parse_intermixed_args(argv)  # files may stand after options
     if args.command == "create":
         print(package_files.scaffold(args.root, args.files[0]))
         return 0
     spark = SparkSession.builder.appName("fenceline").getOrCreate()
+    if args.command == "delete-cache":
+        if not args.cache:
+            parser.error("delete-cache needs --cache")
+        drop_cache(spark, args.cache)
+        return 0
     replaced = (args.files[0], sys.stdin.read()) if args.command == "check-contents" else None
-    project = open_project(spark, args.root, replaced=replaced)
+    project = open_project(spark, args.root, replaced=replaced, cache=args.cache)
     code = 0
     for name in ("check", "validate") if args.command == "all" else ("check",) if replaced else (args.command,):
         lines, bad = COMMANDS[name](project, args)

@@ -13,8 +13,12 @@ TEMPLATE_TAG = r"(?s)<%=?-?\s*(.*?)\s*-?%>"
 RUBY_FILE = r"(\.(rb|rake|builder|gemspec|ru)$)|((^|/)(Gemfile|Rakefile)$)"
 TEMPLATE_FILE = r"\.erb$"
 #: Words whose last s is not a plural's, and irregular plurals.
-SINGULAR_AS_THEY_ARE = ("Status", "Census")
-IRREGULAR = (("Statuses", "Status"), ("Censuses", "Census"), ("Leaves", "Leave"), ("Data", "Datum"))
+SINGULAR_AS_THEY_ARE = ("Status", "Census", "Series", "Species", "News", "Equipment", "Information", "Money", "Rice", "Fish", "Sheep", "Police", "Jeans")
+IRREGULAR = (
+    ("Statuses", "Status"), ("Censuses", "Census"), ("Leaves", "Leave"), ("Data", "Datum"), ("People", "Person"), ("Women", "Woman"), ("Men", "Man"), ("Children", "Child"), ("Mice", "Mouse"), ("Movies", "Movie"), ("Cookies", "Cookie"), ("Zombies", "Zombie"),
+    ("Shoes", "Shoe"), ("Moves", "Move"), ("Quizzes", "Quiz"), ("Indices", "Index"), ("Vertices", "Vertex"), ("Matrices", "Matrix"), ("Analyses", "Analysis"), ("Crises", "Crisis"), ("Wolves", "Wolf"), ("Halves", "Half"), ("Shelves", "Shelf"), ("Selves", "Self"), ("Knives", "Knife"),
+    ("Wives", "Wife"), ("Lives", "Life"), ("Media", "Medium"), ("Caches", "Cache"),
+)
 
 
 def _acronym_map(acronyms: list[str] | None) -> Column | None:
@@ -41,7 +45,7 @@ def singular(name: Column) -> Column:
         out = out.when(name.endswith(word), name)
     for many, one in IRREGULAR:
         out = out.when(name.endswith(many), F.regexp_replace(name, many + "$", one))
-    for suffix, by in ((r"([^aeiou])ies$", "$1y"), (r"(ss|sh|ch|x|z)es$", "$1"), (r"(ss|us|is)$", "$1"), (r"s$", "")):
+    for suffix, by in ((r"([^aeiou])ies$", "$1y"), (r"(ss|sh|ch|x|z|[^aeiou]o)es$", "$1"), (r"(ss|us|is)$", "$1"), (r"s$", "")):
         out = out.when(name.rlike(suffix), F.regexp_replace(name, suffix, by))
     return out.otherwise(name)
 

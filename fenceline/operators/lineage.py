@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder that driver and executors share (spark.checkpoint.dir; a new
-    local one only where it is unset, as in tests), so that neither a loop nor a lost executor repeats the work."""
+    """``df`` computed once and written to the checkpoint folder that driver and executors share (spark.checkpoint.dir), so that
+    neither a loop nor a lost executor repeats the work. Where it is unset, a local master gets a new local folder, and
+    any other master an error."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

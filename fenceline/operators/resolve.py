@@ -31,8 +31,10 @@ def _winners(refs: DataFrame, constants: DataFrame, truncate: bool) -> DataFrame
 
 
 def resolve_first(refs: DataFrame, constants: DataFrame) -> DataFrame:
-    """Path-convention mode, for ``refs(ref_id, name, namespace)`` and ``constants(fq_name, defining_file)``, one file a name: every
-    reference once, with its meaning and defining file, or its own name and null."""
+    """Path-convention mode, for ``refs(ref_id, name, namespace)`` and ``constants(fq_name, defining_file)``: every reference once, with
+    its meaning and defining file, or its own name and null. A name that two files define fails the job, as the
+    convention gives each one file."""
+    constants = unique(constants)
     found = _winners(refs, constants, True).join(constants.select(F.col("fq_name").alias("fq"), "defining_file"), "fq")
     return refs.select("ref_id", "name").join(found, "ref_id", "left").select("ref_id", F.coalesce("constant_name", "name").alias("constant_name"), "defining_file")
 
@@ -54,6 +56,14 @@ def duplicates(constants: DataFrame) -> DataFrame:
     return constants.groupBy("fq_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def unique(constants: DataFrame) -> DataFrame:
+    """``constants`` with a row a name; a name of several files is an error that says which."""
+    files = F.array_sort(F.collect_set("defining_file"))
+    said = F.concat(F.lit("two files define "), F.col("fq_name"), F.lit(": "), F.array_join("files", ", "))
+    one = constants.groupBy("fq_name").agg(files.alias("files"))
+    return one.select("fq_name", F.when(F.size("files") > 1, F.raise_error(said)).otherwise(F.get("files", F.lit(0))).cast("string").alias("defining_file"))
+
+
 def nearest(files: DataFrame, directories: DataFrame, path: str = "path", directory: str = "directory") -> DataFrame:
     """``files`` with the deepest of ``directories`` that holds them (null if none): an equality join on exploded ancestors
     in place of a prefix join."""
@@ -80,7 +90,9 @@ def inferred_constants(files: DataFrame, roots: DataFrame, acronyms: list[str] |
 
 
 def default_roots(files: DataFrame, package_dirs: DataFrame) -> DataFrame:
-    """roots(directory, namespace): app/* and app/*/concerns of every package, read off the paths of the files."""
+    """roots(directory, namespace): app/* and app/*/concerns of every package, read off the paths of the files. ``package_dirs`` may
+    say with a column ``namespace`` that a package's roots stand for one, and with ``bare`` (paths below the package) which
+    do not."""
     up = nearest(files.select("path"), package_dirs).where("directory is not null")
     base = F.when(F.col("directory") == ".", F.lit("")).otherwise(F.concat(F.col("directory"), F.lit("/")))
     inner = F.expr("substring(path, length(b) + 1)")
@@ -88,7 +100,21 @@ def default_roots(files: DataFrame, package_dirs: DataFrame) -> DataFrame:
     first = F.regexp_extract("inner", r"^(app/[^/]+)/", 1)
     concern = F.regexp_extract("inner", r"^(app/[^/]+/concerns)/", 1)
     found = rows.select("b", F.explode(F.array(first, concern)).alias("r")).where("r <> ''")
-    return found.select(F.concat("b", "r").alias("directory"), F.lit("").alias("namespace")).distinct()
+    if "namespace" not in package_dirs.columns:
+        return found.select(F.concat("b", "r").alias("directory"), F.lit("").alias("namespace")).distinct()
+    own = package_dirs.select(F.when(F.col("directory") == ".", F.lit("")).otherwise(F.concat(F.col("directory"), F.lit("/"))).alias("b"), "namespace", "bare")
+    space = F.when(F.array_contains("bare", F.col("r")), F.lit("")).otherwise(F.coalesce("namespace", F.lit("")))
+    return found.distinct().join(own, "b").select(F.concat("b", "r").alias("directory"), space.alias("namespace")).distinct()
+
+
+def automatic_namespaces(packages: DataFrame) -> DataFrame:
+    """(directory, namespace, bare) of every package: where its metadata ask for an automatic namespace, the camel case of the last
+    part of its name, but for the roots its metadata exclude."""
+    wanted = "metadata struct<automatic_pack_namespace:boolean,automatic_pack_namespace_exclusions:array<string>>"
+    meta = F.from_json(F.coalesce("client_keys", F.lit("{}")), wanted)["metadata"]
+    own = F.when(meta["automatic_pack_namespace"], F.concat(F.lit("::"), names.camelize(names.last_part(F.col("name"))))).otherwise(F.lit(""))
+    bare = F.transform(F.coalesce(meta["automatic_pack_namespace_exclusions"], F.array().cast("array<string>")), lambda p: F.rtrim(p, F.lit("/")))
+    return packages.select(F.col("name").alias("directory"), own.alias("namespace"), bare.alias("bare"))
 
 
 def with_overrides(defaults: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -18,12 +18,12 @@ from .lineage import settled
 
 # The texts of reports, read by other tools.
 TEXT = {
-    "dependency": ("Dependency violation: `", "` belongs to `", "`, but `", "` does not specify a dependency on `", "`."),
-    "privacy": ("Privacy violation: `", "` is private to `", "`, but referenced from `", "`"),
-    "visibility": ("Visibility violation: `", "` belongs to `", "`, which is not visible to `", "`"),
-    "layer": (" violation: `", "` belongs to `", "` (whose layer is `", "`) cannot be accessed from `", "` (whose layer is `", "`)"),
-    "folder_privacy": ("Folder Privacy violation: `", "` belongs to `", "`, which is private to `", "` as it is not a sibling pack or parent pack."),
-    "strict": (" cannot have ", " violations on ", " because strict mode is enabled for ", " violations in the enforcing pack's package.yml file"),
+    "dependency": "Dependency violation: `%s` belongs to `%s`, but `%s` does not specify a dependency on `%s`.",
+    "privacy": "Privacy violation: `%s` is private to `%s`, but referenced from `%s`",
+    "visibility": "Visibility violation: `%s` belongs to `%s`, which is not visible to `%s`",
+    "layer": "%s violation: `%s` belongs to `%s` (whose layer is `%s`) cannot be accessed from `%s` (whose layer is `%s`)",
+    "folder_privacy": "Folder Privacy violation: `%s` belongs to `%s`, which is private to `%s` as it is not a sibling pack or parent pack.",
+    "strict": "%s cannot have %s violations on %s because strict mode is enabled for %s violations in the enforcing pack's package.yml file",
 }
 OUTGOING, INCOMING = "outgoing", "incoming"
 
@@ -48,14 +48,8 @@ class World:
     layer_word: str = "Layer"
 
 
-def _say(parts: Iterable[str], *values: Column, first: Column | None = None) -> Column:
-    parts = list(parts)
-    out = [x for x in (first,) if x is not None]
-    for text, value in zip(parts, [*values, None]):
-        out.append(F.lit(text))
-        if value is not None:
-            out.append(value)
-    return F.concat(*out)
+def _say(text: str, *values: Column) -> Column:
+    return F.format_string(text, *values)
 
 
 def _has(array: Column, value: Column) -> Column:
@@ -63,9 +57,17 @@ def _has(array: Column, value: Column) -> Column:
 
 
 def _layer(name: Column, w: World) -> Column:
+    """Place of a layer in the order, 0 for one that the order does not have."""
     return F.array_position(F.array(*[F.lit(x) for x in w.layers]), name) if w.layers else F.lit(0).cast("long")
 
 
+def _above(r: Column, d: Column, w: World) -> Column:
+    """Whether layer ``d`` stands above ``r``; a layer that the order does not have is an error, not the top."""
+    said = F.format_string("Could not find one of layer `%s` or layer `%s` in the configuration", r, d)
+    known = (_layer(r, w) > 0) & (_layer(d, w) > 0)
+    return F.when(r.isNull() | d.isNull(), F.lit(False)).when(known, _layer(r, w) > _layer(d, w)).otherwise(F.raise_error(said).cast("boolean"))
+
+
 def _private(r, d, w) -> Column:
     constant = F.col("constant_name")
     folder = F.coalesce(d("public_folder"), F.concat(d("name"), F.lit("/app/public")))
@@ -85,8 +87,8 @@ RULES = (
          lambda r, d, w: _say(TEXT["dependency"], F.col("constant_name"), d("name"), names.package_file(r("name")), d("name"))),
     Rule("privacy", INCOMING, _private, lambda r, d, w: _say(TEXT["privacy"], F.col("constant_name"), d("name"), r("name"))),
     Rule("visibility", INCOMING, lambda r, d, w: ~_has(d("visible_to"), r("name")), lambda r, d, w: _say(TEXT["visibility"], F.col("constant_name"), d("name"), r("name"))),
-    Rule("layer", OUTGOING, lambda r, d, w: r("layer").isNotNull() & d("layer").isNotNull() & (_layer(r("layer"), w) > _layer(d("layer"), w)),
-         lambda r, d, w: _say(TEXT["layer"], F.col("constant_name"), d("name"), d("layer"), r("name"), r("layer"), first=F.lit(w.layer_word))),
+    Rule("layer", OUTGOING, lambda r, d, w: _above(r("layer"), d("layer"), w),
+         lambda r, d, w: _say(TEXT["layer"], F.lit(w.layer_word), F.col("constant_name"), d("name"), d("layer"), r("name"), r("layer"))),
     Rule("folder_privacy", INCOMING, _folder_hidden, lambda r, d, w: _say(TEXT["folder_privacy"], F.col("constant_name"), d("name"), r("name"))),
 )
 
@@ -107,13 +109,15 @@ def with_packages(refs: DataFrame, packages: DataFrame, public_files: DataFrame
 
     Packages are computed and counted once and broadcast up to BROADCAST_PACKAGES, so that references, of which a few
     packages may hold most, are not shuffled by package. Unresolved references and references inside one package cannot
-    break a rule and leave first.
+    break a rule and leave first. A reference to or from a package that ``packages`` does not have is an error.
     """
     packages = settled(packages)
     hint = F.broadcast if packages.count() <= BROADCAST_PACKAGES else (lambda df: df)
     side = lambda p: hint(packages.select(*[F.col(c).alias(p + c) for c in packages.columns]))
     out = refs.where(F.col("defining_package").isNotNull() & (F.col("defining_package") != F.col("referencing_package")))
-    out = out.join(side("r_"), F.col("referencing_package") == F.col("r_name")).join(side("d_"), F.col("defining_package") == F.col("d_name"))
+    out = out.join(side("r_"), F.col("referencing_package") == F.col("r_name"), "left").join(side("d_"), F.col("defining_package") == F.col("d_name"), "left")
+    none = F.when(F.col("r_name").isNull(), F.col("referencing_package")).when(F.col("d_name").isNull(), F.col("defining_package"))
+    out = out.where(F.when(none.isNull(), F.lit(True)).otherwise(F.raise_error(F.format_string("No package found '%s'", none)).cast("boolean")))
     if public_files is None:
         return out.withColumn("has_public_mark", F.lit(False))
     marked = public_files.select(F.col("path").alias("defining_file")).distinct().withColumn("has_public_mark", F.lit(True))
@@ -132,7 +136,8 @@ def violations(refs: DataFrame, packages: DataFrame, world: World = World(), onl
     for rule in chosen:
         own, path = (r, F.col("defining_file")) if rule.direction == OUTGOING else (d, F.col("referencing_file"))
         setting = F.coalesce(own(f"enforce_{rule.name}"), F.lit("false"))
-        hit = (setting != "false") & rule.broken(r, d, world) & ~_ignored(own("ignore_rules"), rule.name, path)
+        # only where the rule is enforced is its condition looked at, as it may be an error
+        hit = F.when(setting != "false", rule.broken(r, d, world)).otherwise(F.lit(False)) & ~_ignored(own("ignore_rules"), rule.name, path)
         codes[rule.name] = F.when(hit, F.when(setting == "strict", F.lit(2)).otherwise(F.lit(1))).otherwise(F.lit(0))
     key = ["constant_name", "defining_package", "referencing_package", "referencing_file", "line", "col", "r_layer", "d_layer"]
     rows = with_packages(refs, packages, public_files).select(*key, *[c.alias(f"is_{k}") for k, c in codes.items()])
@@ -160,4 +165,4 @@ def unknown_layers(packages: DataFrame, world: World) -> DataFrame:
 def strict_messages(found: DataFrame) -> DataFrame:
     """One message for each strict violation; equal ones are not joined."""
     v = F.col("violation_type")
-    return found.where("strict").select(_say(["", *TEXT["strict"]], F.col("referencing_package"), v, F.col("defining_package"), v).alias("message"))
+    return found.where("strict").select(_say(TEXT["strict"], F.col("referencing_package"), v, F.col("defining_package"), v).alias("message"))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import baseline, resolve, rules
+from ..operators.lineage import settled
 from ..operators.rules import World
 
 
 @dataclass(frozen=True)
 class Check:
-    """Violations to report, recorded ones that are gone, strict ones; DataFrames, nothing has run."""
+    """Violations to report, recorded ones that are gone, strict ones."""
 
     reportable: DataFrame
     stale: DataFrame
@@ -22,10 +23,11 @@ class Check:
 
 
 def check(refs: DataFrame, packages: DataFrame, recorded: DataFrame, world: World = World(), files: DataFrame | None = None, ignore_recorded: bool = False, public_files: DataFrame | None = None, disabled: tuple[str, ...] = ()) -> Check:
-    """Evaluate all rules, on the references of ``files(path)`` only where given."""
+    """Evaluate all rules once, on the references of ``files(path)`` only where given. What they find, which all three parts are
+    made of, is settled."""
     if files is not None:
         refs = refs.join(files.select(F.col("path").alias("referencing_file")).distinct(), "referencing_file", "left_semi")
-    found = rules.violations(refs, packages, world, disabled=disabled, public_files=public_files)
+    found = settled(rules.violations(refs, packages, world, disabled=disabled, public_files=public_files))
     return Check(found if ignore_recorded else baseline.reportable(found, recorded), baseline.stale(found, recorded), baseline.strict(found))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import baseline, resolve
+from ..operators.lineage import settled
 from ..operators.rules import World
+from ..sources import cache as parses
 from ..sources import files as trees
 from ..sources import packages as package_files
 from ..sources import ruby
@@ -19,16 +22,17 @@ CONFIG_FILES = ("boundaries.yml", "packages.yml")
 
 @dataclass(frozen=True)
 class Project:
-    """Tables of a tree, all lazy: sources, packages, owners of files, constants, resolved references, the record."""
+    """Tables of a tree: sources, packages, owners of files, constants, resolved references, the record. What several others are
+    made of is settled when it is first asked for, so that no file is parsed twice and no command does what it need not."""
 
     world: World
+    settings: package_files.Settings
     sources: DataFrame
+    all_packages: DataFrame
     packages: DataFrame
-    owners: DataFrame
-    constants: DataFrame
-    refs: DataFrame
     record: DataFrame
-    public_files: DataFrame
+    acronyms: list[str]
+    cache: str | None = None
 
     @property
     def recorded(self) -> DataFrame:
@@ -38,33 +42,47 @@ class Project:
     def edges(self) -> DataFrame:
         return package_files.edges(self.packages)
 
+    @property
+    def public_files(self) -> DataFrame:
+        return trees.public_files(self.sources)
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        s = self.settings
+        parse = lambda rows: ruby.parse(rows, s.custom_associations)
+        return settled(parses.parsed_with_cache(self.sources, parse, parses.table(self.cache, s.custom_associations)) if self.cache else parse(self.sources))
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        return settled(resolve.file_owner(self.sources.select("path"), self.all_packages.select(F.col("name").alias("directory")), self.packages))
+
+    @cached_property
+    def constants(self) -> DataFrame:
+        s, spark = self.settings, self.sources.sparkSession
+        if s.definition_mode:
+            found = ruby.definitions(self.parsed)
+            ignored = [(n, p) for n, ps in s.ignored_definitions.items() for p in ps]
+            return settled(found.join(spark.createDataFrame(ignored, "fq_name string, defining_file string"), ["fq_name", "defining_file"], "left_anti") if ignored else found)
+        paths = self.sources.select("path")
+        roots = resolve.default_roots(paths, resolve.automatic_namespaces(self.all_packages))
+        if s.autoload_roots:
+            roots = resolve.with_overrides(roots, spark.createDataFrame(list(s.autoload_roots.items()), "directory string, namespace string"))
+        return settled(resolve.inferred_constants(paths, roots, self.acronyms))
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        return settled(resolve.references(settled(ruby.unresolved(self.parsed, self.acronyms)), self.constants, self.owners, self.settings.definition_mode))
+
 
-def open_project(spark: SparkSession, root: str, config_files: tuple[str, ...] = CONFIG_FILES, replaced: tuple[str, str] | None = None) -> Project:
+def open_project(spark: SparkSession, root: str, config_files: tuple[str, ...] = CONFIG_FILES, replaced: tuple[str, str] | None = None, cache: str | None = None) -> Project:
     """Read a tree. ``replaced`` (path, text) stands in for a file on disk. The configuration and inflections are the only
-    contents that reach the driver."""
+    contents that reach the driver. ``cache`` names a folder of earlier parses (``sources.cache``)."""
     everything = trees.tree(spark, root)
     found = {r["path"]: r["t"] for r in everything.where(F.col("path").isin(*config_files)).select("path", F.decode("content", "UTF-8").alias("t")).collect()}
     s = package_files.settings(next((found[c] for c in config_files if c in found), None))
     sources = trees.sources(trees.included(everything, s.include, s.exclude))
     if replaced:
         sources = trees.override(sources, *replaced)
-    all_packages = package_files.packages(everything)
+    all_packages = settled(package_files.packages(everything))
     packages = package_files.admitted(all_packages, s.package_paths)
-    dirs = all_packages.select(F.col("name").alias("directory"))
-    paths = sources.select("path")
-    owners = resolve.file_owner(paths, dirs, packages)
-    acronyms = trees.acronyms(everything, s.inflections_path)
-    parsed = ruby.parse(sources, s.custom_associations)
-    unresolved = ruby.unresolved(parsed, acronyms)
-    if s.definition_mode:
-        ignored = [(n, p) for n, ps in s.ignored_definitions.items() for p in ps]
-        constants = ruby.definitions(parsed)
-        if ignored:
-            constants = constants.join(spark.createDataFrame(ignored, "fq_name string, defining_file string"), ["fq_name", "defining_file"], "left_anti")
-    else:
-        roots = resolve.default_roots(paths, dirs)
-        if s.autoload_roots:
-            roots = resolve.with_overrides(roots, spark.createDataFrame(list(s.autoload_roots.items()), "directory string, namespace string"))
-        constants = resolve.inferred_constants(paths, roots, acronyms)
-    refs = resolve.references(unresolved, constants, owners, s.definition_mode)
-    return Project(World(s.layers), sources, packages, owners, constants, refs, package_files.record(everything), trees.public_files(sources))
+    return Project(World(s.layers), s, sources, all_packages, packages, package_files.record(everything), trees.acronyms(everything, s.inflections_path), cache)

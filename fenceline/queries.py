@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import globs, names
 from .operators import baseline, graph, resolve, rules, usage
+from .operators.lineage import settled
 from .plans import commands
 from .plans.projection import SQL, WORLD, Tables, recorded
 
@@ -58,13 +59,13 @@ for _name in ("dependency", "privacy", "visibility", "layer", "folder_privacy"):
 
 @query(f"SELECT {ALL} FROM violations ANTI JOIN recorded USING ({IDS})")
 def reportable(t: Tables) -> DataFrame:
-    found = _found(t)
+    found = settled(_found(t))
     return baseline.reportable(found, recorded(t, found))
 
 
 @query(f"SELECT {IDS} FROM recorded ANTI JOIN violations USING ({IDS})")
 def stale(t: Tables) -> DataFrame:
-    found = _found(t)
+    found = settled(_found(t))
     return baseline.stale(found, recorded(t, found))
 
 
@@ -80,7 +81,7 @@ def strict_messages(t: Tables) -> DataFrame:
 
 @query(f"SELECT CAST((SELECT count(*) FROM violations ANTI JOIN recorded USING ({IDS})) + (SELECT count(*) FROM recorded ANTI JOIN violations USING ({IDS})) + (SELECT count(*) FROM violations WHERE strict) AS BIGINT) AS n_violations")
 def violation_count(t: Tables) -> DataFrame:
-    found = _found(t)
+    found = settled(_found(t))
     return baseline.violation_count(found, recorded(t, found))
 
 
@@ -103,7 +104,7 @@ FROM ({_GROUPED.format('recorded')} UNION ALL {_GROUPED.format("(SELECT * FROM v
 
 @query(f"SELECT {_TEXTS} FROM ({_MERGED})")
 def todo_merge(t: Tables) -> DataFrame:
-    found = _found(t)
+    found = settled(_found(t))
     old = baseline.grouped(recorded(t, found))
     return _flat(baseline.merged(old, baseline.grouped(baseline.scoped(found, violation_type="layer"))))
 
@@ -120,7 +121,7 @@ SELECT CAST(sum(greatest(coalesce(now, 0) - coalesce(was, 0), 0)) AS BIGINT) AS
   count(*) FILTER (was IS NULL) AS files_added, count(*) FILTER (was IS NOT NULL AND now IS NOT NULL AND a.w <> b.w) AS files_changed, count(*) FILTER (now IS NULL) AS files_deleted
 FROM a FULL JOIN b USING (referencing_package)""")
 def update_stats(t: Tables) -> DataFrame:
-    found = _found(t)
+    found = settled(_found(t))
     return baseline.update_stats(baseline.grouped(recorded(t, found)), baseline.grouped(found))
 
 
@@ -132,7 +133,7 @@ def scoped_filter(t: Tables) -> DataFrame:
 @query(f"""SELECT 'violation' AS kind, count(*) AS n FROM violations ANTI JOIN recorded USING ({IDS}) UNION ALL SELECT 'stale', count(*) FROM recorded ANTI JOIN violations USING ({IDS})
 UNION ALL SELECT 'strict', count(*) FROM violations WHERE strict""")
 def check_json_counts(t: Tables) -> DataFrame:
-    found = _found(t)
+    found = settled(_found(t))
     report = commands.report_json(commands.check(t.refs(), t.packages(), recorded(t, found), WORLD))
     return report.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -141,7 +142,7 @@ def check_json_counts(t: Tables) -> DataFrame:
 UNION ALL SELECT 2, 'There were stale violations found, please run `update`' WHERE EXISTS (SELECT 1 FROM recorded ANTI JOIN violations USING ({IDS}))
 UNION ALL SELECT 3, referencing_package || ' cannot have ' || violation_type || ' violations on ' || defining_package || ' because strict mode is enabled for ' || violation_type || ' violations in the enforcing pack''s package.yml file' FROM violations WHERE strict""")
 def check_report(t: Tables) -> DataFrame:
-    found = _found(t)
+    found = settled(_found(t))
     return commands.report_lines(commands.check(t.refs(), t.packages(), recorded(t, found), WORLD))
 
 
@@ -304,6 +305,15 @@ def resolve_ladder(t: Tables) -> DataFrame:
     return resolve.resolve_first(_asked(t), _constants(t))
 
 
+@query("""SELECT name AS directory, CASE WHEN k % 2 = 0 THEN '::' || array_to_string(list_transform(string_split(split_part(name, '/', 3), '_'), lambda w: upper(w[1]) || w[2:]), '') ELSE '' END AS namespace,
+  CASE WHEN k % 3 = 0 THEN 'app/models' ELSE '' END AS bare FROM nations""")
+def automatic_namespaces(t: Tables) -> DataFrame:
+    k = F.col("k")
+    own = F.format_string('{"metadata": {"automatic_pack_namespace": %s, "automatic_pack_namespace_exclusions": [%s]}}', F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("false")), F.when(k % 3 == 0, F.lit('"app/models/"')).otherwise(F.lit("")))
+    out = resolve.automatic_namespaces(t.nations().select("name", own.alias("client_keys")))
+    return out.withColumn("bare", F.array_join("bare", ","))
+
+
 @query(_RESOLVE + "SELECT DISTINCT ref_id, '::' || array_to_string(ns[1:j] || [plain], '::') AS constant_name, d.path AS defining_file FROM hits, (SELECT unnest(['', 'more/']) AS pre), LATERAL (SELECT pre || defining_file AS path) d WHERE ri = 1 AND i = len(string_split(plain, '::'))")
 def resolve_all(t: Tables) -> DataFrame:
     c = _constants(t)

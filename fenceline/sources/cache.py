@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,8 +31,12 @@ def parsed_with_cache(sources: DataFrame, parse: Callable[[DataFrame], DataFrame
     return rows.where(F.col("kind").isNotNull()).drop("digest").distinct()
 
 
-def drop_cache(sources: DataFrame, table: str) -> None:
+def table(folder: str, custom_associations: tuple[str, ...] = ()) -> str:
+    """The table of ``folder`` for one way of parsing: other associations find other references in the same content."""
+    return f"{folder.rstrip('/')}/parses-{hashlib.sha256(chr(0).join(sorted(custom_associations)).encode()).hexdigest()[:16]}"
+
+
+def drop_cache(spark: SparkSession, folder: str) -> None:
     """Forget everything."""
-    spark = sources.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

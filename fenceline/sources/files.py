@@ -12,7 +12,7 @@ from ..functions import globs, names
 # What is looked at, and directories that are not, unless configuration says otherwise.
 INCLUDE = ("**/*.{rb,rake,erb}",)
 EXCLUDE = ("{bin,node_modules,script,tmp,vendor}/**/*",)
-PRUNED = ("**/node_modules/**", "**/tmp/**", "**/.git/**", "**/sorbet/**", "**/public/**/node_modules/**")
+PRUNED = ("node_modules/**/*", "vendor/**/*", "tmp/**/*", ".git/**/*", "public/**/*", "bin/**/*", "log/**/*", "sorbet/**/*")
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:

@@ -20,8 +20,8 @@ def package(name, **kw):
     return EMPTY | {"name": name, "parent": name.rpartition("/")[0] or "."} | kw
 
 
-def world(spark, packs, refs):
-    p = spark.createDataFrame([tuple(x[c] for c in PACKAGES.names) for x in packs], PACKAGES)
+def world(spark, package_rows, refs):
+    p = spark.createDataFrame([tuple(x[c] for c in PACKAGES.names) for x in package_rows], PACKAGES)
     return p, spark.createDataFrame(refs, REFERENCES)
 
 
@@ -29,14 +29,14 @@ def ref(constant="::Bar", definer="packages/bar", user="packages/foo", file=None
     return (constant, definer, file or (definer and f"{definer}/app/services/bar.rb"), user, f"{user}/app/services/foo.rb", line, col)
 
 
-def kinds(spark, packs, refs, w=World(), **kw):
-    p, r = world(spark, packs, refs)
+def kinds(spark, package_rows, refs, w=World(), **kw):
+    p, r = world(spark, package_rows, refs)
     return sorted((x["violation_type"], x["strict"]) for x in rules.violations(r, p, w, **kw).collect())
 
 
 def test_flagship_world(spark):
-    packs = [package("."), package("packages/foo", enforce_dependency="true", enforce_privacy="true", dependencies=["packages/baz"]), package("packages/bar", enforce_privacy="true"), package("packages/baz")]
-    p, r = world(spark, packs, [ref(), ref("::Baz", "packages/baz"), ref("::Nowhere", None)])
+    package_rows = [package("."), package("packages/foo", enforce_dependency="true", enforce_privacy="true", dependencies=["packages/baz"]), package("packages/bar", enforce_privacy="true"), package("packages/baz")]
+    p, r = world(spark, package_rows, [ref(), ref("::Baz", "packages/baz"), ref("::Nowhere", None)])
     found = rules.violations(r, p)
     out = commands.report_lines(commands.Check(found, found.limit(0), found.where("strict"))).collect()
     place = "\x1b[36mpackages/foo/app/services/foo.rb\x1b[0m:3:4\n"
@@ -73,28 +73,28 @@ def test_flagship_world(spark):
     ],
 )
 def test_rule_matrix(spark, definer, user, want):
-    packs = [package("packages/bar", **definer), package("packages/foo", **user)]
-    assert [k for k, _ in kinds(spark, packs, [ref()], World(("tooling", "product")))] == want
+    package_rows = [package("packages/bar", **definer), package("packages/foo", **user)]
+    assert [k for k, _ in kinds(spark, package_rows, [ref()], World(("tooling", "product")))] == want
 
 
 def test_folder_privacy_table(spark):
     cases = [("packages/a", "packages/a/b", True), ("packages/a/b", "packages/a", False), ("packages/a/b", "packages/a/c", True), (".", "packages/x/y", True), ("packages/foo", "packages/foobar/x", True), ("packages/q/r", "packages/z", False)]
     for user, definer, visible in cases:
-        packs = [package(user), package(definer, enforce_folder_privacy="strict")]
-        assert kinds(spark, packs, [ref("::X", definer, user)]) == ([] if visible else [("folder_privacy", True)]), (user, definer)
+        package_rows = [package(user), package(definer, enforce_folder_privacy="strict")]
+        assert kinds(spark, package_rows, [ref("::X", definer, user)]) == ([] if visible else [("folder_privacy", True)]), (user, definer)
 
 
 def test_public_marks_and_switches(spark):
-    packs = [package("packages/bar", enforce_privacy="true"), package("packages/foo", enforce_dependency="strict")]
+    package_rows = [package("packages/bar", enforce_privacy="true"), package("packages/foo", enforce_dependency="strict")]
     marked = spark.createDataFrame([("packages/bar/app/services/bar.rb",)] * 2, "path string")
-    assert kinds(spark, packs, [ref(), ref()], public_files=marked) == [("dependency", True)]
-    assert kinds(spark, packs, [ref()], disabled=["dependency"]) == [("privacy", False)]
-    assert kinds(spark, packs, []) == [] and kinds(spark, packs, [ref()], only=[]) == []
+    assert kinds(spark, package_rows, [ref(), ref()], public_files=marked) == [("dependency", True)]
+    assert kinds(spark, package_rows, [ref()], disabled=["dependency"]) == [("privacy", False)]
+    assert kinds(spark, package_rows, []) == [] and kinds(spark, package_rows, [ref()], only=[]) == []
 
 
 def test_strict_is_reportable_strict_and_stale(spark):
-    packs = [package("packages/bar"), package("packages/foo", enforce_dependency="strict")]
-    p, r = world(spark, packs, [ref()])
+    package_rows = [package("packages/bar"), package("packages/foo", enforce_dependency="strict")]
+    p, r = world(spark, package_rows, [ref()])
     found = rules.violations(r, p)
     recorded = baseline.unnest(spark.createDataFrame([("packages/foo", "packages/bar", "::Bar", ["dependency"], ["packages/foo/app/services/foo.rb"])], "referencing_package string, defining_package string, constant_name string, violations array<string>, files array<string>"))
     assert baseline.reportable(found, recorded).count() == baseline.stale(found, recorded).count() == 1
@@ -211,8 +211,8 @@ def test_closure_and_components_brute_force(spark):
 
 
 def test_validators(spark):
-    packs = [package("a", enforce_dependency="strict"), package("b", enforce_dependency="strict"), package("c"), package("d", enforce_layer="true"), package("e", layer="odd")]
-    p, _ = world(spark, packs, [])
+    package_rows = [package("a", enforce_dependency="strict"), package("b", enforce_dependency="strict"), package("c"), package("d", enforce_layer="true"), package("e", layer="odd")]
+    p, _ = world(spark, package_rows, [])
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "e")])
     out = sorted((r["error_type"], r["message"]) for r in graph.validate(p, e, World(("low",))).collect())
     assert out == [
@@ -261,3 +261,35 @@ def test_name_globs():
     import re
 
     assert re.match(globs.name_glob("a/*"), "a/b/c") and not re.match(globs.name_glob("a/*"), "b/a/c")
+
+
+@pytest.mark.parametrize("many, one_", [("movies", "Movie"), ("series", "Series"), ("news", "News"), ("wolves", "Wolf"), ("people", "Person"), ("my_users", "MyUser"), ("companies", "Company"), ("addresses", "Address"), ("boxes", "Box"), ("statuses", "Status"), ("heroes", "Hero"), ("invoices", "Invoice"), ("children", "Child"), ("analyses", "Analysis"), ("caches", "Cache"), ("bus_stops", "BusStop")])
+def test_singulars(spark, many, one_):
+    assert spark.range(1).select(names.class_case(F.lit(many))).first()[0] == one_
+
+
+def test_unknown_layers_and_packages_are_errors(spark):
+    layered = [package("packages/foo", layer="odd", enforce_layer="true"), package("packages/bar", layer="product")]
+    with pytest.raises(Exception, match="Could not find one of layer `odd` or layer `product`"):
+        kinds(spark, layered, [ref()], World(("product", "tooling")))
+    quiet = [package("packages/foo", layer="odd"), package("packages/bar", layer="product")]
+    assert kinds(spark, quiet, [ref()], World(("product", "tooling"))) == []
+    with pytest.raises(Exception, match="No package found 'packages/bar'"):
+        kinds(spark, [package("packages/foo")], [ref()])
+
+
+def test_a_name_of_two_files_is_an_error(spark):
+    refs = spark.createDataFrame([(1, "A", None)], "ref_id int, name string, namespace array<string>")
+    one = spark.createDataFrame([("::A", "a.rb"), ("::A", "a.rb"), ("::B", "b.rb")], "fq_name string, defining_file string")
+    assert [tuple(r) for r in resolve.resolve_first(refs, one).collect()] == [(1, "::A", "a.rb")]
+    with pytest.raises(Exception, match="two files define ::A: a.rb, c.rb"):
+        resolve.resolve_first(refs, one.unionByName(spark.createDataFrame([("::A", "c.rb")], one.schema))).collect()
+
+
+def test_shown_values_may_hold_any_text(spark):
+    """Texts are filled, not parsed again: percent signs and backticks in names stay."""
+    package_rows = [package("packages/foo", enforce_dependency="strict"), package("packages/b%s")]
+    p, r = world(spark, package_rows, [ref("::B%d`", "packages/b%s")])
+    found = rules.violations(r, p)
+    assert "`::B%d`` belongs to `packages/b%s`, but `packages/foo/package.yml` does" in found.first()["message"]
+    assert rules.strict_messages(found).first()[0] == "packages/foo cannot have dependency violations on packages/b%s because strict mode is enabled for dependency violations in the enforcing pack's package.yml file"

@@ -176,3 +176,40 @@ def test_stream_counts_each_file_once(spark, tmp_path):
         incremental.watch(spark, refs, p, out, mark).awaitTermination()
     incremental.watch(spark, refs, p, out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_directories_are_pruned_at_the_root_only(spark):
+    paths = ["log/x/a.rb", "public/a.rb", "vendor/a.rb", "tmp/a.rb", "node_modules/m/a.rb", "packages/a/app/tmp/x.rb", "packages/a/app/public/x.rb", "packages/a/log/y.rb", "a.rb", "script/a.rb"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert sorted(r["path"] for r in files.included(df).collect()) == ["a.rb", "packages/a/app/public/x.rb", "packages/a/app/tmp/x.rb", "packages/a/log/y.rb"]
+
+
+def test_automatic_namespaces(spark, tree):
+    """A package may ask that its roots stand for its name; roots that it excludes do not."""
+    (tree / "packages/baz/package.yml").write_text("metadata:\n  automatic_pack_namespace: true\n  automatic_pack_namespace_exclusions: [app/models]\n")
+    (tree / "packages/baz/app/models").mkdir(parents=True)
+    (tree / "packages/baz/app/models/plain.rb").write_text("class Plain; end\n")
+    (tree / "packages/bar/app/services/uses.rb").write_text("Baz::Baz\nPlain\n")
+    p = open_project(spark, str(tree))
+    names = {r["fq_name"]: r["defining_file"] for r in p.constants.collect()}
+    assert names["::Baz::Baz"] == "packages/baz/app/services/baz.rb" and names["::Plain"] == "packages/baz/app/models/plain.rb" and names["::Bar"] == "packages/bar/app/services/bar.rb"
+    used = {(r["constant_name"], r["defining_package"]) for r in p.refs.where("referencing_file like '%uses.rb'").collect()}
+    assert used == {("::Baz::Baz", "packages/baz"), ("::Plain", "packages/baz")}
+
+
+def test_cache_json_and_directories(spark, tree, tmp_path_factory, capsys):
+    import json
+
+    folder = str(tmp_path_factory.mktemp("parses"))
+    root = ["--root", str(tree), "--cache", folder]
+    assert cli.main([*root, "check", "--json", "packages/foo/app"]) == 1
+    first = json.loads(capsys.readouterr().out)
+    assert first["status"] == "failure" and len(first["violation"]) == 4 and first["stale"] == first["strict"] == []
+    assert len(list((tmp_path_factory.getbasetemp()).glob("parses*/parses-*"))) == 1
+    assert cli.main([*root, "check", "--json", "packages/foo/app"]) == 1 and json.loads(capsys.readouterr().out) == first
+    assert cli.main([*root, "check", "--json", "packages/bar"]) == 0 and json.loads(capsys.readouterr().out)["status"] == "success"
+    out = tree / "references.json"
+    cli.main([*root, "list-references", "--json", "--output", str(out)])
+    assert {"constant_name": "::Bar", "defining_file": "packages/bar/app/services/bar.rb"} in json.loads(out.read_text())["packages/foo/app/services/foo.rb"]
+    assert cli.main([*root, "delete-cache"]) == 0
+    assert not list((tmp_path_factory.getbasetemp()).glob("parses*/parses-*"))
