@@ -1,5 +1,8 @@
 """Trees, package files, the Ruby scanner, the cache, commands and the stream, on small trees."""
 
+import json
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,18 +201,16 @@ def test_automatic_namespaces(spark, tree):
 
 
 def test_cache_json_and_directories(spark, tree, tmp_path_factory, capsys):
-    import json
-
     folder = str(tmp_path_factory.mktemp("parses"))
     root = ["--root", str(tree), "--cache", folder]
     assert cli.main([*root, "check", "--json", "packages/foo/app"]) == 1
     first = json.loads(capsys.readouterr().out)
     assert first["status"] == "failure" and len(first["violation"]) == 4 and first["stale"] == first["strict"] == []
-    assert len(list((tmp_path_factory.getbasetemp()).glob("parses*/parses-*"))) == 1
+    assert len(list(pathlib.Path(folder).glob("parses-*"))) == 1
     assert cli.main([*root, "check", "--json", "packages/foo/app"]) == 1 and json.loads(capsys.readouterr().out) == first
     assert cli.main([*root, "check", "--json", "packages/bar"]) == 0 and json.loads(capsys.readouterr().out)["status"] == "success"
     out = tree / "references.json"
     cli.main([*root, "list-references", "--json", "--output", str(out)])
     assert {"constant_name": "::Bar", "defining_file": "packages/bar/app/services/bar.rb"} in json.loads(out.read_text())["packages/foo/app/services/foo.rb"]
     assert cli.main([*root, "delete-cache"]) == 0
-    assert not list((tmp_path_factory.getbasetemp()).glob("parses*/parses-*"))
+    assert not pathlib.Path(folder).exists()
