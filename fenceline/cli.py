@@ -129,7 +129,7 @@ COMMANDS = {
     "list-dependents": _dependents,
     "suggest-dependencies": lambda p, a: (_lines(usage.suggested_dependencies(p.refs, a.package), "package"), 0),
     "missing-dependencies-for-constant": lambda p, a: (_lines(usage.missing_edges_for_constant(p.refs, p.edges, p.packages, a.constant), "from_package", "to_package"), 0),
-    "list-packages": lambda p, a: (_lines(p.packages, "name"), 0),
+    "list-packages": lambda p, a: ([r["name"] for r in p.packages.select("name").orderBy(F.length("name").desc(), "name").toLocalIterator()], 0),
     "list-included-files": lambda p, a: (_lines(p.sources, "path"), 0),
     "list-definitions": lambda p, a: (_lines(resolve.ambiguous(p.constants) if a.ambiguous else p.constants, "fq_name", "defining_file"), 0),
     "list-references": _references,

@@ -128,9 +128,12 @@ def violations(refs: DataFrame, packages: DataFrame, world: World = World(), onl
     """Distinct violations of all rules (or ``only`` some), VIOLATION columns. A null setting enforces nothing.
 
     Each reference gets a code a rule (0 kept, 1 broken, 2 broken and strict); equal references are joined on their codes,
-    pre-aggregated where they are read, and only then become rows and texts.
+    pre-aggregated where they are read, and only then become rows and texts. A rule of another name is a ValueError.
     """
     r, d = (lambda c: F.col("r_" + c)), (lambda c: F.col("d_" + c))
+    only, disabled = None if only is None else list(only), list(disabled)
+    if unknown := {*(only or ()), *disabled} - {x.name for x in RULES}:
+        raise ValueError(f"No rule is called {sorted(unknown)}")
     chosen = [x for x in RULES if x.name not in set(disabled) and (only is None or x.name in set(only))]
     codes = {}
     for rule in chosen:

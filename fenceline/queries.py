@@ -154,24 +154,11 @@ def edge_counts(t: Tables) -> DataFrame:
     return usage.edge_counts(t.refs())
 
 
-_FEW = "CAST(regexp_extract(referencing_file, 'order_([0-9]+)', 1) AS BIGINT) % 97 = 0"
-
-
-def _few(refs: DataFrame) -> DataFrame:
-    """References of some orders only, so that some edges are unused; part of what the query asks, not of the operator."""
-    return refs.where(F.regexp_extract("referencing_file", "order_([0-9]+)", 1).cast("long") % 97 == 0)
-
-
-@query(f"SELECT from_package, to_package FROM edges WHERE NOT EXISTS (SELECT 1 FROM refs WHERE {_FEW} AND referencing_package = from_package AND defining_package = to_package)")
-def unnecessary_dependencies(t: Tables) -> DataFrame:
-    return usage.unnecessary_dependencies(t.edges(), _few(t.refs()))
-
-
 _DECLARED = ", declared AS (SELECT * FROM edges UNION ALL SELECT name, 'packages/none' FROM nations)\n"
 
 
 @query(_DECLARED + "SELECT from_package, to_package FROM declared WHERE NOT EXISTS (SELECT 1 FROM refs WHERE referencing_package = from_package AND defining_package = to_package)")
-def unnecessary_dependencies_all(t: Tables) -> DataFrame:
+def unnecessary_dependencies(t: Tables) -> DataFrame:
     """Of all references; every package also declares one that defines nothing, so that some edges are unused."""
     none = t.nations().select(F.col("name").alias("from_package"), F.lit("packages/none").alias("to_package"))
     return usage.unnecessary_dependencies(t.edges().unionByName(none), t.refs())
@@ -232,19 +219,17 @@ def expand_to_package(t: Tables) -> DataFrame:
     return usage.expand_to_packages(owners, files.where(F.regexp_extract("path", "order_([0-9]+)", 1).cast("long") < 8))
 
 
-@query(_PATHS + "SELECT path FROM paths WHERE n % 5 = 0 INTERSECT SELECT path FROM paths WHERE n % 3 = 0")
-def intersect_files(t: Tables) -> DataFrame:
-    n = F.regexp_extract("path", "order_([0-9]+)", 1).cast("long")
-    return usage.intersect_files(_files(t).where(n % 5 == 0), _files(t).where(n % 3 == 0))
-
-
 @query("SELECT file AS path FROM violations WHERE violation_type = 'dependency' INTERSECT SELECT file FROM violations WHERE violation_type = 'privacy'")
-def intersect_files_all(t: Tables) -> DataFrame:
+def intersect_files(t: Tables) -> DataFrame:
     """All files that break both of two rules."""
     files = lambda rule: _found(t, only=[rule]).select(F.col("file").alias("path"))
     return usage.intersect_files(files("dependency"), files("privacy"))
 
 
+for _name in ("unnecessary_dependencies", "intersect_files"):  # the names these two had beside queries of parts
+    QUERIES[f"{_name}_all"], ORACLE[f"{_name}_all"] = QUERIES[_name], ORACLE[_name]
+
+
 @query("""SELECT referencing_file, string_agg(constant_name || '=' || defining_file, ',' ORDER BY constant_name) AS constants
 FROM (SELECT referencing_file, constant_name, max(defining_file) AS defining_file FROM refs WHERE defining_file IS NOT NULL GROUP BY ALL) GROUP BY 1""")
 def reference_map(t: Tables) -> DataFrame:

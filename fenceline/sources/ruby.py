@@ -135,14 +135,24 @@ def parse(sources: DataFrame, associations: tuple[str, ...] = ()) -> DataFrame:
 
 
 def unresolved(parsed: DataFrame, acronyms: list[str] | None = None) -> DataFrame:
-    """References (ref_id, path, name, namespace, line, col) without those to what their own file defines. Definitions count as
-    references to themselves; an association refers to the class its name stands for."""
+    """References (ref_id, path, name, namespace, line, col) without those to what their own file defines; an association refers
+    to the class its name stands for.
+
+    A definition of A::B defines A too, and the first place of a name in a file counts. The last candidate of a reference
+    that the file defines decides. A definition is a reference to itself where it stands at that first place; one that
+    opens a name again is local.
+    """
     name = F.when(F.col("kind") == "association", names.class_case(F.col("name"), acronyms)).otherwise(F.col("name"))
     rows = parsed.withColumn("name", name)
-    own = rows.where("kind = 'definition'").groupBy("path").agg(F.collect_set("name").alias("own"))
+    here = F.struct("line", "col")
+    outer = F.transform(names.nesting(F.split(F.regexp_replace("name", "^::", ""), "::")), lambda n: F.concat(F.lit("::"), n))
+    first = rows.where("kind = 'definition'").select("path", F.explode(outer).alias("own"), here.alias("at")).groupBy("path", "own").agg(F.min("at").alias("at"))
+    own = first.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("own", "at"))).alias("own"))
     rows = rows.join(own, "path", "left")
-    local = F.coalesce(F.arrays_overlap(names.candidates(F.col("name"), F.col("namespace")), F.col("own")), F.lit(False))
-    kept = rows.where((F.col("kind") == "definition") | ~local)
+    hits = F.filter(names.candidates(F.col("name"), F.col("namespace")), lambda c: F.coalesce(F.map_contains_key("own", c), F.lit(False)))
+    place = F.try_element_at("own", F.try_element_at(hits, F.lit(-1)))
+    itself = (F.col("kind") == "definition") & (place == here)
+    kept = rows.where(place.isNull() | itself)
     return kept.select(F.xxhash64("path", "line", "col", "name", "kind").alias("ref_id"), "path", "name", "namespace", "line", "col").distinct()
 
 

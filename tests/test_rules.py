@@ -92,6 +92,12 @@ def test_public_marks_and_switches(spark):
     assert kinds(spark, package_rows, []) == [] and kinds(spark, package_rows, [ref()], only=[]) == []
 
 
+def test_unknown_rules_are_errors():
+    for kw in ({"only": ["odd"]}, {"disabled": ["odd"]}):
+        with pytest.raises(ValueError, match="odd"):
+            rules.violations(None, None, **kw)
+
+
 def test_strict_is_reportable_strict_and_stale(spark):
     package_rows = [package("packages/bar"), package("packages/foo", enforce_dependency="strict")]
     p, r = world(spark, package_rows, [ref()])
@@ -133,7 +139,7 @@ def test_stats_brute_force_without_gathering_packages(spark):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["unnecessary_dependencies_all", "intersect_files_all", "update_stats"])
+@pytest.mark.parametrize("name", ["unnecessary_dependencies", "intersect_files", "unnecessary_dependencies_all", "intersect_files_all", "update_stats"])
 def test_queries_of_whole_tables_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"

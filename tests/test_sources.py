@@ -79,6 +79,14 @@ def test_local_references_leave(spark):
     assert {r["fq_name"] for r in ruby.definitions(ruby.parse(df)).collect()} == {"::A", "::A::B"}
 
 
+def test_first_place_of_a_name_counts(spark):
+    text = "class A::B\n A\n ::A::B\nend\nmodule A\n class B\n end\n X\nend\nclass C\n A = 1\n A\nend"
+    df = spark.createDataFrame([("a.rb", "ruby", text), ("b.rb", "ruby", "A\nB")], "path string, kind string, text string")
+    rows = {(r["path"], r["name"], r["line"]) for r in ruby.unresolved(ruby.parse(df)).collect()}
+    # A of lines 5 and 12, A::B of line 6 stand elsewhere first
+    assert rows == {("a.rb", "::A::B", 1), ("a.rb", "X", 8), ("a.rb", "::C", 10), ("a.rb", "::C::A", 11), ("b.rb", "A", 1), ("b.rb", "B", 2)}
+
+
 def test_listing_and_packages(spark, tree):
     t = files.tree(spark, str(tree))
     assert {r["path"] for r in files.included(t).select("path").collect()} == {p for p in TREE if p.endswith((".rb", ".erb")) and not p.startswith("tmp/")}
@@ -142,6 +150,11 @@ def test_definition_mode(spark, tree):
     assert p.refs.where("defining_file is null").count() == 0
 
 
+def test_packages_are_listed_longest_first(spark, tree, capsys):
+    cli.main(["--root", str(tree), "list-packages"])
+    assert capsys.readouterr().out.split() == ["packages/bar", "packages/baz", "packages/foo", "."]
+
+
 def test_bad_yaml(spark, tmp_path):
     for text in ("a: 1\na: 2\n", "- x\n", "enforce_privacy: maybe\n"):
         with pytest.raises(ValueError):
