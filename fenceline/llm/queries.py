@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hilbert_ann, html_cut, language_id, mixing, order_minhash, quality_rules, secret_scan, token_counts, warc
+from . import byte_bpe, hilbert_ann, html_cut, importance, language_id, mixing, order_minhash, prefix_trie, quality_rules, re_pair, secret_scan, token_counts, warc
 from .util import read
 
 #: The vocabulary that the queries encode with.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The tokenizers library's file for the shards of ids, and the id that ends a document there.
+LIBRARY_FILE, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,20 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(read(spark, sf_dir, "documents"))
 
 
+def op11_re_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return re_pair.round_trip(read(spark, sf_dir, "documents"), LIBRARY_FILE, END_ID)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = prefix_trie.with_heads(prefix_trie.turn_arrays(read(spark, sf_dir, "conversations")), group=100, turns=6)
+    return prefix_trie.trie(arrays).drop("turn")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -105,4 +121,33 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs *
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN page_id IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM p""",
+    # the CRC of a feature byte by byte from its hex digits; only distinct features are hashed
+    "op12_importance": r"""WITH crcs AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+  UNION ALL SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, id, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS f FROM w),
+g AS (SELECT side, id, f, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)),
+b AS (SELECT f, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket FROM u, crcs),
+s AS (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 't') AS t FROM g JOIN b USING (f) GROUP BY 1),
+a AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM s),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (all_s + 10000))::DOUBLE / ((coalesce(s, 0) + 1) * (all_t + 10000))::DOUBLE)) AS BIGINT) AS gain FROM s, a),
+d AS (SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS total FROM g JOIN b USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+r AS (SELECT doc_id, coalesce(d.n, 0) AS n_features, CAST(coalesce(floor(total / d.n), 0) AS BIGINT) AS weight, len(w.words) >= 20 AS eligible,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM documents LEFT JOIN d ON d.id = doc_id LEFT JOIN w ON w.side = 'd' AND w.id = doc_id),
+p AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY eligible ORDER BY weight + noise DESC, doc_id) AS place, (count(*) FILTER (eligible) OVER ()) * 25 // 100 AS k FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= k THEN place END AS rank FROM p""",
+    # nodes by their turns, subtrees by joining every node with its ancestors
+    "op13_prefix_trie": r"""WITH crcs AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+o AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, turns, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, strlen(CAST(c AS VARCHAR))), lambda i: CAST(ord(substr(CAST(c AS VARCHAR), i + 1, 1)) AS BIGINT)), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)])), 4294967295) % 6 AS h FROM o, crcs),
+v AS (SELECT h.c, coalesce(b.turns, [])[1:h] || h.turns[h + 1:] AS turns FROM h LEFT JOIN o b ON b.c = h.c - h.c % 100),
+m AS (SELECT c, turns[1:d] AS p, d, d = len(turns) AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM v)),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(p[-1].t) END AS saved FROM n LEFT JOIN k USING (p, d)),
+s AS (SELECT p[1:a] AS p, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own) GROUP BY 1, 2)
+SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN s USING (p, d) LEFT JOIN n up ON up.d = own.d - 1 AND up.p = own.p[1:own.d - 1]""",
 }
