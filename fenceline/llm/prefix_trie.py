@@ -141,7 +141,7 @@ class Sweep:
         self.count[node] += self.rows
         if up >= 0:
             self.conv[up] = min(self.conv[up], self.conv[node])
-        carried = depth <= self.before and self.first[node]
+        carried = depth <= self.before and bool(self.first[node])
         if carried or goes_on:
             self.open.append((node, carried, goes_on))
             return
