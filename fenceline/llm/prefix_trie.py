@@ -110,7 +110,7 @@ def boundaries(rows: DataFrame) -> dict[int, tuple[int, int]]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "lcp": pa.array([n for _, n in out], pa.int64())})
 
     two = rows.select("key").mapInArrow(ends, "part int, first binary, last binary")
-    lcps = two.coalesce(1).sortWithinPartitions("part").mapInArrow(shared, "part int, lcp long").collect()
+    lcps = two.repartition(1).sortWithinPartitions("part").mapInArrow(shared, "part int, lcp long").collect()
     return {r["part"]: (r["lcp"], after) for r, after in zip(lcps, [r["lcp"] for r in lcps[1:]] + [-1])}
 
 
@@ -288,7 +288,7 @@ def stitched(nodes: DataFrame) -> DataFrame:
             yield out(rows[x : x + BATCH])
 
     opened = nodes.where("k is not null").select("conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens", "turn", "part", "k", "carried", "open", "size", "ends")
-    return cut(opened.coalesce(1).sortWithinPartitions("part", "k").mapInArrow(stitch, _NODE + ", part int, k int"))
+    return cut(opened.repartition(1).sortWithinPartitions("part", "k").mapInArrow(stitch, _NODE + ", part int, k int"))
 
 
 def trie(arrays: DataFrame) -> DataFrame:
