@@ -29,8 +29,9 @@ SHARD_TOKENS = 1 << 20
 LEAST = 16
 #: A round of rules that shortens a shard by less than this share is not made, and the shard is done.
 WORTH = 1 / 128
-#: Chunks of text a worker remembers the ids of; the table starts anew when it is full.
-REMEMBER = 600_000
+#: Chunks of text in each of the two tables that a worker remembers ids in: when the new one is full it becomes the old
+#: one, and what is met again moves on to the next.
+REMEMBER = 500_000
 #: Characters that are encoded together.
 TOGETHER = 1 << 21
 #: Begins a file.
@@ -42,14 +43,14 @@ _SECTIONS = (("ids", "<i8", "docs"), ("null", "u1", "docs"), ("tokens", "<i8", "
 class LibraryEncoder:
     """Ids of texts as the tokenizers library gives them; strings of special tokens in a text are ordinary text.
 
-    The vocabularies meant here split a text before they merge, and never inside a run of letters or between white space and a single
-    space that begins a word. So a text is cut at such places into chunks, each chunk that is new is encoded by the
-    library, many in one text with line feeds between, and chunks that come again are looked up. ``chunked`` says whether
-    a vocabulary works that way (byte-level with the usual pattern); for others every text is encoded whole.
+    The vocabularies meant here split a text before they merge, always before a single space that begins a word and after a
+    run of letters. So a text is cut at such places into chunks, chunks that are new are encoded by the
+    library, many in one text, and chunks that come again are looked up. ``chunked`` says whether a vocabulary works that
+    way (byte-level with the usual pattern); for others every text is encoded whole.
     """
 
-    # sure letters before a sure end, words with what is attached to them, white space as the pattern takes it
-    _chunks = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+    # whole runs of common letters, all else up to white space, white space as the pattern takes it
+    _chunks = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?!\w)| ?\S+|\s+(?!\S)|\s+")
     _unsure = re.compile("[\x1c-\x1f]")  # white space to one side only
 
     def __init__(self, text: str):
@@ -66,28 +67,40 @@ class LibraryEncoder:
         self._library = Tokenizer.from_str(self.text)
         self._library.encode_special_tokens = True
         self._known, self._ready = _Known(), True
-        feed = self._whole(["\n"])[0]
-        self.chunked = self.chunked and len(feed) == 1
-        self._feed = int(feed[0])
+        if not self.chunked:
+            return
+        self._feed = int(self._whole(["\n"])[0][0])
+        space = self._library.id_to_token(int(self._whole([" "])[0][0]))  # how the vocabulary writes a space
+        vocabulary = self._library.get_vocab()
+        self._space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._space[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        known = self._known
+        """Encode new chunks. Those that begin with a space stand side by side in one text and begin where a token begins with a space;
+        other words have line feeds between them."""
         blank = [c for c in chunks if c.isspace()]
-        known.update(zip(blank, (x.tobytes() for x in self._whole(blank))))
-        words = [c for c in chunks if not c.isspace()]
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
+        self._known.update(zip(blank, (x.tobytes() for x in self._whole(blank))))
+        spaced = [c for c in chunks if c[0] == " " and not c.isspace()]
+        bare = [c for c in chunks if not c[0].isspace()]
+        for k in range(0, len(spaced), 2000):
+            part = spaced[k : k + 2000]
+            ids = self._whole(["".join(part)])[0]
+            begins = (4 * np.flatnonzero(self._space[ids])).tolist()
+            self._put(part, ids, begins, [*begins[1:], 4 * len(ids)])
+        for k in range(0, len(bare), 2000):
+            part = bare[k : k + 2000]
             ids = self._whole(["\n".join(part)])[0]
-            raw, begin = ids.tobytes(), 0
-            ends = [*(4 * np.flatnonzero(ids == self._feed)).tolist(), len(raw)]
-            if len(ends) != len(part):
-                raise ValueError("a line feed was merged with what is beside it")
-            for c, end in zip(part, ends):
-                known[c] = raw[begin:end]
-                begin = end + 4
+            feeds = (4 * np.flatnonzero(ids == self._feed)).tolist()
+            self._put(part, ids, [0, *(x + 4 for x in feeds)], [*feeds, 4 * len(ids)])
+
+    def _put(self, chunks: list[str], ids: np.ndarray, begins: list[int], ends: list[int]) -> None:
+        if not len(begins) == len(ends) == len(chunks):
+            raise ValueError("chunks were merged with what is beside them")
+        raw = ids.tobytes()
+        self._known.update(zip(chunks, map(raw.__getitem__, map(slice, begins, ends))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text; null and empty ones have none."""
@@ -96,8 +109,7 @@ class LibraryEncoder:
         if not self.chunked:
             return self._whole([t or "" for t in texts])
         known, held = self._known, []
-        if len(known) > REMEMBER:
-            known.clear()
+        known.age()
         get, unseen = known.__getitem__, known.unseen
         for t in texts:
             if t and self._unsure.search(t):
@@ -114,13 +126,24 @@ class LibraryEncoder:
 
 
 class _Known(dict):
-    """Chunk -> its ids; a chunk that is not there is noted in ``unseen``."""
+    """Chunk -> its ids; one that only the old table has moves over, one that is in neither is noted in ``unseen``."""
 
     def __init__(self):
         self.unseen: list[str] = []
+        self._old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self._old.get(chunk)
+        if ids is None:
+            self.unseen.append(chunk)
+        else:
+            self[chunk] = ids
+        return ids
 
-    def __missing__(self, chunk: str) -> None:
-        self.unseen.append(chunk)
+    def age(self) -> None:
+        if len(self) > REMEMBER:
+            self._old = dict(self)
+            self.clear()
 
 
 def grammar(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, worth: float = WORTH) -> dict[str, np.ndarray]:
@@ -133,45 +156,42 @@ def grammar(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, worth: float
     """
     terminals, seq = _dense(ids)
     symbols = len(terminals)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(sizes[sizes > 0]) - 1] = True
+    ends = np.cumsum(sizes[sizes > 0]) - 1  # places of last symbols
     left, right = [], []
     while len(seq) > 1:
-        kind, shift = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
-        key = (seq[:-1].astype(kind) << kind(shift)) | seq[1:].astype(kind)
-        inside = ~last[:-1]
-        sorted_ = np.sort(key[inside])
-        edge = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True)) if len(sorted_) else np.zeros(0, np.int64)
+        kind, shift = (np.uint32, 16) if symbols < 1 << 16 else (np.uint64, 32)
+        key = (seq[:-1].astype(kind) << kind(shift)) | seq[1:]
+        key[ends[:-1]] = over = np.iinfo(kind).max  # no pair of symbols, as there are too few of them
+        sorted_ = np.sort(key)
+        edge = np.flatnonzero(np.append(sorted_[1:] != sorted_[:-1], True))
         times = np.diff(edge, prepend=-1)
-        often = np.flatnonzero(times >= least)
+        often = np.flatnonzero((times >= least) & (sorted_[edge] != over))
         if not len(often):
             break
         pairs = sorted_[edge[often]][np.argsort(-times[often], kind="stable")]
         rank = _ranks(key, pairs)
-        rank[~inside] = NEVER
         first = rank < NEVER
         first[1:] &= rank[1:] < rank[:-1]
         first[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(first)
         chosen = rank[at]
         used = np.bincount(chosen, minlength=len(pairs)) >= least
-        at = at[used[chosen]]
+        good = used[chosen]
+        at, chosen = at[good], chosen[good]
         if len(at) < worth * len(seq) or not len(at):
             break
-        new = symbols + np.cumsum(used) - 1
-        if symbols + len(pairs) > 1 << 16:
+        if symbols + len(pairs) >= 1 << 16:
             seq = seq.astype(np.uint32)
         left.append((pairs[used] >> kind(shift)).astype(np.uint32))
         right.append((pairs[used] & kind((1 << shift) - 1)).astype(np.uint32))
+        seq[at] = (symbols + np.cumsum(used) - 1)[chosen]
         symbols += int(used.sum())
-        seq[at] = new[rank[at]]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        at += 1
+        seq = np.delete(seq, at)
+        ends = ends - np.searchsorted(at, ends, "right")
     left, right = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (left, right))
     counts = np.zeros(len(sizes), np.int64)
-    counts[sizes > 0] = np.diff(np.flatnonzero(last), prepend=-1)
+    counts[sizes > 0] = np.diff(ends, prepend=-1)
     return {"terminals": terminals, "left": left, "right": right, "length": _lengths(len(terminals), left, right)[len(terminals) :], "symbols": counts, "seq": seq}
 
 
