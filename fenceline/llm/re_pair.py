@@ -14,9 +14,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ WORTH = 1 / 128
 #: Chunks of text in each of the two tables that a worker remembers ids in: when the new one is full it becomes the old
 #: one, and what is met again moves on to the next.
 REMEMBER = 500_000
-#: Characters that are encoded together.
-TOGETHER = 1 << 21
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 24
 #: Begins a file.
 MAGIC = b"REPAIR01"
 NEVER = np.int32(1 << 30)
@@ -52,6 +54,9 @@ class LibraryEncoder:
     # whole runs of common letters, all else up to white space, white space as the pattern takes it
     _chunks = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?!\w)| ?\S+|\s+(?!\S)|\s+")
     _unsure = re.compile("[\x1c-\x1f]")  # white space to one side only
+    # a space or line feed at an end or beside other white space, or the unsure characters
+    _white = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    _odd_spaces = rf"\A[ \n]|[ \n]\z|[ \n][{_white}]|[{_white}][ \n]|[\x{{1c}}-\x{{1f}}]"
 
     def __init__(self, text: str):
         self.text, self._ready = text, False
@@ -80,11 +85,11 @@ class LibraryEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode new chunks. Those that begin with a space stand side by side in one text and begin where a token begins with a space;
-        other words have line feeds between them."""
-        blank = [c for c in chunks if c.isspace()]
-        self._known.update(zip(blank, (x.tobytes() for x in self._whole(blank))))
-        spaced = [c for c in chunks if c[0] == " " and not c.isspace()]
-        bare = [c for c in chunks if not c[0].isspace()]
+        others have line feeds between them, but for those with other white space at an end."""
+        alone = [c for c in chunks if c[-1].isspace() or (c[0] != " " and c[0].isspace())]
+        self._known.update(zip(alone, (x.tobytes() for x in self._whole(alone))))
+        rest = chunks.difference(alone)
+        spaced, bare = [c for c in rest if c[0] == " "], [c for c in rest if c[0] != " "]
         for k in range(0, len(spaced), 2000):
             part = spaced[k : k + 2000]
             ids = self._whole(["".join(part)])[0]
@@ -102,27 +107,69 @@ class LibraryEncoder:
         raw = ids.tobytes()
         self._known.update(zip(chunks, map(raw.__getitem__, map(slice, begins, ends))))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of every text; null and empty ones have none."""
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of every text; null and empty ones have none.
+
+        Texts whose spaces and line feeds all stand singly between words are cut as bytes and their chunks numbered by Arrow, so
+        that each distinct chunk of many texts is looked up once and its ids are gathered for all its places.
+        """
         if not self._ready:
             self._start()
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
         if not self.chunked:
-            return self._whole([t or "" for t in texts])
-        known, held = self._known, []
-        known.age()
-        get, unseen = known.__getitem__, known.unseen
-        for t in texts:
-            if t and self._unsure.search(t):
-                held.append((None, self._whole([t])[0].tobytes()))
-                continue
-            chunks = self._chunks.findall(t) if t else []
-            before = len(unseen)
-            ids = list(map(get, chunks))
-            held.append((chunks, None) if len(unseen) > before else (None, b"".join(ids)))
-        if unseen:
-            self._learn(set(unseen))
-            unseen.clear()
-        return [np.frombuffer(b"".join(map(get, chunks)) if ids is None else ids, "<u4") for chunks, ids in held]
+            return self._whole(texts.to_pylist())
+        self._known.age()
+        odd = np.asarray(pc.match_substring_regex(texts, self._odd_spaces))
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        at = np.flatnonzero(odd)
+        for k, raw in zip(at.tolist(), self._encode_each(texts.take(pa.array(at)).to_pylist())):
+            out[k] = np.frombuffer(raw, "<u4")
+        at = np.flatnonzero(~odd)
+        flat, ends = self._encode_words(texts.take(pa.array(at)))
+        for k, x, y in zip(at.tolist(), [0, *ends], ends):
+            out[k] = flat[x:y]
+        return out
+
+    def _encode_words(self, texts: pa.StringArray) -> tuple[np.ndarray, list[int]]:
+        """Ids of texts of single spaces and line feeds one after the other, and where each text's end. Chunks begin with their space,
+        line feeds stand alone, and so does what begins with a full stop or comma after a letter."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        if not len(texts) or offsets[-1] == offsets[0]:
+            return np.zeros(0, np.uint32), [0] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        feed, small = data == 10, data | 32
+        letter = (small >= 97) & (small <= 122)
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # À to ÿ, but for two signs
+        begins = (data == 32) | feed
+        begins[1:] |= feed[:-1] | (letter[:-1] & ((data[1:] == 44) | (data[1:] == 46)))
+        at = offsets[:-1] - offsets[0]
+        begins[at[at < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
+        coded = chunks.dictionary_encode()
+        ids = self._look_up(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        length = lengths[index]
+        flat = _gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(lengths) - lengths)[index], length)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return flat, ends[np.searchsorted(starts, offsets[1:] - offsets[0])].tolist()
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as little-endian 32-bit integers."""
+        known = self._known
+        ids = list(map(known.__getitem__, chunks))
+        if known.unseen:
+            self._learn(set(known.unseen))
+            known.unseen.clear()
+            ids = list(map(known.__getitem__, chunks))
+        return ids
+
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, chunk by chunk, as little-endian 32-bit integers."""
+        split = [None if self._unsure.search(t) else self._chunks.findall(t) for t in texts]
+        ids = iter(self._look_up([c for chunks in split if chunks for c in chunks]))
+        return [self._whole([t])[0].tobytes() if chunks is None else b"".join(islice(ids, len(chunks))) for t, chunks in zip(texts, split)]
 
 
 class _Known(dict):
@@ -359,16 +406,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
 def _encoded(batches: Iterator[pa.RecordBatch], encoder: LibraryEncoder, end_id: int | None) -> Iterator[tuple[int | None, np.ndarray]]:
     end = np.array([] if end_id is None else [end_id], np.uint32)
-    ids, texts, size = [], [], 0
     for b in batches:
-        for k in range(b.num_rows):
-            ids.append(b.column(0)[k].as_py())
-            texts.append(b.column(1)[k].as_py())
-            size += len(texts[-1] or "")
-            if size > TOGETHER:
-                yield from ((i, np.concatenate([x, end])) for i, x in zip(ids, encoder.encode(texts)))
-                ids, texts, size = [], [], 0
-    yield from ((i, np.concatenate([x, end])) for i, x in zip(ids, encoder.encode(texts)))
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64))
+        k = 0
+        while k < b.num_rows:
+            stop = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + TOGETHER)))
+            part = b.slice(k, stop - k)
+            yield from ((i, np.concatenate([x, end])) for i, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))))
+            k = stop
 
 
 def with_starts(shards: DataFrame) -> DataFrame:

@@ -42,11 +42,13 @@ def odd(rng):
 PIECES = st.lists(st.sampled_from(["a", "Bc", "don't", "é", "漢", " ", "  ", "\n", "\t", "\r\n", ".", ",", "...", "7", "½", "_", "'s", "\x1c", "\x85", " ", "́", "ªb", "😀", "<|endoftext|>", "x.y", "(z)"]), max_size=30)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(PIECES)
 def test_chunks_encode_as_whole_texts(parts):
     text = "".join(parts)
     got = ENCODER.encode([text, None, "", text])
+    for other in (" ".join(parts), "x" + "\n".join(parts) + "é."):
+        assert ENCODER.encode([other])[0].tolist() == LIBRARY_.encode(other, add_special_tokens=False).ids
     assert got[0].tolist() == got[3].tolist() == LIBRARY_.encode(text, add_special_tokens=False).ids
     assert not len(got[1]) and not len(got[2])
 
