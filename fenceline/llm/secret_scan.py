@@ -7,7 +7,8 @@ lag one, and in encodings that words have too the share of letters common in wor
 gives p values spread evenly over 0 to 1, an identifier or a word gives p near 0; so in every stratum of encoding and
 length, the tokens above 0.5 tell how many are random, and the threshold is the least p at which the estimated share of
 false discoveries among what lies above stays within ``fdr``. How many are random is known up to chance only: an excess
-that chance explains counts as none, down to p of ``FLOOR``, so that thin strata keep their secrets. Short tokens, which the tests can hardly tell, so get a
+that chance explains counts as none, down to p of ``FLOOR``, so that thin strata keep their secrets; but not in encodings
+that words have too, where the excess is of words. Short tokens, which the tests can hardly tell, so get a
 higher threshold than long ones.
 """
 
@@ -146,19 +147,20 @@ def thresholds(scanned: DataFrame, fdr: float = 0.05, col: str = "candidates") -
         counts.setdefault((r["kind"], r["band"]), {})[r["bin"]] = r["count"]
     out = {}
     for stratum, bins in counts.items():
-        best = _least(bins, fdr)
+        best = _least(bins, fdr, stratum[0] not in WORDED)
         if best is not None:
             out[stratum] = best
     return out
 
 
-def _least(bins: dict[int, int], fdr: float) -> float | None:
+def _least(bins: dict[int, int], fdr: float, allowing: bool = True) -> float | None:
     """Least accepted p of a stratum of ``bins`` (bin: tokens), None where it holds none to accept.
 
-    The count above 0.5 and that below differ by chance even if all are random; the allowance is the upper 95 % of that.
+    The count above 0.5 and that below differ by chance even if all are random; where that is allowed for, the allowance
+    is the upper 95 % of it.
     """
     upper = sum(n for b, n in bins.items() if 2 * b >= BINS)
-    chance = DEVIATIONS * (2 * upper) ** 0.5 + FEW
+    chance = DEVIATIONS * (2 * upper) ** 0.5 + FEW if allowing else 0.0
     accepted, best = 0, None
     for b in range(BINS - 1, -1, -1):
         accepted += bins.get(b, 0)
