@@ -179,7 +179,8 @@ def blocks(page: str) -> list[Block]:
             if name not in _void:
                 number += 1
                 _, _, main, chrome = stack[-1]
-                own, marked = _marked(attributes) if attributes else (False, False)
+                # what an article is filed under (``tag-search``) says nothing against it
+                own, marked = _marked(attributes) if attributes and name not in _main_tags else (False, False)
                 main = main or name in _main_tags or (own and not marked)
                 chrome = chrome or name in _chrome_tags or (name == "header" and not main) or (marked and name not in ("body", "html"))
                 stack.append((name, number, main, chrome))
