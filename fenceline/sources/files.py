@@ -1,33 +1,73 @@
-"""Source trees as tables. A tree is listed and read by Spark's binary reader, on any file system Spark can read."""
+"""Source trees as tables. A tree is listed level by level: the directories of a level are dealt to tasks, what they hold is
+filtered, and only directories that are not pruned make the next level. Contents are read in tasks, where they are asked for."""
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import globs, names
+from ..operators.lineage import settled
+from . import stores
 
 # What is looked at, and directories that are not, unless configuration says otherwise.
 INCLUDE = ("**/*.{rb,rake,erb}",)
 EXCLUDE = ("{bin,node_modules,script,tmp,vendor}/**/*",)
 PRUNED = ("node_modules/**/*", "vendor/**/*", "tmp/**/*", ".git/**/*", "public/**/*", "bin/**/*", "log/**/*", "sorbet/**/*")
-
-
-def tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all files below ``root``; path is relative. Content is read only where it is selected.
-
-    The reader gives no row for an empty file, and an empty package file means something; those come from the listing,
-    whose names the reader keeps at the driver in any case.
-    """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^[a-z]+:/*", "/")
-    below = lambda c: F.substring(F.regexp_replace(c, "^[a-z]+:/*", "/"), F.length(base) + 1, 1 << 30)
-    full = rows.select(below("path").alias("path"), F.col("content"))
-    listed = spark.createDataFrame([(unquote(p),) for p in rows.inputFiles()], "path string").select(below("path").alias("path"))
-    empty = listed.join(full.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
-    return full.unionByName(empty)
+#: Bytes of files that one task reads about.
+READ_BYTES = 32 << 20
+#: Directories that one task lists about.
+DIRECTORIES_A_TASK = 64
+#: Bytes of contents in one batch about; one file is never split.
+BATCH_BYTES = 8 << 20
+
+
+def tree(spark: SparkSession, root: str, pruned: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(path, size) of the files below ``root``, path relative, materialised. A directory that matches one of ``pruned`` is not looked
+    into, so nothing below it is ever listed; files are pruned only with a directory above them. One round a level."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for d in b.column(0).to_pylist() for r in stores.children(root, d)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.bool_(), pa.int64()))], ["path", "folder", "size"])
+
+    files, level, n = [], spark.createDataFrame([("",)], "path string"), 1
+    while n:
+        parts = 1 + (n - 1) // DIRECTORIES_A_TASK
+        found = settled(level.repartition(parts, "path").mapInArrow(listed, "path string, folder boolean, size long"))
+        files.append(found.where("not folder").select("path", "size"))
+        level = found.where("folder").where(~_any(F.col("path"), pruned)).select("path")
+        n = level.count()
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """(path, content) of ``files(path, size)`` below ``root``, read in tasks; files that are gone meanwhile leave."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, texts, size = [], [], 0
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                content = stores.read(root, path)
+                if content is None:
+                    continue
+                paths.append(path)
+                texts.append(content)
+                size += len(content)
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["path", "content"])
+                    paths, texts, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["path", "content"])
+
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return files.select("path").repartition(1 + total // READ_BYTES, "path").mapInArrow(read, "path string, content binary")
 
 
 def _any(path, patterns: tuple[str, ...] | list[str]):
@@ -37,10 +77,10 @@ def _any(path, patterns: tuple[str, ...] | list[str]):
     return hit
 
 
-def included(files: DataFrame, include=INCLUDE, exclude=EXCLUDE, pruned=PRUNED) -> DataFrame:
-    """Files that are included, not excluded, and not below a pruned directory."""
+def included(files: DataFrame, include=INCLUDE, exclude=EXCLUDE) -> DataFrame:
+    """Files that are included and not excluded. Pruning is of directories and the listing's (``tree``)."""
     p = F.col("path")
-    return files.where(_any(p, include) & ~_any(p, exclude) & ~_any(p, pruned))
+    return files.where(_any(p, include) & ~_any(p, exclude))
 
 
 def sources(files: DataFrame) -> DataFrame:
@@ -64,13 +104,15 @@ def expand(files: DataFrame, asked: list[str]) -> DataFrame:
     return files.where(hit)
 
 
-def public_files(sources_: DataFrame) -> DataFrame:
-    """Paths of files that carry the public mark in their first lines."""
-    return sources_.where(names.public_marks(F.col("text")) > 0).select("path")
+def public_files(sources_: DataFrame, definition_mode: bool = False) -> DataFrame:
+    """Paths of files that carry the public mark in their first lines; of a template these are lines of its code. In definition
+    mode templates carry none."""
+    template = F.col("kind") == "erb"
+    text = F.when(template, names.template_code(F.col("text"))).otherwise(F.col("text"))
+    return sources_.where(~(template & F.lit(definition_mode)) & (names.public_marks(text) > 0)).select("path")
 
 
-def acronyms(files: DataFrame, path: str) -> list[str]:
-    """Acronyms of an inflections file: the second piece of each line that names one. One small file reaches the driver."""
-    text = files.where(F.col("path") == path).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
-    rows = text.where(F.col("line").contains(".acronym")).select(F.get(F.split("line", "['\"\\\\]"), F.lit(1)).alias("a"))
-    return sorted({r["a"] for r in rows.collect() if r["a"]})
+def acronyms(text: str | None) -> list[str]:
+    """Acronyms of an inflections file, one small text: the second piece of each line that names one."""
+    pieces = (re.split(r"['\"\\]", line) for line in (text or "").split("\n") if ".acronym" in line)
+    return sorted({p[1] for p in pieces if len(p) > 1 and p[1]})
