@@ -32,10 +32,84 @@ def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(package, component) of packages that lie on a cycle with another; a component is named by its least member."""
-    reach = closure(edges)
-    back = reach.select(F.col("source").alias("target"), F.col("target").alias("source"))
-    return reach.intersect(back.select("source", "target")).groupBy(F.col("source").alias("package")).agg(F.min(F.least("source", "target")).alias("component"))
+    """(package, component) of packages that lie on a cycle with another; a component is named by its least member.
+
+    No set of reachable packages is ever made. Packages that cannot lie on a cycle, for want of an edge in or out, are
+    trimmed; chains of packages with one way out are followed to their end by doubling pointers, and stand for it from then
+    on; what is left is coloured: the least package that reaches each one, and, backwards inside a colour from it, its
+    component. Rows stay in proportion to edges, but for the doubled pointers of a chain (times the logarithm of its
+    length); rounds are that logarithm, and the longest path of packages that all have several ways out.
+    """
+    e = edges.where("from_package is not null and to_package is not null and from_package <> to_package").select(F.col("from_package").alias("x"), F.col("to_package").alias("y"))
+    found = _solve(settled(e.distinct()))
+    named = found.groupBy("component").agg(F.min("package").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(named, "component").select("package", F.col("least").alias("component"))
+
+
+def _solve(e: DataFrame) -> DataFrame:
+    """(package, component) of distinct edges (x, y); an edge from a package to itself says that it is in a component."""
+    loops = e.where("x = y").select(F.col("x").alias("package"), F.col("x").alias("component"))
+    g = _trimmed(e.where("x <> y"))
+    if g.isEmpty():
+        return loops
+    ways = g.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("to"))
+    single = settled(ways.where("n = 1").select(F.col("x").alias("v"), "to"))
+    inner = _coloured(g) if single.isEmpty() else _contracted(g, loops, single)
+    return settled(inner.unionByName(loops.join(inner, "package", "left_anti")))
+
+
+def _trimmed(g: DataFrame) -> DataFrame:
+    """Edges without those that lead to a package without a way out or come from one without a way in, as long as there are any."""
+    g, n = settled(g), None
+    while n != (n := g.count()):
+        g = settled(g.join(g.select(F.col("x").alias("y")).distinct(), "y", "left_semi").join(g.select(F.col("y").alias("x")).distinct(), "x", "left_semi").select("x", "y"))
+    return g
+
+
+def _contracted(g: DataFrame, loops: DataFrame, single: DataFrame) -> DataFrame:
+    """Components where ``single(v, to)`` have one way out. A cycle through one of them goes on to the end of its chain, so it is left out
+    and its edges in lead there; it is in the end's component if a member of that has an edge to it or to one that
+    leads to it. Chains that end in a ring of their own make that ring a component."""
+    step = single.withColumn("low", F.col("v"))
+    steps, rest = [step], 2 * single.count()
+    while rest > 1:  # after each round pointers go twice as far, at most to the end of the chain
+        on = step.select(F.col("v").alias("to"), F.col("to").alias("on"), F.col("low").alias("low2"))
+        step = settled(step.join(on, "to", "left").select("v", F.coalesce("on", "to").alias("to"), F.least("low", "low2").alias("low")))
+        steps.append(step)
+        rest = 0 if step.join(single.select(F.col("v").alias("to")), "to", "left_semi").isEmpty() else rest // 2
+    ring = step.join(step.select(F.col("to").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("package"), F.col("low").alias("component"))
+    ends = settled(step.join(single.select(F.col("v").alias("to")), "to", "left_anti").select("v", F.col("to").alias("end")))
+    others = g.join(single.select(F.col("v").alias("x")), "x", "left_anti")
+    into = settled(others.join(ends.select(F.col("v").alias("y"), "end"), "y"))  # edges to chains from what is none: x, y, end
+    plain = others.join(single.select(F.col("v").alias("y")), "y", "left_anti").select("x", "y")
+    own = loops.join(single.select(F.col("v").alias("package")), "package", "left_anti").select(F.col("package").alias("x"), F.col("package").alias("y"))
+    sub = _solve(settled(plain.unionByName(into.select("x", F.col("end").alias("y"))).unionByName(own).distinct()))
+    known = lambda c, name: sub.select(F.col("package").alias(c), F.col("component").alias(name))
+    marks = settled(into.join(known("x", "a"), "x").join(known("end", "b"), "end").where("a = b").select(F.col("y").alias("v")).distinct())
+    for s in steps if not marks.isEmpty() else []:
+        marks = settled(marks.unionByName(marks.join(s, "v").select(F.col("to").alias("v"))).distinct())
+    inside = ends.join(marks, "v", "left_semi").join(known("end", "component"), "end").select(F.col("v").alias("package"), "component")
+    return sub.unionByName(inside).unionByName(ring)
+
+
+def _coloured(g: DataFrame) -> DataFrame:
+    """Components by colours: each package takes the least one that reaches it; what reaches that one inside the colour is its
+    component. The rest, without edges between colours, is solved anew."""
+    colours = settled(g.select(F.col("x").alias("package")).union(g.select("y")).distinct().withColumn("colour", F.col("package")))
+    frontier = colours
+    while not frontier.isEmpty():
+        step = frontier.join(g, F.col("package") == F.col("x")).groupBy(F.col("y").alias("package")).agg(F.min("colour").alias("new"))
+        frontier = settled(step.join(colours, "package").where("new < colour").select("package", F.col("new").alias("colour")))
+        colours = settled(colours.join(frontier, "package", "left_anti").unionByName(frontier))
+    side = lambda c, name: colours.select(F.col("package").alias(c), F.col("colour").alias(name))
+    same = settled(g.join(side("x", "a"), "x").join(side("y", "b"), "y").where("a = b").select("x", "y"))
+    found = frontier = settled(colours.where("package = colour").select("package", F.col("colour").alias("component")))
+    while not frontier.isEmpty():
+        step = frontier.join(same, F.col("package") == F.col("y")).select(F.col("x").alias("package"), "component").distinct()
+        frontier = settled(step.join(found, "package", "left_anti"))
+        found = settled(found.unionByName(frontier))
+    rest = same.join(found.select(F.col("package").alias("x")), "x", "left_anti").join(found.select(F.col("package").alias("y")), "y", "left_anti")
+    return found.unionByName(_solve(settled(rest)))
 
 
 def self_dependencies(edges: DataFrame) -> DataFrame:

@@ -52,8 +52,10 @@ def ambiguous(constants: DataFrame) -> DataFrame:
 
 
 def duplicates(constants: DataFrame) -> DataFrame:
-    """Names that are not unique; path-convention mode asks for none."""
-    return constants.groupBy("fq_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(said) of names that several files define, each with its files; path-convention mode asks for none."""
+    files = F.array_sort(F.collect_set("defining_file"))
+    many = constants.groupBy("fq_name").agg(files.alias("files")).where(F.size("files") > 1)
+    return many.select(F.concat("fq_name", F.lit(" ("), F.array_join("files", ", "), F.lit(")")).alias("said"))
 
 
 def unique(constants: DataFrame) -> DataFrame:
@@ -125,9 +127,15 @@ def with_overrides(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def references(unresolved: DataFrame, constants: DataFrame, owners: DataFrame, definition_mode: bool = False) -> DataFrame:
-    """REFERENCES of ``unresolved(ref_id, path, name, namespace, line, col)``; the referencing file must have an owner."""
+    """REFERENCES of ``unresolved(ref_id, path, name, namespace, line, col)``. A referencing file without an owner has a null package;
+    ``unowned`` gives those, which no rule can judge."""
     meaning = (resolve_all if definition_mode else resolve_first)(unresolved, constants)
     rows = unresolved.select("ref_id", "path", "line", "col").join(meaning, "ref_id")
     rows = rows.join(owners.select("path", F.col("package").alias("referencing_package")), "path", "left")
     rows = rows.join(owners.select(F.col("path").alias("defining_file"), F.col("package").alias("defining_package")), "defining_file", "left")
     return rows.select("constant_name", "defining_package", "defining_file", "referencing_package", F.col("path").alias("referencing_file"), "line", "col")
+
+
+def unowned(refs: DataFrame) -> DataFrame:
+    """(file) of referencing files that no package owns."""
+    return refs.where("referencing_package is null").select(F.col("referencing_file").alias("file"))
