@@ -5,17 +5,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import baseline, graph, resolve, rules, usage
 from .operators.lineage import settled
-from .plans import commands
-from .plans.project import Project, open_project
+from .plans import commands, moves
+from .plans.project import CONFIG_FILES, Project, open_project
 from .sources import files as trees
 from .sources import packages as package_files
-from .sources import ruby
+from .sources import ruby, sinks
 from .sources.cache import drop_cache
 
 
@@ -24,38 +25,57 @@ def _lines(df: DataFrame, *cols: str) -> list[str]:
     return [" ".join(str(r[c]) for c in cols) for r in df.select(*cols).distinct().orderBy(*cols).toLocalIterator()]
 
 
-def _check(p: Project, args) -> tuple[list[str], int]:
+def _check(p: Project, args) -> tuple[Iterable[str], int]:
     files = p.sources.select("path") if not args.files else usage.intersect_files(p.sources.select("path"), trees.expand(p.sources.select("path"), args.files))
     result = commands.check(p.refs, p.packages, p.recorded, p.world, files, args.ignore_recorded, p.public_files, tuple(args.disable or ()))
     if args.json:
-        return _document(commands.report_json(result))
-    out = [r["line"] for r in commands.report_lines(result).toLocalIterator()]
-    return out, int(out != ["No violations detected!"])
-
-
-def _document(rows: DataFrame) -> tuple[list[str], int]:
-    """One JSON document of (kind, json), written as rows come: a list a kind, and whether all is well."""
-    lists: dict[str, list[str]] = {"violation": [], "stale": [], "strict": []}
-    for r in rows.orderBy("kind", "json").toLocalIterator():
-        lists[r["kind"]].append(r["json"])
-    bad = any(lists.values())
-    body = ", ".join(f'"{k}": [{", ".join(v)}]' for k, v in lists.items())
-    return [f'{{"status": "{"failure" if bad else "success"}", {body}}}'], int(bad)
-
-
-def _references(p: Project, args) -> tuple[list[str], int]:
-    """The files that reference each file, as lines or as one JSON map, to the screen or to a file."""
-    known = p.refs.where("defining_file is not null")
-    if not args.json:
-        return _lines(known, "referencing_file", "constant_name", "defining_file"), 0
-    rows = known.groupBy("referencing_file").agg(F.array_sort(F.collect_set(F.struct("constant_name", "defining_file"))).alias("uses"))
-    rows = rows.select("referencing_file", F.to_json("uses").alias("uses")).orderBy("referencing_file")
-    text = "{" + ", ".join(f"{json.dumps(r['referencing_file'])}: {r['uses']}" for r in rows.toLocalIterator()) + "}"
-    if not args.output:
-        return [text], 0
-    with open(args.output, "w") as f:
-        f.write(text + "\n")
-    return [f"References written to {args.output}"], 0
+        pieces, well = commands.document(result)
+        return _document(p, pieces, args.output), int(not well)
+    rows = settled(commands.report_lines(result))
+    bad = not rows.where("line <> 'No violations detected!'").isEmpty()
+    return _rows(rows.orderBy("part", "line")), int(bad)
+
+
+def _rows(rows: DataFrame) -> Iterator[str]:
+    """The last column of sorted rows, as they come: a partition of them is here at a time."""
+    for r in rows.toLocalIterator():
+        yield r[-1]
+
+
+def _document(p: Project, pieces: list, output: str | None) -> Iterable[str]:
+    """A document of ``pieces``, written by tasks to a file below the root, or streamed to the screen."""
+    if output:
+        sinks.write_document(p.sources.sparkSession, p.root, output, pieces)
+        return [f"Written to {output}"]
+
+    def stream() -> Iterator[str]:
+        for piece in pieces:
+            if isinstance(piece, str):
+                yield piece
+                continue
+            rows, separator = piece
+            for k, text in enumerate(_rows(rows)):
+                yield separator + text if k else text
+
+    return Whole(stream())
+
+
+class Whole:
+    """Pieces of one text, to be printed without anything between them."""
+
+    def __init__(self, pieces: Iterator[str]):
+        self.pieces = pieces
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.pieces)
+
+
+def _references(p: Project, args) -> tuple[Iterable[str], int]:
+    """What each file refers to: its constants and their files, as text or as one JSON map, to the screen or to a file."""
+    if args.json:
+        return _document(p, commands.references_document(p.refs), args.output), 0
+    rows = commands.references_lines(p.refs)
+    return (_document(p, [(rows, "\n"), "\n"], args.output) if args.output else _rows(rows)), 0
 
 
 def _validate(p: Project, args) -> tuple[list[str], int]:
@@ -66,11 +86,26 @@ def _validate(p: Project, args) -> tuple[list[str], int]:
 
 
 def _update(p: Project, args) -> tuple[list[str], int]:
-    new = commands.update(p.refs, p.packages, p.record, p.world, args.constant, args.type, args.package)
+    """Record what check would report: of all files, or merged into the record of the files or their whole packages that are asked for."""
+    if args.whole_packages and not args.files:
+        raise SystemExit("--whole-packages needs files")
+    files = None
+    if args.files:
+        files = usage.intersect_files(p.sources.select("path"), trees.expand(p.sources.select("path"), args.files))
+        if args.whole_packages:
+            files = usage.expand_to_packages(p.owners, files).select("path")
+    scope = commands.Scope(files, args.constant, args.type, args.package)
+    out = commands.update(p.refs, p.packages, p.record, p.world, scope, p.public_files, tuple(args.disable or ()))
+    new, strict = settled(out.record), settled(rules.strict_messages(out.strict))
     stats = baseline.update_stats(p.record, new).first().asDict()
-    whole = not (args.constant or args.type or args.package)
-    package_files.write_records(new, args.root, p.record if whole else None).count()
-    return [f"{k}: {v}" for k, v in stats.items()], 0
+    sinks.write_records(new, args.root, None if scope.narrow() else p.record)
+    lines = [r["message"] for r in strict.orderBy("message").toLocalIterator()]
+    if lines:
+        lines.append(f"{len(lines)} strict mode violation(s) detected. These violations must be fixed for `check` to succeed.")
+    said = {"violations_added": "violation(s) added", "violations_removed": "violation(s) removed", "files_changed": "file(s) modified", "files_added": "file(s) added", "files_deleted": "file(s) deleted"}
+    parts = [f"{stats[k]} {v}" for k, v in said.items() if stats[k]]
+    name = package_files.RECORD_FILE
+    return [*lines, f"Successfully updated {name} files: {', '.join(parts)}" if parts else f"No changes to {name} files."], 0
 
 
 def _unnecessary(p: Project, args) -> tuple[list[str], int]:
@@ -88,7 +123,7 @@ def _rewrite(p: Project, args, edges: DataFrame) -> tuple[list[str], int]:
     old, new = p.edges.select("from_package", "to_package"), settled(edges)
     touched = new.exceptAll(old).unionByName(old.exceptAll(new)).select(F.col("from_package").alias("name")).distinct()
     changed = package_files.with_edges(p.packages, new).join(settled(touched), "name", "left_semi")
-    return _lines(package_files.write_packages(changed, args.root), "package", "action") or ["Nothing to change"], 0
+    return _lines(sinks.write_packages(changed, args.root), "package", "action") or ["Nothing to change"], 0
 
 
 def _edge(p: Project, args) -> DataFrame:
@@ -96,7 +131,7 @@ def _edge(p: Project, args) -> DataFrame:
 
 
 def _lint(p: Project, args) -> tuple[list[str], int]:
-    return _lines(package_files.write_packages(p.packages, args.root).unionAll(package_files.write_records(p.record, args.root)), "package", "action"), 0
+    return _lines(sinks.write_packages(p.packages, args.root).unionAll(sinks.write_records(p.record, args.root)), "package", "action"), 0
 
 
 def _suggest_all(p: Project, args) -> tuple[list[str], int]:
@@ -104,13 +139,28 @@ def _suggest_all(p: Project, args) -> tuple[list[str], int]:
     return _rewrite(p, args, p.edges.where(F.col("from_package") != args.package).unionByName(want))
 
 
-def _redefinitions(p: Project, args) -> tuple[list[str], int]:
-    spark, found = p.sources.sparkSession, ruby.definitions(ruby.parse(p.sources)).select("fq_name", F.col("defining_file").alias("path"))
+def _redefinitions(p: Project, args) -> tuple[Iterable[str], int]:
+    """The report of what the application defines again. Its own definitions are the project's, so ignored ones do not count."""
+    if not p.settings.definition_mode:
+        raise SystemExit("list-redefinitions needs definition mode (experimental_parser: true)")
+    found = p.constants.select("fq_name", F.col("defining_file").alias("path"))
     for folder in (args.stdlib, args.gems):
-        outside = ruby.definitions(ruby.parse(trees.sources(trees.tree(spark, folder)))).select("fq_name", F.concat(F.lit(folder.rstrip("/") + "/"), "defining_file").alias("path"))
-        found = found.unionByName(outside)
+        outside = ruby.definitions(ruby.parse(trees.sources(trees.contents(trees.tree(p.sources.sparkSession, folder), folder))))
+        found = found.unionByName(outside.select("fq_name", F.concat(F.lit(folder.rstrip("/") + "/"), "defining_file").alias("path")))
     out = usage.redefinitions(found, args.stdlib.rstrip("/") + "/", args.gems.rstrip("/") + "/")
-    return _lines(out.withColumn("gem", F.coalesce("gem", F.lit("-"))), "kind", "fq_name", "path", "gem"), 0
+    return _document(p, commands.redefinitions_document(out, args.stdlib, args.gems), args.output), 0
+
+
+def _move(p: Project, args) -> tuple[Iterable[str], int]:
+    """Move files, or all below a directory, to a package."""
+    files = p.listed.select("path")
+    done = moves.move(p.sources.sparkSession, p.root, files, trees.expand(files, args.files), p.packages, args.package)
+    return ["=" * 100, "File Operations", *_rows(moves.lines(done))], 0
+
+
+def _plan_move(p: Project, args) -> tuple[Iterable[str], int]:
+    files = p.listed.select("path")
+    return _lines(moves.steps(moves.plan(files, trees.expand(files, args.files), p.packages, args.package), files), "source", "destination", "action"), 0
 
 
 COMMANDS = {
@@ -121,7 +171,8 @@ COMMANDS = {
     "update-dependencies-for-constant": lambda p, a: _rewrite(p, a, usage.add_edges(p.edges, usage.missing_edges_for_constant(p.refs, p.edges, p.packages, a.constant))),
     "remove-unnecessary-dependencies": lambda p, a: _rewrite(p, a, usage.remove_edges(p.edges, usage.unnecessary_dependencies(p.edges, p.refs))),
     "list-redefinitions": _redefinitions,
-    "plan-move": lambda p, a: (_lines(commands.move_plan(p.sources.select("path"), p.sources.select("path").where(F.col("path").isin(*a.files)), p.packages, a.package), "source", "destination"), 0),
+    "move": _move,
+    "plan-move": _plan_move,
     "check": _check,
     "validate": _validate,
     "update": _update,
@@ -140,18 +191,24 @@ COMMANDS = {
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="fenceline")
     parser.add_argument("--root", default=".")
-    parser.add_argument("command", choices=[*COMMANDS, "all", "check-contents", "create", "delete-cache"])
+    parser.add_argument("command", choices=[*COMMANDS, "all", "check-contents", "create", "init", "delete-cache"])
     parser.add_argument("files", nargs="*")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--ignore-recorded", action="store_true")
     parser.add_argument("--ambiguous", action="store_true")
+    parser.add_argument("--whole-packages", action="store_true", help="update: all files of the packages of the files asked for")
+    parser.add_argument("--config", action="append", help="name of the configuration file; the first that is there counts")
     parser.add_argument("--disable", action="append", choices=[r.name for r in rules.RULES])
-    for name in ("--package", "--constant", "--type", "--stdlib", "--gems", "--cache", "--output"):
+    for name in ("--package", "--constant", "--type", "--stdlib", "--gems", "--cache", "--output", "--faults"):
         parser.add_argument(name)
     args = parser.parse_intermixed_args(argv)  # files may stand after options
     if args.command == "create":
         print(package_files.scaffold(args.root, args.files[0]))
         return 0
+    configs = tuple(args.config or CONFIG_FILES)
+    if args.command == "init":
+        print("Created " + " and ".join(f"'{path}'" for path in package_files.init(args.root, configs[0])))
+        return 0
     spark = SparkSession.builder.appName("fenceline").getOrCreate()
     if args.command == "delete-cache":
         if not args.cache:
@@ -159,11 +216,16 @@ def main(argv: list[str] | None = None) -> int:
         drop_cache(spark, args.cache)
         return 0
     replaced = (args.files[0], sys.stdin.read()) if args.command == "check-contents" else None
-    project = open_project(spark, args.root, replaced=replaced, cache=args.cache)
+    for journal in moves.journals(args.root):
+        print("\n".join(["Finishing an earlier move", *_rows(moves.lines(moves.finish(spark, args.root, journal)))]))
+    project = open_project(spark, args.root, configs, replaced, args.cache, args.faults)
     code = 0
     for name in ("check", "validate") if args.command == "all" else ("check",) if replaced else (args.command,):
         lines, bad = COMMANDS[name](project, args)
-        print("\n".join(lines))
+        for line in lines:
+            print(line, end="" if isinstance(lines, Whole) else "\n")
+        if isinstance(lines, Whole):
+            print()
         code |= bad
     return code
 

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import baseline, resolve
+from ..operators.gate import gate
 from ..operators.lineage import settled
 from ..operators.rules import World
 from ..sources import cache as parses
 from ..sources import files as trees
 from ..sources import packages as package_files
-from ..sources import ruby
+from ..sources import ruby, stores
 
 #: File names that may hold the configuration, the first that exists wins.
 CONFIG_FILES = ("boundaries.yml", "packages.yml")
@@ -22,9 +23,11 @@ CONFIG_FILES = ("boundaries.yml", "packages.yml")
 
 @dataclass(frozen=True)
 class Project:
-    """Tables of a tree: sources, packages, owners of files, constants, resolved references, the record. What several others are
+    """Tables of a tree: files as listed, sources, packages, owners of files, constants, resolved references, the record. What several others are
     made of is settled when it is first asked for, so that no file is parsed twice and no command does what it need not."""
 
+    root: str
+    listed: DataFrame
     world: World
     settings: package_files.Settings
     sources: DataFrame
@@ -33,6 +36,7 @@ class Project:
     record: DataFrame
     acronyms: list[str]
     cache: str | None = None
+    faults: str | None = None
 
     @property
     def recorded(self) -> DataFrame:
@@ -44,7 +48,7 @@ class Project:
 
     @property
     def public_files(self) -> DataFrame:
-        return trees.public_files(self.sources)
+        return trees.public_files(self.sources, self.settings.definition_mode)
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -67,22 +71,31 @@ class Project:
         roots = resolve.default_roots(paths, resolve.automatic_namespaces(self.all_packages))
         if s.autoload_roots:
             roots = resolve.with_overrides(roots, spark.createDataFrame(list(s.autoload_roots.items()), "directory string, namespace string"))
-        return settled(resolve.inferred_constants(paths, roots, self.acronyms))
+        found = settled(resolve.inferred_constants(paths, roots, self.acronyms))
+        gate(resolve.duplicates(found), "constants that two files define", self.faults and f"{self.faults}/duplicates")
+        return found
 
     @cached_property
     def refs(self) -> DataFrame:
-        return settled(resolve.references(settled(ruby.unresolved(self.parsed, self.acronyms)), self.constants, self.owners, self.settings.definition_mode))
-
-
-def open_project(spark: SparkSession, root: str, config_files: tuple[str, ...] = CONFIG_FILES, replaced: tuple[str, str] | None = None, cache: str | None = None) -> Project:
-    """Read a tree. ``replaced`` (path, text) stands in for a file on disk. The configuration and inflections are the only
-    contents that reach the driver. ``cache`` names a folder of earlier parses (``sources.cache``)."""
-    everything = trees.tree(spark, root)
-    found = {r["path"]: r["t"] for r in everything.where(F.col("path").isin(*config_files)).select("path", F.decode("content", "UTF-8").alias("t")).collect()}
-    s = package_files.settings(next((found[c] for c in config_files if c in found), None))
-    sources = trees.sources(trees.included(everything, s.include, s.exclude))
+        unresolved = settled(ruby.unresolved(self.parsed, self.acronyms, self.settings.definition_mode))
+        found = settled(resolve.references(unresolved, self.constants, self.owners, self.settings.definition_mode))
+        gate(resolve.unowned(found), "referencing files without a package", self.faults and f"{self.faults}/unowned")
+        return found
+
+
+def open_project(spark: SparkSession, root: str, config_files: tuple[str, ...] = CONFIG_FILES, replaced: tuple[str, str] | None = None, cache: str | None = None, faults: str | None = None) -> Project:
+    """Read a tree. ``replaced`` (path, text) stands in for a file on disk. The configuration (the first of ``config_files`` that is
+    there) and inflections are the only contents that reach the driver; what configuration excludes and what is pruned is
+    not listed, be it sources, package files or records. ``cache`` names a folder of earlier parses (``sources.cache``), ``faults``
+    one for tables of all that is wrong with the tree."""
+    text = lambda path: content.decode() if (content := stores.read(root, path)) is not None else None
+    s = package_files.settings(next((t for c in config_files if (t := text(c)) is not None), None))
+    listed = trees.tree(spark, root, (*trees.PRUNED, *s.exclude))
+    sources = trees.sources(trees.contents(trees.included(listed, s.include, s.exclude), root))
     if replaced:
         sources = trees.override(sources, *replaced)
-    all_packages = settled(package_files.packages(everything))
+    named = lambda name: trees.contents(listed.where((F.col("path") == name) | F.col("path").endswith("/" + name)), root)
+    all_packages = settled(package_files.packages(named(package_files.PACKAGE_FILE)))
     packages = package_files.admitted(all_packages, s.package_paths)
-    return Project(World(s.layers), s, sources, all_packages, packages, package_files.record(everything), trees.acronyms(everything, s.inflections_path), cache)
+    record = package_files.record(named(package_files.RECORD_FILE))
+    return Project(root, listed, World(s.layers), s, sources, all_packages, packages, record, trees.acronyms(text(s.inflections_path)), cache, faults)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import split_rules
 from ..schema import PACKAGES, SETTINGS
+from . import stores
 
 # Names in the files.
 PACKAGE_FILE, RECORD_FILE = "package.yml", "package_todo.yml"
@@ -123,15 +124,22 @@ def record(files: DataFrame) -> DataFrame:
     return mine.mapInPandas(rows, RECORD_SCHEMA)
 
 
-def record_text(package: str, groups: list, command: str = "fenceline update") -> str:
-    """The canonical text of a package's record: sorted, constants quoted. ``groups``: (defining_package, constant_name, violations, files)."""
-    out, now = [RECORD_HEADER.format(package, command)], None
-    for definer, constant, kinds, files in sorted(tuple(g) for g in groups):
+def record_pieces(rows: Iterator[tuple[str, tuple]], command: str = "fenceline update") -> Iterator[str]:
+    """The canonical text of a package's record, a piece a group: constants quoted, types and files sorted. ``rows``: the package and
+    (defining_package, constant_name, violations, files), sorted by these."""
+    now = None
+    for package, (definer, constant, kinds, files) in rows:
+        if now is None:
+            yield RECORD_HEADER.format(package, command)
         if definer != now:
-            out.append(f"{_plain(definer)}:\n")
+            yield f"{_plain(definer)}:\n"
             now = definer
-        out.append(f'  "{constant}":\n    violations:\n' + "".join(f"    - {_plain(k)}\n" for k in sorted(kinds)) + "    files:\n" + "".join(f"    - {_plain(f)}\n" for f in sorted(files)))
-    return "".join(out)
+        yield f'  "{constant}":\n    violations:\n' + "".join(f"    - {_plain(k)}\n" for k in sorted(kinds)) + "    files:\n" + "".join(f"    - {_plain(f)}\n" for f in sorted(files))
+
+
+def record_text(package: str, groups: list, command: str = "fenceline update") -> str:
+    """The whole text of a record of few ``groups``, in any order."""
+    return "".join(record_pieces(((package, tuple(g)) for g in sorted(tuple(g) for g in groups)), command))
 
 
 def _plain(text: str) -> str:
@@ -149,79 +157,56 @@ def package_text(raw: dict) -> str:
     return yaml.safe_dump(clean, sort_keys=False, default_flow_style=False, width=1 << 30) if clean else ""
 
 
-def write_records(grouped: DataFrame, root: str, old: DataFrame | None = None) -> DataFrame:
-    """Write a file a package below ``root`` (a folder that all executors share), and delete those of ``old`` packages that have
-    none any more: (package, action), materialised. One row of texts a package is written by the task that holds it."""
-    import os
+def with_edges(packages_: DataFrame, edges_: DataFrame) -> DataFrame:
+    """``packages_`` whose dependencies are those of ``edges_`` (from_package, to_package)."""
+    new = edges_.groupBy(F.col("from_package").alias("name")).agg(F.sort_array(F.collect_set("to_package")).alias("_new"))
+    return packages_.join(new, "name", "left").withColumn("dependencies", F.col("_new")).select(*packages_.columns)
 
-    groups = grouped.groupBy("referencing_package").agg(F.collect_list(F.struct("defining_package", "constant_name", "violations", "files")).alias("groups"))
-    if old is not None:
-        groups = groups.join(old.select("referencing_package").distinct(), "referencing_package", "full_outer")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = []
-            for package, g in zip(b["referencing_package"], b["groups"]):
-                path = os.path.join(root, "" if package == "." else package, RECORD_FILE)
-                if g is None or not len(g):
-                    if os.path.exists(path):
-                        os.remove(path)
-                    done.append((package, "deleted"))
-                    continue
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                text = record_text(package, [(x["defining_package"], x["constant_name"], list(x["violations"]), list(x["files"])) for x in g])
-                with open(path + ".part", "w") as f:
-                    f.write(text)
-                os.replace(path + ".part", path)
-                done.append((package, "written"))
-            yield pd.DataFrame(done, columns=["package", "action"])
-
-    from ..operators.lineage import settled
-
-    return settled(groups.mapInPandas(write, "package string, action string"))
-
-
-def write_packages(changed: DataFrame, root: str) -> DataFrame:
-    """Write the package files of ``changed`` (PACKAGES rows) below ``root``, a folder that all executors share: the keys they were read
-    with, ``dependencies`` as it is now, in canonical order. (package, action), materialised."""
-    import os
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, keys, deps in zip(b["name"], b["client_keys"], b["dependencies"]):
-                raw = json.loads(keys) if keys else {}
-                raw.pop("dependencies", None)
-                if deps is not None and len(deps):
-                    raw["dependencies"] = list(deps)
-                path = os.path.join(root, "" if name == "." else name, PACKAGE_FILE)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path + ".part", "w") as f:
-                    f.write(package_text(raw))
-                os.replace(path + ".part", path)
-            yield pd.DataFrame({"package": b["name"], "action": "written"})
+ROOT_TEXT = """# The root package of the application. `validate` looks at the configuration, `check` at the code.
 
-    from ..operators.lineage import settled
+# Change to `true` to turn on dependency checks for this package
+enforce_dependencies: false
 
-    return settled(changed.select("name", "client_keys", "dependencies").mapInPandas(write, "package string, action string"))
+# Packages that this one depends on; each needs a package file of its own
+# dependencies:
+# - "packages/billing"
+"""
+CONFIG_TEXT = """# Patterns of the paths to include
+# include:
+# - "**/*.{rb,rake,erb}"
 
+# Patterns of the paths to exclude
+# exclude:
+# - "{bin,node_modules,script,tmp,vendor}/**/*"
 
-def with_edges(packages_: DataFrame, edges_: DataFrame) -> DataFrame:
-    """``packages_`` whose dependencies are those of ``edges_`` (from_package, to_package)."""
-    new = edges_.groupBy(F.col("from_package").alias("name")).agg(F.sort_array(F.collect_set("to_package")).alias("_new"))
-    return packages_.join(new, "name", "left").withColumn("dependencies", F.col("_new")).select(*packages_.columns)
+# Patterns of directories whose package files count
+# package_paths: "**/"
+
+# Further calls that name an association
+# custom_associations:
+# - "cache_belongs_to"
+"""
 
 
 def scaffold(root: str, name: str, text: str = "enforce_dependencies: true\n") -> str:
     """Begin a package: its directory and file. One that exists is left alone, which is an error."""
-    import os
-
-    path = os.path.join(root, "" if name == "." else name, PACKAGE_FILE)
-    if os.path.exists(path):
-        raise FileExistsError(f"{path} already exists")
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        f.write(text)
-    return path
+    return _begin(root, PACKAGE_FILE if name == "." else f"{name}/{PACKAGE_FILE}", text)
+
+
+def init(root: str, config_file: str) -> list[str]:
+    """Begin a project: its root package and configuration. If one of them is there, both are left alone, which is an error."""
+    for path in (PACKAGE_FILE, config_file):
+        if stores.exists(root, path):
+            raise FileExistsError(f"{stores.join(root, path)} already exists")
+    return [_begin(root, config_file, CONFIG_TEXT), _begin(root, PACKAGE_FILE, ROOT_TEXT)]
+
+
+def _begin(root: str, path: str, text: str) -> str:
+    if stores.exists(root, path):
+        raise FileExistsError(f"{stores.join(root, path)} already exists")
+    stores.write(root, path, iter([text.encode()]))
+    return stores.join(root, path)
 
 
 @dataclass(frozen=True)
