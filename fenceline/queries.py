@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .functions import globs, names
 from .operators import baseline, graph, resolve, rules, usage
 from .operators.lineage import settled
-from .plans import commands
+from .plans import commands, moves
 from .plans.projection import SQL, WORLD, Tables, recorded
+from .sources import ruby
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -125,6 +126,51 @@ def update_stats(t: Tables) -> DataFrame:
     return baseline.update_stats(baseline.grouped(recorded(t, found)), baseline.grouped(found))
 
 
+# files whose part is a promotion carry the public mark
+_MARKED = ", marked AS (SELECT '::Brand' || (p_partkey % 25) || '::Part' || p_partkey AS constant_name FROM part WHERE p_type LIKE 'PROMO%'),\nvisible AS (SELECT * FROM violations v WHERE violation_type <> 'privacy' OR constant_name NOT IN (SELECT constant_name FROM marked))\n"
+
+
+def _marked(t: Tables) -> DataFrame:
+    promoted = t.read("part").where("p_type like 'PROMO%'").select(F.col("p_partkey").alias("n"))
+    number = F.regexp_extract("path", "part_([0-9]+)", 1).cast("long")
+    return _files(t, "defining_file").withColumn("n", number).join(promoted, "n", "left_semi").select("path")
+
+
+@query(_MARKED + f"SELECT {ALL} FROM visible")
+def public_marks(t: Tables) -> DataFrame:
+    """All rules where some defining files carry the public mark."""
+    return _found(t, public_files=_marked(t))
+
+
+@query(_MARKED + f"SELECT {_TEXTS} FROM ({_GROUPED.format('visible')})")
+def update_record(t: Tables) -> DataFrame:
+    """The record after an update, which sees public marks as a check does."""
+    old = baseline.grouped(recorded(t, settled(_found(t))))
+    return _flat(commands.update(t.refs(), t.packages(), old, WORLD, public_files=_marked(t)).record)
+
+
+_URGENT = "(SELECT * FROM visible WHERE violation_type = 'visibility' AND regexp_extract(file, 'order_([0-9]+)', 1) IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'))"
+
+
+@query(_MARKED + f"""SELECT {_TEXTS} FROM (SELECT referencing_package, defining_package, constant_name, list_distinct(flatten(list(violations))) AS violations, list_distinct(flatten(list(files))) AS files
+FROM ({_GROUPED.format('recorded')} UNION ALL {_GROUPED.format(_URGENT)}) GROUP BY ALL)""")
+def update_files(t: Tables) -> DataFrame:
+    """The record after an update of one type in the files of urgent orders: merged into what was there."""
+    urgent = t.read("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("n"))
+    files = _files(t).withColumn("n", F.regexp_extract("path", "order_([0-9]+)", 1)).join(urgent, "n", "left_semi").select("path")
+    old = baseline.grouped(recorded(t, settled(_found(t))))
+    return _flat(commands.update(t.refs(), t.packages(), old, WORLD, commands.Scope(files, violation_type="visibility"), _marked(t)).record)
+
+
+@query(f"SELECT {ALL} FROM violations WHERE violation_type = 'dependency' AND CAST(regexp_extract(constant_name, 'Part([0-9]+)', 1) AS BIGINT) % 10 < 2")
+def first_ignore_rule(t: Tables) -> DataFrame:
+    """An outgoing rule's ignore globs look at the defining file, and of two ignore rules the first that names the rule decides."""
+    rule = lambda words, deny, allow: F.struct(F.array(*map(F.lit, words)).alias("enforcements"), F.array(F.lit(deny)).alias("deny"), F.array(F.lit(allow)).alias("allow"), F.lit("").alias("reason"))
+    services, ones = globs.path_glob("packages/**/app/services/*"), globs.path_glob("packages/**/*1.rb")
+    ignored = F.array(rule(["privacy"], "^.*$", "^$"), rule(["layer", "dependency"], services, ones), rule(["dependency"], "^.*$", "^$"))
+    return rules.violations(t.refs(), t.packages().withColumn("ignore_rules", ignored), WORLD, only=["dependency"])
+
+
 @query(f"SELECT {ALL} FROM violations WHERE violation_type = 'privacy' AND defining_package = '{ONE}'")
 def scoped_filter(t: Tables) -> DataFrame:
     return baseline.scoped(_found(t), violation_type="privacy", defining_package=ONE)
@@ -134,7 +180,7 @@ def scoped_filter(t: Tables) -> DataFrame:
 UNION ALL SELECT 'strict', count(*) FROM violations WHERE strict""")
 def check_json_counts(t: Tables) -> DataFrame:
     found = settled(_found(t))
-    report = commands.report_json(commands.check(t.refs(), t.packages(), recorded(t, found), WORLD))
+    report = commands.report_json(commands.judged(found, recorded(t, found)))
     return report.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,7 +189,7 @@ UNION ALL SELECT 2, 'There were stale violations found, please run `update`' WHE
 UNION ALL SELECT 3, referencing_package || ' cannot have ' || violation_type || ' violations on ' || defining_package || ' because strict mode is enabled for ' || violation_type || ' violations in the enforcing pack''s package.yml file' FROM violations WHERE strict""")
 def check_report(t: Tables) -> DataFrame:
     found = settled(_found(t))
-    return commands.report_lines(commands.check(t.refs(), t.packages(), recorded(t, found), WORLD))
+    return commands.report_lines(commands.judged(found, recorded(t, found)))
 
 
 # use
@@ -326,6 +372,42 @@ def longest_root(t: Tables) -> DataFrame:
     return resolve.inferred_constants(_files(t, "defining_file"), roots)
 
 
+@query(_DEFS + "SELECT fq_name || ' (' || array_to_string(list_sort(list(DISTINCT path)), ', ') || ')' AS said FROM defs GROUP BY fq_name HAVING count(DISTINCT path) > 1")
+def duplicates(t: Tables) -> DataFrame:
+    return resolve.duplicates(_definitions(t).withColumnRenamed("path", "defining_file"))
+
+
+@query("""SELECT directory, CASE WHEN o = '::Object' THEN '' ELSE coalesce(o, d) END AS namespace FROM (SELECT name || '/app' AS directory, '' AS d, CASE k % 3 WHEN 0 THEN '::Object' WHEN 1 THEN '::N' || k END AS o FROM nations)
+UNION ALL SELECT DISTINCT parent || '/lib', '::Region' FROM nations""")
+def root_overrides(t: Tables) -> DataFrame:
+    n = t.nations()
+    own = F.when(F.col("k") % 3 == 0, F.lit("::Object")).otherwise(F.concat(F.lit("::N"), F.col("k").cast("string")))
+    given = n.where("k % 3 < 2").select(F.concat("name", F.lit("/app")).alias("directory"), own.alias("namespace"))
+    given = given.unionByName(n.select(F.concat("parent", F.lit("/lib")).alias("directory"), F.lit("::Region").alias("namespace")).distinct())
+    return resolve.with_overrides(n.select(F.concat("name", F.lit("/app")).alias("directory"), F.lit("").alias("namespace")), given)
+
+
+# classes of parts with one of these texts in them, and whether that defines the class, Inner or Y
+_BODIES = (
+    ("", "none"), ("def x\nend", "class"), ("private_constant :Y", "none"), ("call_me if ready", "class"), ("class Inner\ndef x; end\nend", "inner"), ("Y = %w[a b]", "y"), ("# def x\n'call_me'", "none"),
+    ("class << self\ndef x(a = {}) = a\nend", "class"), ('NOTE = <<~TEXT\n  def x\n  end\nTEXT', "note"), ("class Inner < Struct.new(:a)\nend", "class"),
+)
+_DEFINED = f"""SELECT name AS fq_name, file AS defining_file FROM (SELECT '::Brand' || (p_partkey % 25) || '::Part' || p_partkey AS part, CASE WHEN p_brand LIKE '%1' THEN 'lib/spec/' ELSE 'lib/' END || 'part_' || p_partkey || '.rb' AS file,
+  [{', '.join(f"'{k}'" for _, k in _BODIES)}][1 + p_size % {len(_BODIES)}] AS body FROM part),
+LATERAL (SELECT CASE body WHEN 'class' THEN part WHEN 'inner' THEN part || '::Inner' WHEN 'y' THEN part || '::Y' WHEN 'note' THEN part || '::NOTE' END AS name) n WHERE name IS NOT NULL AND (body IN ('y', 'note') OR NOT contains(file, '/spec/'))"""
+
+
+@query(_DEFINED, prefix=False)
+def behaviour_definitions(t: Tables) -> DataFrame:
+    """A file a part: a class in a module, with a text of its own in it; what defines the class is what does something."""
+    k = F.col("p_partkey")
+    folder = F.when(F.col("p_brand").endswith("1"), F.lit("lib/spec/")).otherwise(F.lit("lib/"))
+    body = F.element_at(F.array(*[F.lit(b) for b, _ in _BODIES]), (F.col("p_size") % len(_BODIES) + 1).cast("int"))
+    text = F.concat(F.lit("module Brand"), (k % 25).cast("string"), F.lit("\nclass Part"), k.cast("string"), F.lit("\n"), body, F.lit("\nend\nend\n"))
+    sources = t.read("part").select(F.concat(folder, F.lit("part_"), k.cast("string"), F.lit(".rb")).alias("path"), F.lit("ruby").alias("kind"), text.alias("text"))
+    return ruby.definitions(ruby.parse(sources))
+
+
 # graph
 
 _REACH = "reach AS (SELECT from_package AS source, to_package AS target FROM {0} WHERE from_package <> to_package UNION SELECT source, to_package FROM reach JOIN {0} ON target = from_package WHERE from_package <> to_package)"
@@ -363,6 +445,32 @@ def shortest_path_len(t: Tables) -> DataFrame:
     return graph.shortest_paths(t.edges(acyclic=True).union(t.chain()), t.nations().select(F.col("name").alias("source")))
 
 
+_RING = "ring AS (SELECT * FROM chain UNION ALL SELECT a.name, b.name FROM nations a, nations b WHERE a.k = (SELECT max(k) FROM nations) AND b.k = (SELECT min(k) FROM nations))"
+
+
+@query(", " + _RING + """, walk AS (SELECT min(name) AS component, min(name) AS here, [min(name)] AS path FROM nations UNION ALL SELECT component, to_package, list_append(path, to_package) FROM walk JOIN ring ON here = from_package WHERE to_package <> component)
+SELECT component, array_to_string(path, ' -> ') AS path FROM walk ORDER BY len(path) DESC LIMIT 1""")
+def cycles(t: Tables) -> DataFrame:
+    """A ring of all packages, and branches that lead off it: one component, and its cycle from the least member."""
+    n = t.nations()
+    last = n.agg(F.max_by("name", "k").alias("from_package"), F.min_by("name", "k").alias("to_package"))
+    off = n.select(F.col("name").alias("from_package"), F.concat("name", F.lit("/leaf")).alias("to_package"))
+    return graph.cycles(t.chain().unionByName(last).unionByName(off)).withColumn("path", F.array_join("path", " -> "))
+
+
+@query(_WALK.format("acyclic") + """SELECT 'self_dependency' AS error_type, 'Package cannot list itself as a dependency: ' || name || '/package.yml' AS message, name || '/package.yml' AS file FROM nations WHERE k % 6 = 0
+UNION ALL SELECT 'strict_transitive', source || ' has `enforce_dependencies: strict` but has a non-strict transitive dependency: ' || array_to_string(path, ' -> '), NULL FROM (SELECT * FROM walk WHERE target NOT IN (SELECT name FROM strict) QUALIFY row_number() OVER (PARTITION BY source ORDER BY depth, path) = 1)""")
+def validate(t: Tables) -> DataFrame:
+    own = t.nations().where("k % 6 = 0").select(F.col("name").alias("from_package"), F.col("name").alias("to_package"))
+    return graph.validate(t.packages(), t.edges(acyclic=True).union(own), WORLD).drop("cycle")
+
+
+@query("SELECT 'configuration' AS error_type, name || '/package.yml has a dependency on an unknown package: packages/none' AS message, CAST(NULL AS VARCHAR) AS file FROM nations")
+def validate_unknown(t: Tables) -> DataFrame:
+    none = t.nations().select(F.col("name").alias("from_package"), F.lit("packages/none").alias("to_package"))
+    return graph.validate(t.packages(), t.edges().unionByName(none), WORLD).drop("cycle")
+
+
 @query("""SELECT 'layer' AS error_type, 'Invalid ''layer'' option in ''' || name || '/package.yml''. `layer` must be one of the layers defined in the configuration' AS message, name || '/package.yml' AS file FROM nations WHERE layer = 'layer4' AND k % 3 <> 0
 UNION ALL SELECT 'layer', '''layer'' must be specified in ''' || n.name || '/package.yml'' because `enforce_layers` is true or strict.', n.name || '/package.yml' FROM nations n JOIN settings s ON s.k = n.k AND s.i = 3 WHERE n.k % 3 = 0 AND setting <> 'false'""")
 def layer_validate(t: Tables) -> DataFrame:
@@ -374,7 +482,7 @@ def layer_validate(t: Tables) -> DataFrame:
 @query(", paths AS (SELECT DISTINCT defining_file AS path, defining_package AS package FROM refs WHERE defining_file IS NOT NULL) SELECT path AS source, 'packages/new' || substr(path, len(package) + 1) AS destination FROM paths WHERE contains(package, 'asia')")
 def move_plan(t: Tables) -> DataFrame:
     files = _files(t, "defining_file")
-    return commands.move_plan(files, files.where("path like 'packages/asia/%'"), t.packages(), "packages/new")
+    return moves.plan(files, files.where("path like 'packages/asia/%'"), t.packages(), "packages/new")
 
 
 # names and texts

@@ -299,3 +299,70 @@ def test_shown_values_may_hold_any_text(spark):
     found = rules.violations(r, p)
     assert "`::B%d`` belongs to `packages/b%s`, but `packages/foo/package.yml` does" in found.first()["message"]
     assert rules.strict_messages(found).first()[0] == "packages/foo cannot have dependency violations on packages/b%s because strict mode is enabled for dependency violations in the enforcing pack's package.yml file"
+
+
+# strong components without reachable sets
+
+
+def components_brute(edges):
+    """{node: least member} of nodes on a cycle with another, by two searches a node."""
+    out, back = {}, {}
+    for a, b in edges:
+        if a != b:
+            out.setdefault(a, set()).add(b)
+            back.setdefault(b, set()).add(a)
+
+    def reach(start, ways):
+        seen, todo = set(), [start]
+        while todo:
+            for y in ways.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    both = {v: reach(v, out) & reach(v, back) | {v} for v in {*out, *back}}
+    return {v: min(c) for v, c in both.items() if len(c) > 1}
+
+
+def components(spark, edges):
+    return {r["package"]: r["component"] for r in graph.strong_components(spark.createDataFrame(edges, "from_package string, to_package string")).collect()}
+
+
+def test_strong_components_brute_force(spark):
+    rng = random.Random(11)
+    edges = [("a", "a"), ("b", None), (None, "b"), ("x", "y"), ("x", "y")]
+    for g, (n, m) in enumerate([(8, 6), (8, 9), (12, 14), (12, 20), (20, 24), (20, 45), (30, 33), (6, 25)]):  # many graphs at once
+        edges += [(f"g{g:02d}n{rng.randrange(n):02d}", f"g{g:02d}n{rng.randrange(n):02d}") for _ in range(m)]
+    rng.shuffle(edges)
+    clean = [(a, b) for a, b in edges if a and b]
+    assert components(spark, edges) == components_brute(clean)
+    assert components(spark, [("a", "b")]) == {} and components(spark, [("b", "a"), ("a", "b")]) == {"a": "a", "b": "a"}
+
+
+def test_strong_components_of_a_long_chain(spark):
+    """A chain, rings on and off it, and a way back over a part of it: pointers double along, no reachable sets."""
+    n = 3000
+    name = lambda k: f"n{k:05d}"
+    edges = [(name(k), name(k + 1)) for k in range(n)] + [(name(900), name(100)), (name(n), "ring0"), ("ring0", "ring1"), ("ring1", "ring2"), ("ring2", "ring0")]
+    edges += [("side0", "side1"), ("side1", "side0"), ("side1", name(5)), (name(2500), "spur0"), ("spur0", "spur1"), ("spur1", name(2400))]
+    want = {name(k): name(100) for k in range(100, 901)} | {name(k): name(2400) for k in range(2400, 2501)} | {"spur0": name(2400), "spur1": name(2400)}
+    want |= {f"ring{k}": "ring0" for k in range(3)} | {"side0": "side0", "side1": "side0"}
+    assert components(spark, edges) == want
+
+
+@pytest.mark.parametrize("name", ["cycles", "validate", "validate_unknown", "behaviour_definitions", "duplicates", "root_overrides"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        c.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = queries.queries()[name](spark, folder)
+    want = c.sql(queries.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = [tuple(r[x] for x in columns) for r in got.collect()]
+    text = lambda r: tuple("" if v is None else str(v) for v in r)
+    assert sorted(map(text, rows)) == sorted(map(text, want.select(*map(duckdb.ColumnExpression, columns)).fetchall())) and rows
