@@ -1,16 +1,19 @@
 """HTML extraction by minimum cut.
 
-A page becomes its blocks of text in order. A logistic classifier, which sees text, elements and places, and the marks of the
-page's authors, where there are any, give each block a probability of being content; what either label would cost
-becomes the capacity of its edge to source or sink. Neighbours in page order and neighbours in
-the document tree are tied by smoothness edges. The minimum cut of that graph is the cheapest labelling.
+A page becomes its blocks of text in order. A logistic classifier, which sees text, elements and places, and what the page's
+authors mark, gives each block a probability of being content; what either label would cost becomes the capacity of its
+edge to source or sink. Neighbours in page order and neighbours in the document tree are tied by smoothness edges. The
+minimum cut of that graph is the cheapest labelling. How much marks weigh is learned like all else: from pages that mark
+their article, with the marks of a share of their elements hidden, so that text and place must make up for them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter, deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql.types import StringType
 
 # Elements by what they mean for the text.
 #: Their content is no text of the page.
-RAW = "script style noscript template textarea title iframe svg math object select option button canvas audio video head"
+RAW = "script style noscript template textarea title iframe svg object select option button canvas audio video head"
 #: They begin and end blocks.
 BLOCK = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html "
@@ -47,15 +50,18 @@ _quote_or_end = re.compile(r"[\"'>]")
 _named = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _word = re.compile(r"[a-z]+")
 
-#: What the classifier sees of a block: its text, its element, its place in page and tree, its neighbours. Not what its authors
-#: call it, as that is what the classifier learns from.
+#: What the classifier sees of a block: its text, its element, its place in page and tree, its neighbours.
 FEATURES = ("bias", "log_words", "stops", "links", "heading", "paragraph", "list_item", "depth", "first", "last", "near_words", "family_words")
+#: And of its authors' marks: the block is in an element of the article and in none of what is no article; is in neither, on a page
+#: whose article holds at least SHARE of the other words; is in an element of what is no article. The first two also times
+#: how much of the page is marked as no article.
+MARKS = ("article", "outside", "chrome", "article_marked", "outside_marked")
+SHARE = 0.2
 #: What the weights are before any page is seen, and how firmly (a ridge towards them).
-PRIOR = (-2.8, 0.45, 0.8, -3.0, 0.3, 1.0, -0.5, -0.05, -0.5, -1.0, 0.35, 0.2)
-FIRM = 3.0
-#: Log odds that the authors' marks add where there are any: in an element of the article, outside of it on a page
-#: that has one, in an element of what is no article. So much of the other text the article must hold for the second.
-IN_MAIN, OUTSIDE, IN_CHROME, SHARE = 5.0, -5.0, -9.0, 0.2
+PRIOR = (-2.8, 0.45, 0.8, -3.0, 0.3, 1.0, -0.5, -0.05, -0.5, -1.0, 0.35, 0.2, 2.0, -2.0, -4.0, 2.0, -2.0)
+FIRM = 0.3
+#: Shares of its elements whose marks a page hides while weights are learned from it; each page has one of them.
+HIDDEN = (0.0, 0.25, 0.5, 0.75, 1.0)
 #: Capacity that ties neighbours in page order, and neighbours under one parent.
 NEXT, SIBLING = 0.35, 0.35
 
@@ -133,8 +139,9 @@ def _marked(attributes: str) -> tuple[bool, bool]:
     return main, chrome
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of text of a page, in order, empty ones left out. Any text is a page; unclosed and stray tags are fine."""
+def blocks(page: str, hidden: Callable[[int], bool] = lambda number: False) -> list[Block]:
+    """Blocks of text of a page, in order, empty ones left out. Any text is a page; unclosed and stray tags are fine. Of elements whose
+    number is ``hidden`` neither names nor classes mark anything."""
     out: list[tuple] = []
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, main, chrome
     opened: Counter[str] = Counter()
@@ -179,10 +186,11 @@ def blocks(page: str) -> list[Block]:
             if name not in _void:
                 number += 1
                 _, _, main, chrome = stack[-1]
-                # what an article is filed under (``tag-search``) says nothing against it
-                own, marked = _marked(attributes) if attributes and name not in _main_tags else (False, False)
-                main = main or name in _main_tags or (own and not marked)
-                chrome = chrome or name in _chrome_tags or (name == "header" and not main) or (marked and name not in ("body", "html"))
+                if not hidden(number):
+                    # what an article is filed under (``tag-search``) says nothing against it
+                    own, marked = _marked(attributes) if attributes and name not in _main_tags else (False, False)
+                    main = main or name in _main_tags or (own and not marked)
+                    chrome = chrome or name in _chrome_tags or (name == "header" and not main) or (marked and name not in ("body", "html"))
                 stack.append((name, number, main, chrome))
                 opened[name] += 1
     end_block()
@@ -279,14 +287,19 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
     return label  # type: ignore[return-value]
 
 
-def log_odds(found: list[Block], weights: np.ndarray) -> np.ndarray:
-    """Of being content: what the classifier says of the text, and what its authors' marks add."""
-    z = np.array([b.features for b in found], float) @ weights
-    chrome, main = np.array([b.chrome for b in found]), np.array([b.main for b in found])
+def seen(found: list[Block]) -> np.ndarray:
+    """FEATURES and MARKS of the blocks of a page, a row a block."""
+    chrome, main = np.array([b.chrome for b in found], bool), np.array([b.main for b in found], bool)
     words = np.array([b.text.count(" ") + 1 for b in found])
-    open_words, held = words[~chrome].sum(), words[main & ~chrome].sum()
-    outside = OUTSIDE if held and held >= SHARE * open_words else 0.0
-    return z + np.where(chrome, IN_CHROME, np.where(main, IN_MAIN, outside))
+    article = main & ~chrome
+    outside = ~main & ~chrome & bool(article.any() and words[article].sum() >= SHARE * words[~chrome].sum())
+    marked = min(1.0, 4 * float(chrome.mean()))
+    return np.concatenate([np.array([b.features for b in found], float), np.stack([article, outside, chrome, article * marked, outside * marked], 1)], 1)
+
+
+def log_odds(found: list[Block], weights: np.ndarray) -> np.ndarray:
+    """Of being content, by the classifier alone."""
+    return seen(found) @ weights
 
 
 def label_blocks(found: list[Block], weights: np.ndarray) -> list[bool]:
@@ -312,17 +325,26 @@ def extract(page: str | None, weights: np.ndarray) -> str:
     return "\n".join(b.text for b, keep in zip(found, label_blocks(found, weights)) if keep)
 
 
-def train(pages: list[str], rounds: int = 12) -> np.ndarray:
-    """Weights by Newton's method with a ridge towards PRIOR. The labels are the page authors' own marks, which are no features:
-    what lies in an article or main element and in none that marks navigation, adverts, forms or comments is content.
-    Pages without such an element teach nothing; without any page the weights are PRIOR."""
+def examples(page: str, at_most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What a page teaches: rows of ``seen`` with the marks of some of its elements hidden, and whether its authors' marks, all of them,
+    say that the block is content: in an article or main element and in none that marks navigation, adverts, forms or
+    comments. A page without such an element teaches nothing. Of more than ``at_most`` blocks evenly many are taken."""
+    whole = blocks(page)
+    if not any(b.main for b in whole):
+        return np.zeros((0, len(PRIOR))), np.zeros(0)
+    key = zlib.crc32(page.encode())
+    rate = HIDDEN[key % len(HIDDEN)]
+    rows = seen(blocks(page, lambda number: zlib.crc32(b"%d:%d" % (key, number)) < rate * 2**32))
+    few = np.unique(np.linspace(0, len(whole) - 1, at_most).astype(int)) if at_most and at_most < len(whole) else np.arange(len(whole))
+    return rows[few], np.array([b.main and not b.chrome for b in whole], float)[few]
+
+
+def newton(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Weights of the logistic classifier by Newton's method with a ridge towards PRIOR; without any row they are PRIOR."""
     w = np.array(PRIOR)
-    rows = [b for p in pages for found in [blocks(p)] if any(b.main for b in found) for b in found]
-    if not rows:
+    if not len(x):
         return w
-    x = np.array([b.features for b in rows], float)
-    y = np.array([b.main and not b.chrome for b in rows], float)
-    share = 200.0 / len(rows) if len(rows) > 200 else 1.0  # so that the prior weighs the same for any sample
+    share = 200.0 / len(x) if len(x) > 200 else 1.0  # so that the prior weighs the same for any sample
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = share * x.T @ (p - y) + FIRM * (w - PRIOR)
@@ -331,13 +353,28 @@ def train(pages: list[str], rounds: int = 12) -> np.ndarray:
     return w
 
 
-def fit(pages: DataFrame, max_pages: int = 400, html_col: str = "html") -> np.ndarray:
-    """Train on ``max_pages`` pages at most, those of the least hashes, whatever the size of the table. Pages of over a
-    million characters teach nothing (they are extracted all the same)."""
-    rows = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= 1_000_000))
-    key = rows.select(F.xxhash64(html_col, F.lit(2)).alias("h")).distinct().orderBy("h").limit(max_pages)
-    few = rows.select(F.col(html_col).alias("html"), F.xxhash64(html_col, F.lit(2)).alias("h")).join(F.broadcast(key), "h").dropDuplicates(["h"])
-    return train([r["html"] for r in few.orderBy("h").limit(max_pages).collect()])
+def train(pages: list[str]) -> np.ndarray:
+    """Weights from a few pages."""
+    parts = [examples(p) for p in pages]
+    return newton(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])) if parts else np.array(PRIOR)
+
+
+def fit(pages: DataFrame, max_pages: int = 400, max_blocks: int = 100, html_col: str = "html") -> np.ndarray:
+    """Train on ``max_pages`` pages at most, those of the least hashes, and ``max_blocks`` blocks of each, whatever the size of the table.
+    Pages become examples in tasks; only these numbers reach the driver, a few MB at most."""
+
+    def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for h, page in zip(b["h"], b["html"]):
+                x, y = examples(page, max_blocks)
+                if len(x):
+                    yield pd.DataFrame({"h": h, "x": x.tolist(), "y": y})
+
+    rows = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"), F.xxhash64(html_col, F.lit(2)).alias("h"))
+    key = rows.select("h").distinct().orderBy("h").limit(max_pages)
+    few = rows.join(F.broadcast(key), "h").dropDuplicates(["h"])
+    got = sorted(few.select("h", "html").mapInPandas(teach, "h long, x array<double>, y double").collect(), key=lambda r: (r["h"], r["x"], r["y"]))
+    return newton(np.array([r["x"] for r in got], float).reshape(-1, len(PRIOR)), np.array([r["y"] for r in got], float))
 
 
 def extract_column(weights: np.ndarray, html_col: str = "html"):
