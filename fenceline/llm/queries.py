@@ -93,8 +93,19 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(arrays).drop("turn")
 
 
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules' operator counts before any rule is learned: the part of it that SQL can say."""
+    out = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), quality_rules.DecisionList())
+    return out.select("doc_id", *[F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
+
+
+def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the secret scan finds by fixed patterns: the part of it that SQL can say."""
+    return op2_secret_scan(spark, sf_dir).drop("spans")
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith(("op", "base_")) and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -150,4 +161,23 @@ own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THE
 s AS (SELECT p[1:a] AS p, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own) GROUP BY 1, 2)
 SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
 FROM own JOIN s USING (p, d) LEFT JOIN n up ON up.d = own.d - 1 AND up.p = own.p[1:own.d - 1]""",
+    "base_quality_counts": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+x AS (SELECT r, i, words[i:i + 4] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) > 4)),
+m AS (SELECT r, i FROM x QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(words) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(words) AS base_failed
+FROM w LEFT JOIN c USING (r)""",
+    # a match starts after all pieces up to it and all matches before it; runs of hex digits are maximal
+    "base_secret_spans": r"""WITH p AS (SELECT * FROM (VALUES (0, 'assign', 12), (1, 'access', 18), (2, 'hex', 16)) v(rank, kind, least)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, rank, kind, least, CASE rank WHEN 0 THEN regexp_extract_all(t, ASSIGNED) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(t, '[0-9a-f]{16,}') END AS m,
+  CASE rank WHEN 0 THEN regexp_extract_all(t, ASSIGNED, 2) END AS v,
+  CASE rank WHEN 0 THEN string_split_regex(t, ASSIGNED) WHEN 1 THEN string_split_regex(t, 'AKIA[A-Z0-9]+') ELSE string_split_regex(t, '[0-9a-f]{16,}') END AS g FROM d, p),
+s AS (SELECT r, rank, kind, least, coalesce(v[i], m[i]) AS tested, length(m[i]) AS n, coalesce(sum(length(g[i]) + CASE WHEN i > 1 THEN length(m[i - 1]) ELSE 0 END) OVER (PARTITION BY r, rank ORDER BY i), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+k AS (SELECT r, string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rank) AS spans, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex
+  FROM s WHERE length(tested) >= least GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN k USING (r)""".replace("ASSIGNED", f"$a${secret_scan.ASSIGN}$a$"),
 }
