@@ -59,11 +59,10 @@ def duplicates(constants: DataFrame) -> DataFrame:
 
 
 def unique(constants: DataFrame) -> DataFrame:
-    """``constants`` with a row a name; a name of several files is an error that says which."""
-    files = F.array_sort(F.collect_set("defining_file"))
-    said = F.concat(F.lit("two files define "), F.col("fq_name"), F.lit(": "), F.array_join("files", ", "))
-    one = constants.groupBy("fq_name").agg(files.alias("files"))
-    return one.select("fq_name", F.when(F.size("files") > 1, F.raise_error(said)).otherwise(F.get("files", F.lit(0))).cast("string").alias("defining_file"))
+    """``constants`` with a row a name; a name of several files is an error that says two of them (``duplicates`` has all)."""
+    one = constants.groupBy("fq_name").agg(F.min("defining_file").alias("a"), F.max("defining_file").alias("b"))
+    said = F.concat(F.lit("two files define "), F.col("fq_name"), F.lit(": "), F.col("a"), F.lit(", "), F.col("b"))
+    return one.select("fq_name", F.when(F.col("a") != F.col("b"), F.raise_error(said).cast("string")).otherwise(F.col("a")).alias("defining_file"))
 
 
 def nearest(files: DataFrame, directories: DataFrame, path: str = "path", directory: str = "directory") -> DataFrame:

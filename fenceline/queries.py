@@ -10,6 +10,7 @@ from .operators import baseline, graph, resolve, rules, usage
 from .operators.lineage import settled
 from .plans import commands, moves
 from .plans.projection import SQL, WORLD, Tables, recorded
+from .schema import IDENTIFIER
 from .sources import ruby
 
 QUERIES: dict = {}
@@ -66,7 +67,7 @@ def reportable(t: Tables) -> DataFrame:
 
 @query(f"SELECT {IDS} FROM recorded ANTI JOIN violations USING ({IDS})")
 def stale(t: Tables) -> DataFrame:
-    found = settled(_found(t))
+    found = settled(_found(t).select(*IDENTIFIER))  # messages are not asked for
     return baseline.stale(found, recorded(t, found))
 
 
