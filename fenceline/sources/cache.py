@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ruby import SCHEMA
+
 
 def parsed_with_cache(sources: DataFrame, parse: Callable[[DataFrame], DataFrame], table: str) -> DataFrame:
     """``parse(sources)``, contents that the table knows taken from it and others added to it.
@@ -32,8 +34,10 @@ def parsed_with_cache(sources: DataFrame, parse: Callable[[DataFrame], DataFrame
 
 
 def table(folder: str, custom_associations: tuple[str, ...] = ()) -> str:
-    """The table of ``folder`` for one way of parsing: other associations find other references in the same content."""
-    return f"{folder.rstrip('/')}/parses-{hashlib.sha256(chr(0).join(sorted(custom_associations)).encode()).hexdigest()[:16]}"
+    """The table of ``folder`` for one way of parsing: other associations find other references in the same content, and another
+    lexer may find other fields."""
+    way = chr(0).join([SCHEMA, *sorted(custom_associations)])
+    return f"{folder.rstrip('/')}/parses-{hashlib.sha256(way.encode()).hexdigest()[:16]}"
 
 
 def drop_cache(spark: SparkSession, folder: str) -> None:

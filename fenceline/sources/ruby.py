@@ -32,13 +32,14 @@ ASSOCIATIONS = ("belongs_to", "has_many", "has_one", "has_and_belongs_to_many")
 #: Calls that change nothing of what a class or module does.
 QUIET = frozenset({"private_constant"})
 
-SCHEMA = "kind string, name string, namespace array<string>, line long, col long, end_line long, end_col long, scope long, own long"
+SCHEMA = "kind string, name string, namespace array<string>, line long, col long, end_line long, end_col long, scope long, own long, kept long"
 
 
 class Event(NamedTuple):
     """What a text holds at a place. kind: reference, definition, association, or behaviour (of the scope). Lines count from 1, columns
     from 0 in bytes; the end column is that after the last character, from 1. ``scope`` is the class or module that it
-    stands in (0: the file), ``own`` the one that a definition opens (null: a constant is assigned)."""
+    stands in (0: the file), ``own`` the one that a definition opens (null: a constant is assigned). A name that is also a
+    superclass of a class around is meant as there: ``kept`` is how many of the namespaces that leaves (null: all)."""
 
     kind: str
     name: str
@@ -49,6 +50,7 @@ class Event(NamedTuple):
     end_col: int
     scope: int
     own: int | None
+    kept: int | None = None
 
 
 class Token(NamedTuple):
@@ -237,6 +239,7 @@ def scan(text: str, associations: tuple[str, ...] = ASSOCIATIONS) -> list[Event]
     spaces: list[list[str]] = [[]]  # names around, of every scope
     scopes, blocks = [0], []  # scopes that are open; blocks that wait for their end: the scope they close, or None
     active: set[int] = set()
+    above: dict[int, set[str]] = {}  # names of superclasses, of classes
     local: set[str] = set()
     pending, header, loop, params, closed = "", None, False, False, ""
     call: dict | None = None
@@ -249,7 +252,8 @@ def scan(text: str, associations: tuple[str, ...] = ASSOCIATIONS) -> list[Event]
 
     def put(kind: str, name: str, start: int, end: int, scope: int, own: int | None = None) -> None:
         (line, col), (end_line, end_col) = place(start), place(end)
-        out.append(Event(kind, name, spaces[scope], line, col, end_line, end_col + 1, scope, own))
+        like = next((c for c in scopes if name in above.get(c, ())), None) if kind == "reference" else None
+        out.append(Event(kind, name, spaces[scope], line, col, end_line, end_col + 1, scope, own, None if like is None else len(spaces[like]) - 1))
 
     def finish() -> None:
         nonlocal call
@@ -348,6 +352,8 @@ def scan(text: str, associations: tuple[str, ...] = ASSOCIATIONS) -> list[Event]
             else:
                 if call and last.text in ("class_name:", "=>") and (last.text != "=>" or before.text == "class_name") and re.match(r"\.name\b", text[end : end + 6]) and _beside(t, call):
                     call["class"] = name
+                if header is not None:
+                    above.setdefault(header, set()).add(name)
                 put("reference", name, t.start, end, scope)
         if call and kind != "mark" and last.start >= call["start"] and not (kind == "symbol" and call["first"] == value):
             call["args"] += 1
@@ -376,7 +382,7 @@ def parse(sources: DataFrame, associations: tuple[str, ...] = ()) -> DataFrame:
         for b in batches:
             rows = [(path, *e) for path, text in zip(b["path"], b["code"]) for e in scan(text or "", known)]
             out = pd.DataFrame(rows, columns=["path", *fields])
-            yield out.assign(own=out["own"].astype("Int64"))
+            yield out.assign(own=out["own"].astype("Int64"), kept=out["kept"].astype("Int64"))
 
     out = sources.select("path", code.alias("code")).mapInPandas(run, "path string, " + SCHEMA)
     quiet = F.col("path").contains("_spec.rb") | F.col("path").contains("/spec/")
@@ -396,6 +402,8 @@ def unresolved(parsed: DataFrame, acronyms: list[str] | None = None, definition_
     """
     name = F.when(F.col("kind") == "association", names.class_case(F.col("name"), acronyms)).otherwise(F.col("name"))
     around = F.when(F.col("kind") == "reference", F.filter("namespace", lambda n: n != name)).otherwise(F.col("namespace"))
+    if not definition_mode:
+        around = F.when(F.col("kept").isNotNull(), F.slice("namespace", F.lit(1), F.col("kept").cast("int"))).otherwise(around)
     rows = parsed.where("kind <> 'behaviour'").withColumn("namespace", around).withColumn("name", name)
     columns = ("path", "name", "namespace", "line", "col", "end_line", "end_col")
     number = F.xxhash64("path", "line", "col", "name", "kind").alias("ref_id")

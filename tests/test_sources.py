@@ -104,6 +104,14 @@ def test_places_are_ranges_in_bytes():
     assert tuple(d[3:7]) == (2, 2, 3, 11)
 
 
+def test_a_superclass_is_meant_as_outside(spark):
+    df = spark.createDataFrame([("a.rb", "ruby", "module M\n class Foo < Bar\n  Bar\n  class In\n   Bar\n   Baz\n  end\n end\n Bar\nend")], "path string, kind string, text string")
+    parsed = ruby.parse(df)
+    rows = lambda mode: {(r["name"], tuple(r["namespace"]), r["line"]) for r in ruby.unresolved(parsed, definition_mode=mode).collect() if not r["name"].startswith("::")}
+    assert rows(False) == {("Bar", ("M",), 2), ("Bar", ("M",), 3), ("Bar", ("M",), 5), ("Baz", ("M", "Foo", "In"), 6), ("Bar", ("M",), 9)}
+    assert rows(True) == {("Bar", ("M",), 2), ("Bar", ("M", "Foo"), 3), ("Bar", ("M", "Foo", "In"), 5), ("Baz", ("M", "Foo", "In"), 6), ("Bar", ("M",), 9)}
+
+
 def test_modes_differ_in_references(spark):
     df = spark.createDataFrame([("a.rb", "ruby", "class Foo < Bar\n Foo\n B = 1\n B\nend")], "path string, kind string, text string")
     path = {(r["name"], tuple(r["namespace"]), r["line"], r["end_col"]) for r in ruby.unresolved(ruby.parse(df)).collect()}
