@@ -24,6 +24,8 @@ from .util import cut
 ORDERINGS, DIMENSIONS, BITS, WINDOW = 64, 12, 4, 320
 #: Rows that a task holds at once; of a window, the best that go on; of a query, the times k that are reranked exactly.
 HELD_ROWS, BEST, RERANK = 8192, 8, 4
+#: Windows that a range of keys holds, at least.
+WINDOWS_A_RANGE = 16
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -199,7 +201,8 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     both = kept.withColumn("is_row", F.lit(True)).unionByName(asked.withColumn("is_row", F.lit(False)))
     both = cut(both.select("id", "v", "is_row", F.size("v").alias("n"), coder(orderings)("v").alias("c")))
     spread = both.select("id", "is_row", "n", "c.code", "c.scale", F.posexplode("c.keys").alias("ordering", "key"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a range of keys holds many windows, so that few queries are near an end of one; small tables have few ranges
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), both.count() * orderings // (WINDOWS_A_RANGE * window)))
     ordered = spread.repartitionByRange(parts, "n", "ordering", "key", "id").sortWithinPartitions("n", "ordering", "key", "id", "is_row")
     found = ordered.select("n", "ordering", "id", "is_row", "code", "scale").mapInArrow(lambda it: scan(it, window), "qid long, id long, rough float")
     best = found.groupBy("qid", "id").agg(F.max("rough").alias("rough"))
