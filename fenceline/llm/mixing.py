@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WORD, cut
+from .util import WORD, cut, unused
 
 #: Rows a key range holds about; windows sort one range at a time.
 ROWS_PER_RANGE = 4_000
@@ -81,11 +81,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed corpus: rows of ``docs`` with all their columns, repeated for each epoch; the last copy of a document
     that the budget cuts keeps its first words only. ``taken`` comes from ``mix``. Ids must be unique; rows without one are left out."""
-    t = taken.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
-    rows = docs.join(t, docs[id_col] == t["_id"])
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size")
+    own, size, kept, epoch = unused(docs, "_id", "_size", "_taken", "_epoch")
+    t = taken.select(F.col(id_col).alias(own), F.col("size").alias(size), F.col("taken").alias(kept)).where(F.col(kept) > 0)
+    rows = docs.join(t, docs[id_col] == t[own])
+    rows = rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.ceil(F.col(kept) / F.col(size)).cast("int"))))
+    left = F.col(kept) - (F.col(epoch) - 1) * F.col(size)
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")
-    text = F.when(left >= F.col("_size"), F.col(text_col)).otherwise(head)
+    text = F.when(left >= F.col(size), F.col(text_col)).otherwise(head)
     return rows.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .util import WORD, components, counted, cut, observed, parts_of
+from .util import WORD, components, counted, cut, observed, parts_of, unused
 
 #: Words of a k-mer; similarity from which two texts are near duplicates.
 K, THRESHOLD = 5, 0.8
@@ -311,10 +311,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with one document of each class, that of the least id; all columns stay. Rows that repeat an id become one row,
     of the text that ``near_classes`` judges; rows without an id are left out."""
-    kept = near_classes(docs, id_col=id_col, text_col=text_col, **kw).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_id"))
-    rows = docs.join(kept, docs[id_col] == kept["_id"], "left_semi")
+    kept = near_classes(docs, id_col=id_col, text_col=text_col, **kw).where(F.col(id_col) == F.col("class_id"))
+    own, row = unused(docs, "_id", "_row")
+    kept = kept.select(F.col(id_col).alias(own))
+    rows = docs.join(kept, docs[id_col] == kept[own], "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return rows.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(whole, F.xxhash64(text_col)).alias("_row")).select("_row.*")
+    return rows.groupBy(F.col(id_col).alias(own)).agg(F.max_by(whole, F.xxhash64(text_col)).alias(row)).select(f"{row}.*")
 
 
 def text_classes(keys: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, tile_kmers: int = TILE_KMERS) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut
+from .util import cut, unused
 
 #: The patterns of the base. Matches are taken leftmost and not overlapping, then tested for length.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -184,13 +184,15 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets", fdr: flo
         name(F.filter(_spans(text, ACCESS), lambda s: s["end"] - s["start"] >= ACCESS_CHARS), "access"),
         name(_spans(text, HEX), "hex"),
     ))
-    found = docs.withColumn("_base", base).withColumn("_tokens", _spans(text, TOKEN))
-    free = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.withColumn("_candidates", battery(free)).drop("_tokens", *[] if keep_text else [text_col]).transform(lambda d: _decide(cut(d), fdr, out))
+    base_, tokens, candidates = unused(docs, "_base", "_tokens", "_candidates")
+    found = docs.withColumn(base_, base).withColumn(tokens, _spans(text, TOKEN))
+    free = F.filter(tokens, lambda t: ~F.exists(base_, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    found = found.withColumn(candidates, battery(free)).drop(tokens, *[] if keep_text else [text_col])
+    return _decide(cut(found), fdr, out, base_, candidates)
 
 
-def _decide(found: DataFrame, fdr: float, out: str) -> DataFrame:
-    least = thresholds(found, fdr, "_candidates")
+def _decide(found: DataFrame, fdr: float, out: str, base: str, candidates: str) -> DataFrame:
+    least = thresholds(found, fdr, candidates)
     limit = None
     for (kind, band), p in sorted(least.items()):
         one = lambda c, kind=kind, band=band: (c["kind"] == kind) & (c["band"] == band)
@@ -200,9 +202,9 @@ def _decide(found: DataFrame, fdr: float, out: str) -> DataFrame:
         return reduce(lambda a, b: a | b, [f(c) & (c["p"] >= p) for f, p in limit]) if limit else F.lit(False)
 
     rank = F.create_map(*[F.lit(x) for pair in ((k, i) for i, k in enumerate(KINDS)) for x in pair])
-    more = F.transform(F.filter("_candidates", accepted), lambda c: F.struct(c["start"].alias("start"), F.element_at(rank, c["kind"]).alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
-    both = F.struct(F.col("_base").alias("base"), F.array_sort(F.concat("_base", more)).alias("all"))
-    return found.withColumn(out, both).drop("_base", "_candidates")
+    more = F.transform(F.filter(candidates, accepted), lambda c: F.struct(c["start"].alias("start"), F.element_at(rank, c["kind"]).alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
+    both = F.struct(F.col(base).alias("base"), F.array_sort(F.concat(base, more)).alias("all"))
+    return found.withColumn(out, both).drop(base, candidates)
 
 
 def spans_text(spans: Column) -> Column:

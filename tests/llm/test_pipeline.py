@@ -13,6 +13,8 @@ import pytest
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from fenceline.llm import quality_rules, secret_scan
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,4 +112,12 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
             out = stage(spark, rows, at)
             assert out.columns == docs.columns, name
             assert out.count() <= 3 * docs.count()
+    clashing = docs.where("doc_id < 40 or doc_id > 899")
+    for name in ("_quality", "_secrets", "_base", "_tokens", "_candidates", "_id", "_size", "_taken", "_epoch", "_row", "__id", "size", "taken", "label"):
+        clashing = clashing.withColumn(name, F.lit(f"own {name}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:  # columns that stages use for themselves come out as they went in
+        out = stage(spark, clashing, at)
+        assert out.columns == clashing.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in clashing.columns if c not in docs.columns), name
     assert "near" in corpus_pipeline.STAGES[1][0] and len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
