@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenceline.llm import byte_bpe, mixing, order_minhash, quality_rules, secret_scan
-from fenceline.llm.util import read, shared_dir
+from fenceline.llm.util import read, shared_dir, unused
 
 #: The vocabulary of the last stage.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,8 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, learned from ``labels`` on these documents, keep. Rows without an id, which no later stage
     could address, go too."""
     rules = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
-    judged = quality_rules.judge(docs, rules, out="_quality")
-    return judged.where(F.col("_quality.kept") & F.col("doc_id").isNotNull()).drop("_quality")
+    (out,) = unused(docs, "_quality")
+    judged = quality_rules.judge(docs, rules, out=out)
+    return judged.where(F.col(out)["kept"] & F.col("doc_id").isNotNull()).drop(out)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, what the scan found in them replaced by a mark."""
-    found = secret_scan.scan(docs, out="_secrets")
-    return _same_columns(found, secret_scan.redacted(F.col("text"), F.col("_secrets.all"))).drop("_secrets")
+    (out,) = unused(docs, "_secrets")
+    found = secret_scan.scan(docs, out=out)
+    return _same_columns(found, secret_scan.redacted(F.col("text"), F.col(out)["all"])).drop(out)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
