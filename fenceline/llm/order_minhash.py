@@ -194,23 +194,37 @@ class Tile:
         self.kmers.append(kmers)
 
     def shared(self, kmers: np.ndarray) -> np.ndarray:
-        """Of each pivot, how many of ``kmers`` it has."""
+        """Of each pivot, how many of ``kmers`` it has; 0 for pivots that have too few of them to be similar.
+
+        A similar pivot has at least threshold times as many as there are, so it has one of the rarest that are over. Where
+        few pivots have any of those, only they are counted: texts of one sketch value that are unlike cost no counts.
+        """
         if self.sorted is None:
             flat = np.concatenate(self.kmers)
             order = np.argsort(flat, kind="stable")
             self.sorted, self.owner = flat[order], np.repeat(np.arange(len(self.kmers), dtype=np.int32), [len(k) for k in self.kmers])[order]
             self.sizes = np.array([len(k) for k in self.kmers])
         low, high = np.searchsorted(self.sorted, kmers, "left"), np.searchsorted(self.sorted, kmers, "right")
-        hit = high > low
-        low, n = low[hit], (high - low)[hit]
         out = np.zeros(len(self.kmers), np.int64)
+        n = high - low
+        over = len(kmers) - int(np.ceil(self.threshold * len(kmers) - 1e-9)) + 1
+        if over < len(kmers):
+            rare = np.argpartition(n, over - 1)[:over]
+            if n[rare].sum() <= len(self.kmers):
+                for k in np.unique(self.owner[self._places(low[rare], n[rare])]).tolist():
+                    out[k] = len(np.intersect1d(self.kmers[k], kmers, assume_unique=True))
+                return out
+        low, n = low[n > 0], n[n > 0]
         most = max(1, 4_000_000 // max(1, int(n.max(initial=1))))  # few k-mers at a time where many pivots have them
         for k in range(0, len(n), most):
-            lo, m = low[k : k + most], n[k : k + most]
-            at = np.arange(m.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(m)[:-1]]), m)
-            out += np.bincount(self.owner[at], minlength=len(out))
+            out += np.bincount(self.owner[self._places(low[k : k + most], n[k : k + most])], minlength=len(out))
         return out
 
+    @staticmethod
+    def _places(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Places from each ``low`` on, ``n`` of them."""
+        return np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
     def meet(self, node: int, label: int, kmers: np.ndarray):
         n, t = len(kmers), self.threshold
         shared = self.shared(kmers)
