@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +27,7 @@ def _lines(df: DataFrame, *cols: str) -> list[str]:
 
 
 def _check(p: Project, args) -> tuple[Iterable[str], int]:
-    files = p.sources.select("path") if not args.files else usage.intersect_files(p.sources.select("path"), trees.expand(p.sources.select("path"), args.files))
+    files = p.paths if not args.files else usage.intersect_files(p.paths, trees.expand(p.paths, args.files))
     result = commands.check(p.refs, p.packages, p.recorded, p.world, files, args.ignore_recorded, p.public_files, tuple(args.disable or ()))
     if args.json:
         pieces, well = commands.document(result)
@@ -91,7 +92,7 @@ def _update(p: Project, args) -> tuple[list[str], int]:
         raise SystemExit("--whole-packages needs files")
     files = None
     if args.files:
-        files = usage.intersect_files(p.sources.select("path"), trees.expand(p.sources.select("path"), args.files))
+        files = usage.intersect_files(p.paths, trees.expand(p.paths, args.files))
         if args.whole_packages:
             files = usage.expand_to_packages(p.owners, files).select("path")
     scope = commands.Scope(files, args.constant, args.type, args.package)
@@ -181,13 +182,19 @@ COMMANDS = {
     "suggest-dependencies": lambda p, a: (_lines(usage.suggested_dependencies(p.refs, a.package), "package"), 0),
     "missing-dependencies-for-constant": lambda p, a: (_lines(usage.missing_edges_for_constant(p.refs, p.edges, p.packages, a.constant), "from_package", "to_package"), 0),
     "list-packages": lambda p, a: ([r["name"] for r in p.packages.select("name").orderBy(F.length("name").desc(), "name").toLocalIterator()], 0),
-    "list-included-files": lambda p, a: (_lines(p.sources, "path"), 0),
+    "list-included-files": lambda p, a: (_lines(p.paths, "path"), 0),
     "list-definitions": lambda p, a: (_lines(resolve.ambiguous(p.constants) if a.ambiguous else p.constants, "fq_name", "defining_file"), 0),
     "list-references": _references,
     "for-file": lambda p, a: (_lines(p.owners.where(F.col("path").isin(*a.files)), "path", "package"), 0),
 }
 
 
+def _below(path: str, root: str) -> str:
+    """A path as the tree has it: relative to the root, also where it is given from the top or with a dot."""
+    top = root.rstrip("/") if "://" in root else os.path.abspath(root)
+    return path.removeprefix(top + "/").removeprefix("./")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="fenceline")
     parser.add_argument("--root", default=".")
@@ -202,6 +209,7 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("--package", "--constant", "--type", "--stdlib", "--gems", "--cache", "--output", "--faults"):
         parser.add_argument(name)
     args = parser.parse_intermixed_args(argv)  # files may stand after options
+    args.files = [_below(f, args.root) for f in args.files]
     if args.command == "create":
         print(package_files.scaffold(args.root, args.files[0]))
         return 0

@@ -23,13 +23,14 @@ CONFIG_FILES = ("boundaries.yml", "packages.yml")
 
 @dataclass(frozen=True)
 class Project:
-    """Tables of a tree: files as listed, sources, packages, owners of files, constants, resolved references, the record. What several others are
+    """Tables of a tree: files as listed, paths of sources, their texts (read where they are asked for), packages, owners of files, constants, resolved references, the record. What several others are
     made of is settled when it is first asked for, so that no file is parsed twice and no command does what it need not."""
 
     root: str
     listed: DataFrame
     world: World
     settings: package_files.Settings
+    paths: DataFrame
     sources: DataFrame
     all_packages: DataFrame
     packages: DataFrame
@@ -58,7 +59,7 @@ class Project:
 
     @cached_property
     def owners(self) -> DataFrame:
-        return settled(resolve.file_owner(self.sources.select("path"), self.all_packages.select(F.col("name").alias("directory")), self.packages))
+        return settled(resolve.file_owner(self.paths, self.all_packages.select(F.col("name").alias("directory")), self.packages))
 
     @cached_property
     def constants(self) -> DataFrame:
@@ -67,7 +68,7 @@ class Project:
             found = ruby.definitions(self.parsed)
             ignored = [(n, p) for n, ps in s.ignored_definitions.items() for p in ps]
             return settled(found.join(spark.createDataFrame(ignored, "fq_name string, defining_file string"), ["fq_name", "defining_file"], "left_anti") if ignored else found)
-        paths = self.sources.select("path")
+        paths = self.paths
         roots = resolve.default_roots(paths, resolve.automatic_namespaces(self.all_packages))
         if s.autoload_roots:
             roots = resolve.with_overrides(roots, spark.createDataFrame(list(s.autoload_roots.items()), "directory string, namespace string"))
@@ -91,11 +92,13 @@ def open_project(spark: SparkSession, root: str, config_files: tuple[str, ...] =
     text = lambda path: content.decode() if (content := stores.read(root, path)) is not None else None
     s = package_files.settings(next((t for c in config_files if (t := text(c)) is not None), None))
     listed = trees.tree(spark, root, (*trees.PRUNED, *s.exclude))
-    sources = trees.sources(trees.contents(trees.included(listed, s.include, s.exclude), root))
+    mine = trees.parsable(trees.included(listed, s.include, s.exclude))
+    sources, paths = trees.sources(trees.contents(mine, root)), mine.select("path")
     if replaced:
         sources = trees.override(sources, *replaced)
+        paths = paths.union(spark.createDataFrame([replaced[:1]], "path string")).distinct()
     named = lambda name: trees.contents(listed.where((F.col("path") == name) | F.col("path").endswith("/" + name)), root)
     all_packages = settled(package_files.packages(named(package_files.PACKAGE_FILE)))
     packages = package_files.admitted(all_packages, s.package_paths)
     record = package_files.record(named(package_files.RECORD_FILE))
-    return Project(root, listed, World(s.layers), s, sources, all_packages, packages, record, trees.acronyms(text(s.inflections_path)), cache, faults)
+    return Project(root, listed, World(s.layers), s, paths, sources, all_packages, packages, record, trees.acronyms(text(s.inflections_path)), cache, faults)

@@ -83,6 +83,11 @@ def included(files: DataFrame, include=INCLUDE, exclude=EXCLUDE) -> DataFrame:
     return files.where(_any(p, include) & ~_any(p, exclude))
 
 
+def parsable(files: DataFrame) -> DataFrame:
+    """Files of a type that can be parsed."""
+    return files.where(names.file_type(F.col("path")).isNotNull())
+
+
 def sources(files: DataFrame) -> DataFrame:
     """(path, kind, digest, text) of files that can be parsed: templates as the code in them."""
     text = F.decode("content", "UTF-8")

@@ -246,6 +246,11 @@ def test_files_without_a_package_and_names_of_two_files(spark, tmp_path):
         open_project(spark, str(tmp_path), faults=str(tmp_path / "faults")).constants
 
 
+def test_paths_are_taken_from_the_top_or_from_the_root(tmp_path):
+    assert [cli._below(p, str(tmp_path)) for p in (f"{tmp_path}/a/b.rb", "./a/b.rb", "a/b.rb", "/elsewhere/b.rb")] == ["a/b.rb", "a/b.rb", "a/b.rb", "/elsewhere/b.rb"]
+    assert cli._below("hdfs://h/root/a.rb", "hdfs://h/root/") == "a.rb"
+
+
 def test_init_begins_a_project_once(tmp_path, capsys):
     root = ["--root", str(tmp_path)]
     assert cli.main([*root, "init", "--config", "first.yml"]) == 0 and "first.yml" in capsys.readouterr().out
