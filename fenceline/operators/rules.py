@@ -1,7 +1,7 @@
 """Boundary rules over resolved references.
 
 A rule is a predicate on one reference with its two packages; all rules are evaluated in one pass over the references
-(two joins with the packages, one generator of the broken rules), not one scan a rule.
+(two joins with the packages, one number that says which rules are broken), not one scan a rule.
 """
 
 from __future__ import annotations
@@ -49,7 +49,9 @@ class World:
 
 
 def _say(text: str, *values: Column) -> Column:
-    return F.format_string(text, *values)
+    """``text`` with its %s filled in; joined, not formatted, as a formatter reads the text again for every row."""
+    pieces = [F.lit(x) for x in text.split("%s")]
+    return F.concat(pieces[0], *[x for v, piece in zip(values, pieces[1:], strict=True) for x in (F.coalesce(v, F.lit("null")), piece)])
 
 
 def _has(array: Column, value: Column) -> Column:
@@ -71,10 +73,10 @@ def _above(r: Column, d: Column, w: World) -> Column:
 def _private(r, d, w) -> Column:
     constant = F.col("constant_name")
     folder = F.coalesce(d("public_folder"), F.concat(d("name"), F.lit("/app/public")))
-    public = F.coalesce(F.col("defining_file").startswith(folder), F.lit(False)) | F.coalesce(F.col("has_public_mark"), F.lit(False))
+    public = F.coalesce(F.col("defining_file").startswith(folder), F.lit(False))
     listed = F.coalesce(d("private_constants"), F.array().cast("array<string>"))
-    private = (F.size(listed) == 0) | F.exists(listed, lambda p: (constant == p) | constant.startswith(F.concat(p, F.lit("::"))))
-    return ~_has(r("ignored_private_constants"), constant) & ~public & private
+    private = F.when(F.size(listed) == 0, F.lit(True)).otherwise(F.exists(listed, lambda p: (constant == p) | constant.startswith(F.concat(p, F.lit("::")))))
+    return ~public & ~_has(r("ignored_private_constants"), constant) & private
 
 
 def _folder_hidden(r, d, w) -> Column:
@@ -93,71 +95,128 @@ RULES = (
 )
 
 
-def _ignored(rules: Column, enforcement: str, path: Column) -> Column:
+#: What a reference breaks is one whole number: of rule number i bit 2i if it is broken, bit 2i + 1 if its breach is strict.
+PLAIN, STRICT = sum(1 << 2 * i for i in range(len(RULES))), sum(2 << 2 * i for i in range(len(RULES)))
+#: What tells references apart, and what identifiers of violations hold of one.
+REFERENCE = ("constant_name", "defining_package", "referencing_package", "referencing_file", "line", "col")
+PLACE = ("constant_name", "defining_package", "referencing_package", "referencing_file")
+
+
+def bits(violation_type: Column, strict: Column) -> Column:
+    """The bit of an identifier in ``broken``; 0 for a type that no rule has."""
+    out = F.when(F.lit(False), F.lit(0))
+    for i, rule in enumerate(RULES):
+        out = out.when(violation_type == rule.name, F.when(strict, F.lit(2 << 2 * i)).otherwise(F.lit(1 << 2 * i)))
+    return out.otherwise(F.lit(0))
+
+
+def breaking(broken: DataFrame, mask: int) -> DataFrame:
+    """``broken`` with the bits of ``mask`` alone; references without any leave."""
+    return broken.withColumn("broken", F.col("broken").bitwiseAND(F.lit(mask))).where("broken <> 0")
+
+
+def _first_ignore(rules: Column, enforcement: str) -> Column:
+    return F.get(F.filter(rules, lambda x: F.array_contains(x["enforcements"], enforcement)), F.lit(0))
+
+
+def _ignored(first: Column, path: Column) -> Column:
     """The first ignore rule that names the enforcement decides: some deny matches and no allow does."""
-    first = F.get(F.filter(rules, lambda x: F.array_contains(x["enforcements"], enforcement)), F.lit(0))
     hit = F.exists(first["deny"], lambda g: F.rlike(path, g)) & ~F.exists(first["allow"], lambda g: F.rlike(path, g))
-    return F.coalesce(hit, F.lit(False))
+    return F.when(first.isNull(), F.lit(False)).otherwise(F.coalesce(hit, F.lit(False)))
 
 
 #: Packages up to which they are broadcast: with their sets, some tens of MB. Beyond, the joins shuffle.
 BROADCAST_PACKAGES = 100_000
+_OF_BOTH = ("name", "parent", "layer", *[f"enforce_{r.name}" for r in RULES], *[f"ignored_{r.name}" for r in RULES])
+_OF_USERS, _OF_DEFINERS = ("dependencies", "ignored_dependencies", "ignored_private_constants"), ("public_folder", "visible_to", "private_constants")
 
 
-def with_packages(refs: DataFrame, packages: DataFrame, public_files: DataFrame | None = None) -> DataFrame:
-    """References with ``r_*`` and ``d_*`` columns of their packages.
+def with_packages(refs: DataFrame, packages: DataFrame) -> DataFrame:
+    """References with ``r_*`` and ``d_*`` columns of their packages, those that rules look at; ``ignored_*`` is a rule's first ignore rule.
 
     Packages are computed and counted once and broadcast up to BROADCAST_PACKAGES, so that references, of which a few
     packages may hold most, are not shuffled by package. Unresolved references and references inside one package cannot
     break a rule and leave first. A reference to or from a package that ``packages`` does not have is an error.
     """
-    packages = settled(packages)
+    packages = settled(packages.withColumns({f"ignored_{r.name}": _first_ignore(F.col("ignore_rules"), r.name) for r in RULES}))
     hint = F.broadcast if packages.count() <= BROADCAST_PACKAGES else (lambda df: df)
-    side = lambda p: hint(packages.select(*[F.col(c).alias(p + c) for c in packages.columns]))
+    side = lambda p, own: hint(packages.select(*[F.col(c).alias(p + c) for c in (*_OF_BOTH, *own)]))
     out = refs.where(F.col("defining_package").isNotNull() & (F.col("defining_package") != F.col("referencing_package")))
-    out = out.join(side("r_"), F.col("referencing_package") == F.col("r_name"), "left").join(side("d_"), F.col("defining_package") == F.col("d_name"), "left")
+    out = out.join(side("r_", _OF_USERS), F.col("referencing_package") == F.col("r_name"), "left").join(side("d_", _OF_DEFINERS), F.col("defining_package") == F.col("d_name"), "left")
     none = F.when(F.col("r_name").isNull(), F.col("referencing_package")).when(F.col("d_name").isNull(), F.col("defining_package"))
-    out = out.where(F.when(none.isNull(), F.lit(True)).otherwise(F.raise_error(F.format_string("No package found '%s'", none)).cast("boolean")))
-    if public_files is None:
-        return out.withColumn("has_public_mark", F.lit(False))
-    marked = public_files.select(F.col("path").alias("defining_file")).distinct().withColumn("has_public_mark", F.lit(True))
-    return out.join(marked, "defining_file", "left")
+    return out.where(F.when(none.isNull(), F.lit(True)).otherwise(F.raise_error(F.format_string("No package found '%s'", none)).cast("boolean")))
 
 
-def violations(refs: DataFrame, packages: DataFrame, world: World = World(), only: Iterable[str] | None = None, disabled: Iterable[str] = (), public_files: DataFrame | None = None) -> DataFrame:
-    """Distinct violations of all rules (or ``only`` some), VIOLATION columns. A null setting enforces nothing.
+def broken(refs: DataFrame, packages: DataFrame, world: World = World(), only: Iterable[str] | None = None, disabled: Iterable[str] = (), public_files: DataFrame | None = None) -> DataFrame:
+    """References that break a rule (of all, or of ``only`` some), each as often as it is given: REFERENCE columns, the layers of its
+    packages and ``broken``. A null setting enforces nothing. A rule of another name is a ValueError.
 
-    Each reference gets a code a rule (0 kept, 1 broken, 2 broken and strict); equal references are joined on their codes,
-    pre-aggregated where they are read, and only then become rows and texts. A rule of another name is a ValueError.
+    Everything else that is said of violations is made of these slim rows: ``once`` joins equal ones, ``told`` makes rows
+    and texts of them, last of all.
     """
     r, d = (lambda c: F.col("r_" + c)), (lambda c: F.col("d_" + c))
     only, disabled = None if only is None else list(only), list(disabled)
     if unknown := {*(only or ()), *disabled} - {x.name for x in RULES}:
         raise ValueError(f"No rule is called {sorted(unknown)}")
-    chosen = [x for x in RULES if x.name not in set(disabled) and (only is None or x.name in set(only))]
-    codes = {}
-    for rule in chosen:
+    code, privacy = F.lit(0), 0
+    for i, rule in enumerate(RULES):
+        if rule.name in disabled or (only is not None and rule.name not in only):
+            continue
         own, path = (r, F.col("defining_file")) if rule.direction == OUTGOING else (d, F.col("referencing_file"))
         setting = F.coalesce(own(f"enforce_{rule.name}"), F.lit("false"))
         # only where the rule is enforced is its condition looked at, as it may be an error
-        hit = F.when(setting != "false", rule.broken(r, d, world)).otherwise(F.lit(False)) & ~_ignored(own("ignore_rules"), rule.name, path)
-        codes[rule.name] = F.when(hit, F.when(setting == "strict", F.lit(2)).otherwise(F.lit(1))).otherwise(F.lit(0))
-    key = ["constant_name", "defining_package", "referencing_package", "referencing_file", "line", "col", "r_layer", "d_layer"]
-    rows = with_packages(refs, packages, public_files).select(*key, *[c.alias(f"is_{k}") for k, c in codes.items()])
-    if not chosen:
-        rows, codes, chosen = rows.limit(0).withColumn("is_dependency", F.lit(0)), {"dependency": None}, [RULES[0]]
-    any_broken = F.greatest(*[F.col(f"is_{k}") for k in codes], F.lit(0), F.lit(0)) > 0
-    one = rows.where(any_broken).groupBy(*key).agg(*[F.max(f"is_{k}").alias(f"is_{k}") for k in codes])
-    # names of packages are in the key, so texts need the packages no more
+        hit = F.when(setting != "false", rule.broken(r, d, world)).otherwise(F.lit(False)) & ~_ignored(own(f"ignored_{rule.name}"), path)
+        code = code + F.when(hit, F.when(setting == "strict", F.lit(2 << 2 * i)).otherwise(F.lit(1 << 2 * i))).otherwise(F.lit(0))
+        privacy |= (3 << 2 * i) * (rule.name == "privacy")
+    rows = with_packages(refs, packages).select(*REFERENCE, "r_layer", "d_layer", "defining_file", code.alias("broken")).where("broken <> 0")
+    return rows.drop("defining_file") if public_files is None or not privacy else _unmarked(rows, public_files, privacy)
+
+
+def _unmarked(rows: DataFrame, public_files: DataFrame, privacy: int) -> DataFrame:
+    """Constants of public files are not private. A reference that does not break that rule has no file to look for: it goes by its own
+    file, so that such ones do not gather at one key."""
+    asks = F.col("broken").bitwiseAND(F.lit(privacy)) != 0
+    rows = rows.select(*[c for c in rows.columns if c != "defining_file"], asks.alias("asks"), F.when(asks, F.col("defining_file")).otherwise(F.col("referencing_file")).alias("looked_for"))
+    marked = public_files.select(F.lit(True).alias("asks"), F.col("path").alias("looked_for")).distinct().withColumn("marked", F.lit(True))
+    left = F.when(F.col("marked"), F.col("broken").bitwiseAND(F.lit(~privacy))).otherwise(F.col("broken"))
+    return rows.join(marked, ["asks", "looked_for"], "left").withColumn("broken", left).where("broken <> 0").drop("asks", "looked_for", "marked")
+
+
+def once(found: DataFrame, key: Iterable[str] = (*REFERENCE, "r_layer", "d_layer")) -> DataFrame:
+    """``broken`` with a row a reference, or a row a ``key``, pre-aggregated where they are read. What is strict is not plain too."""
+    out = found.groupBy(*key).agg(F.bit_or("broken").alias("broken"))
+    return out.withColumn("broken", F.expr(f"broken & ~((broken & {STRICT}) >> 1)"))
+
+
+def _each(found: DataFrame) -> DataFrame:
+    """A row for every bit of ``broken``: the rule's number, ``strict``."""
+    numbers = found.withColumn("rule", F.explode(F.array(*[F.lit(i) for i in range(len(RULES))])))
+    return numbers.withColumn("code", F.expr("(broken >> (2 * rule)) & 3")).where("code <> 0").withColumn("strict", F.col("code") > 1)
+
+
+def _by_rule(values: Iterable[Column]) -> Column:
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for i, v in enumerate(values):
+        out = out.when(F.col("rule") == i, v)
+    return out
+
+
+def told(found: DataFrame, world: World = World()) -> DataFrame:
+    """VIOLATION rows of ``once(broken)``. Names of packages are in it, so texts need the packages no more."""
     sides = [lambda c: F.col("referencing_package") if c == "name" else F.col("r_" + c), lambda c: F.col("defining_package") if c == "name" else F.col("d_" + c)]
     place = names.location(F.col("referencing_file"), F.col("line"), F.col("col"))
-    found = []
-    for rule in chosen:
-        code = F.col(f"is_{rule.name}")
-        text = F.concat(place, rule.message(*sides, world))
-        found.append(F.when(code > 0, F.struct(F.lit(rule.name).alias("violation_type"), (code == 2).alias("strict"), text.alias("message"))))
-    out = one.withColumn("v", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
-    return out.select("v.*", F.col("referencing_file").alias("file"), "constant_name", "referencing_package", "defining_package", "line", "col").select(*VIOLATION)
+    text = F.concat(place, _by_rule([rule.message(*sides, world) for rule in RULES]))
+    return _each(found).select(text.alias("message"), _by_rule([F.lit(x.name) for x in RULES]).alias("violation_type"), "strict", F.col("referencing_file").alias("file"), "constant_name", "referencing_package", "defining_package", "line", "col").select(*VIOLATION)
+
+
+def identified(found: DataFrame) -> DataFrame:
+    """IDENTIFIER rows of ``broken``, as often as it holds them."""
+    return _each(found).select(_by_rule([F.lit(x.name) for x in RULES]).alias("violation_type"), "strict", F.col("referencing_file").alias("file"), "constant_name", "referencing_package", "defining_package")
+
+
+def violations(refs: DataFrame, packages: DataFrame, world: World = World(), only: Iterable[str] | None = None, disabled: Iterable[str] = (), public_files: DataFrame | None = None) -> DataFrame:
+    """Distinct violations of all rules (or ``only`` some), VIOLATION columns; see ``broken``."""
+    return told(once(broken(refs, packages, world, only, disabled, public_files)), world)
 
 
 def unknown_layers(packages: DataFrame, world: World) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import globs, names
 from .operators import baseline, graph, resolve, rules, usage
-from .operators.lineage import settled
+from .operators.lineage import kept, settled
 from .plans import commands, moves
 from .plans.projection import SQL, WORLD, Tables, recorded
 from .schema import IDENTIFIER
@@ -32,8 +32,17 @@ def query(sql: str | None = None, prefix: bool = True):
     return put
 
 
+def _broken(t: Tables, **kw) -> DataFrame:
+    return rules.broken(t.refs(), t.packages(), WORLD, **kw)
+
+
 def _found(t: Tables, **kw) -> DataFrame:
-    return rules.violations(t.refs(), t.packages(), WORLD, **kw)
+    return rules.told(rules.once(_broken(t, **kw)), WORLD)
+
+
+def _recorded(t: Tables, found: DataFrame | None = None) -> DataFrame:
+    """What was recorded, of ``found`` (broken) where it is at hand."""
+    return recorded(t, rules.identified(_broken(t) if found is None else found))
 
 
 # rules
@@ -180,8 +189,8 @@ def scoped_filter(t: Tables) -> DataFrame:
 @query(f"""SELECT 'violation' AS kind, count(*) AS n FROM violations ANTI JOIN recorded USING ({IDS}) UNION ALL SELECT 'stale', count(*) FROM recorded ANTI JOIN violations USING ({IDS})
 UNION ALL SELECT 'strict', count(*) FROM violations WHERE strict""")
 def check_json_counts(t: Tables) -> DataFrame:
-    found = settled(_found(t))
-    report = commands.report_json(commands.judged(found, recorded(t, found)))
+    found = kept(rules.once(_broken(t)))
+    report = commands.report_json(commands.judged(found, _recorded(t, found), WORLD))
     return report.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -189,8 +198,8 @@ def check_json_counts(t: Tables) -> DataFrame:
 UNION ALL SELECT 2, 'There were stale violations found, please run `update`' WHERE EXISTS (SELECT 1 FROM recorded ANTI JOIN violations USING ({IDS}))
 UNION ALL SELECT 3, referencing_package || ' cannot have ' || violation_type || ' violations on ' || defining_package || ' because strict mode is enabled for ' || violation_type || ' violations in the enforcing pack''s package.yml file' FROM violations WHERE strict""")
 def check_report(t: Tables) -> DataFrame:
-    found = settled(_found(t))
-    return commands.report_lines(commands.judged(found, recorded(t, found)))
+    found = kept(rules.once(_broken(t)))
+    return commands.report_lines(commands.judged(found, _recorded(t, found), WORLD))
 
 
 # use
