@@ -155,7 +155,7 @@ def public_marks(t: Tables) -> DataFrame:
 @query(_MARKED + f"SELECT {_TEXTS} FROM ({_GROUPED.format('visible')})")
 def update_record(t: Tables) -> DataFrame:
     """The record after an update, which sees public marks as a check does."""
-    old = baseline.grouped(recorded(t, settled(_found(t))))
+    old = baseline.grouped(_recorded(t))
     return _flat(commands.update(t.refs(), t.packages(), old, WORLD, public_files=_marked(t)).record)
 
 
