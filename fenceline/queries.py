@@ -70,8 +70,8 @@ for _name in ("dependency", "privacy", "visibility", "layer", "folder_privacy"):
 
 @query(f"SELECT {ALL} FROM violations ANTI JOIN recorded USING ({IDS})")
 def reportable(t: Tables) -> DataFrame:
-    found = settled(_found(t))
-    return baseline.reportable(found, recorded(t, found))
+    found = kept(rules.once(_broken(t)))
+    return rules.told(baseline.fresh(baseline.compared(found, _recorded(t, found))), WORLD)
 
 
 @query(f"SELECT {IDS} FROM recorded ANTI JOIN violations USING ({IDS})")
