@@ -92,8 +92,9 @@ def strict_messages(t: Tables) -> DataFrame:
 
 @query(f"SELECT CAST((SELECT count(*) FROM violations ANTI JOIN recorded USING ({IDS})) + (SELECT count(*) FROM recorded ANTI JOIN violations USING ({IDS})) + (SELECT count(*) FROM violations WHERE strict) AS BIGINT) AS n_violations")
 def violation_count(t: Tables) -> DataFrame:
-    found = settled(_found(t))
-    return baseline.violation_count(found, recorded(t, found))
+    found = kept(rules.once(_broken(t)))
+    old = _recorded(t, found)
+    return baseline.tally(baseline.compared(found, old), old)
 
 
 _TEXTS = "referencing_package, defining_package, constant_name, array_to_string(list_sort(violations), ',') AS violations, array_to_string(list_sort(files), ',') AS files"
