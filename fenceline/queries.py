@@ -116,14 +116,13 @@ FROM ({_GROUPED.format('recorded')} UNION ALL {_GROUPED.format("(SELECT * FROM v
 
 @query(f"SELECT {_TEXTS} FROM ({_MERGED})")
 def todo_merge(t: Tables) -> DataFrame:
-    found = settled(_found(t))
-    old = baseline.grouped(recorded(t, found))
-    return _flat(baseline.merged(old, baseline.grouped(baseline.scoped(found, violation_type="layer"))))
+    old = baseline.grouped(_recorded(t))
+    return _flat(baseline.merged(old, baseline.gathered(baseline.narrowed(_broken(t), violation_type="layer"))))
 
 
 @query(f"""SELECT r.violation_type, false AS strict, r.file, r.constant_name, r.referencing_package, r.defining_package FROM recorded r""")
 def recorded_unnest(t: Tables) -> DataFrame:
-    return baseline.unnest(baseline.grouped(recorded(t, _found(t))))
+    return baseline.unnest(baseline.grouped(_recorded(t)))
 
 
 @query(f""", old AS (SELECT {_TEXTS}, len(files) AS n FROM ({_GROUPED.format('recorded')})), new AS (SELECT {_TEXTS}, len(files) AS n FROM ({_GROUPED.format('violations')})),
@@ -228,7 +227,7 @@ def dependents(t: Tables) -> DataFrame:
 
 @query(f"SELECT referencing_package, violation_type, count(DISTINCT constant_name) AS n_constants FROM recorded WHERE defining_package = '{ONE}' AND referencing_package <> '{ONE}' GROUP BY ALL")
 def implicit_counts(t: Tables) -> DataFrame:
-    return usage.implicit_dependents(recorded(t, _found(t)), ONE)
+    return usage.implicit_dependents(_recorded(t), ONE)
 
 
 @query(f"SELECT DISTINCT defining_package AS package FROM refs WHERE referencing_package = '{ONE}' AND defining_package IS NOT NULL AND defining_package <> '{ONE}'")
