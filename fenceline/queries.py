@@ -132,8 +132,7 @@ SELECT CAST(sum(greatest(coalesce(now, 0) - coalesce(was, 0), 0)) AS BIGINT) AS
   count(*) FILTER (was IS NULL) AS files_added, count(*) FILTER (was IS NOT NULL AND now IS NOT NULL AND a.w <> b.w) AS files_changed, count(*) FILTER (now IS NULL) AS files_deleted
 FROM a FULL JOIN b USING (referencing_package)""")
 def update_stats(t: Tables) -> DataFrame:
-    found = settled(_found(t))
-    return baseline.update_stats(baseline.grouped(recorded(t, found)), baseline.grouped(found))
+    return baseline.update_stats(baseline.grouped(_recorded(t)), baseline.gathered(_broken(t)))
 
 
 # files whose part is a promotion carry the public mark
