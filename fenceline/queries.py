@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import globs, names
 from .operators import baseline, graph, resolve, rules, usage
-from .operators.lineage import kept, settled
+from .operators.lineage import kept
 from .plans import commands, moves
 from .plans.projection import SQL, WORLD, Tables, recorded
-from .schema import IDENTIFIER
 from .sources import ruby
 
 QUERIES: dict = {}
@@ -76,8 +75,9 @@ def reportable(t: Tables) -> DataFrame:
 
 @query(f"SELECT {IDS} FROM recorded ANTI JOIN violations USING ({IDS})")
 def stale(t: Tables) -> DataFrame:
-    found = settled(_found(t).select(*IDENTIFIER))  # messages are not asked for
-    return baseline.stale(found, recorded(t, found))
+    found = kept(rules.once(_broken(t), rules.PLACE))  # neither lines nor messages are asked for
+    old = _recorded(t, found)
+    return baseline.gone(baseline.compared(found, old), old)
 
 
 @query(f"SELECT {ALL} FROM violations WHERE strict")
