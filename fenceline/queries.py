@@ -82,7 +82,7 @@ def stale(t: Tables) -> DataFrame:
 
 @query(f"SELECT {ALL} FROM violations WHERE strict")
 def strict(t: Tables) -> DataFrame:
-    return baseline.strict(_found(t))
+    return rules.told(rules.once(rules.breaking(_broken(t), rules.STRICT)), WORLD)
 
 
 @query("SELECT referencing_package || ' cannot have ' || violation_type || ' violations on ' || defining_package || ' because strict mode is enabled for ' || violation_type || ' violations in the enforcing pack''s package.yml file' AS message FROM violations WHERE strict")
