@@ -107,7 +107,7 @@ def _flat(record: DataFrame) -> DataFrame:
 
 @query(f"SELECT {_TEXTS} FROM ({_GROUPED.format('violations')})")
 def todo_grouped(t: Tables) -> DataFrame:
-    return _flat(baseline.grouped(_found(t)))
+    return _flat(baseline.gathered(_broken(t)))
 
 
 _MERGED = f"""SELECT referencing_package, defining_package, constant_name, list_distinct(flatten(list(violations))) AS violations, list_distinct(flatten(list(files))) AS files
