@@ -87,7 +87,7 @@ def strict(t: Tables) -> DataFrame:
 
 @query("SELECT referencing_package || ' cannot have ' || violation_type || ' violations on ' || defining_package || ' because strict mode is enabled for ' || violation_type || ' violations in the enforcing pack''s package.yml file' AS message FROM violations WHERE strict")
 def strict_messages(t: Tables) -> DataFrame:
-    return rules.strict_messages(_found(t))
+    return rules.strict_messages(rules.told(rules.once(rules.breaking(_broken(t), rules.STRICT)), WORLD))
 
 
 @query(f"SELECT CAST((SELECT count(*) FROM violations ANTI JOIN recorded USING ({IDS})) + (SELECT count(*) FROM recorded ANTI JOIN violations USING ({IDS})) + (SELECT count(*) FROM violations WHERE strict) AS BIGINT) AS n_violations")
