@@ -284,3 +284,10 @@ def test_cache_json_and_directories(spark, tree, tmp_path_factory, capsys):
     assert [p.name for p in (tree / "out").iterdir()] == ["references.json"]
     assert cli.main([*root, "delete-cache"]) == 0
     assert not pathlib.Path(folder).exists()
+
+
+def test_sources_of_one_split_are_parsed_by_all_cores(spark):
+    df = spark.range(400, numPartitions=1).selectExpr("concat('p', id, '.rb') as path", "'ruby' as kind", "concat('class A', id, '\\nX = 1\\nend') as text")
+    parsed = ruby.parse(df)
+    sizes = [n for n in parsed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 3
